@@ -1,9 +1,12 @@
 """Queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from anchorline.llm import quality_rules
+from anchorline.llm import mixing, quality_rules, sentencepiece_codec, sharding
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
+    "op8_sharding": sharding.op8_sharding,
 }
 
 ORACLE_SQL = {
