@@ -1,14 +1,20 @@
 """Queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from anchorline.llm import mixing, quality_rules, sentencepiece_codec, sharding
+from anchorline.llm import ann, brown_lm, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op7_brown_lm": brown_lm.op7_brown_lm,
     "op8_sharding": sharding.op8_sharding,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_ann": ann.op10_ann,
 }
 
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_ngram_join": ngram_join.ORACLE_SQL,
 }
