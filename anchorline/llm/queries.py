@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from anchorline.llm import ann, brown_lm, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, sharding, toxicity
+from anchorline.llm import ann, brown_lm, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, sharding, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op6_warc": warc.op6_warc,
     "op7_brown_lm": brown_lm.op7_brown_lm,
     "op8_sharding": sharding.op8_sharding,
     "op9_toxicity": toxicity.op9_toxicity,
@@ -17,4 +18,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op4_ngram_join": ngram_join.ORACLE_SQL,
+    "op6_warc": warc.ORACLE_SQL,
 }
