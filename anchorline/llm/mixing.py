@@ -137,10 +137,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0,
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns they had."""
-    plan = mix(docs, **how).where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "th", "copies")])
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(plan["_doc_id"]) & keyed["source"].eqNullSafe(plan["_source"]) & (keyed["_t"] == plan["_th"])
-    return keyed.join(plan, on).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = mix(docs, **how).where("copies > 0").select(*[F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "source", "th", "copies")])
+    keyed = docs.withColumn("__mix_t", F.xxhash64("text"))
+    on = keyed["doc_id"].eqNullSafe(plan["__mix_doc_id"]) & keyed["source"].eqNullSafe(plan["__mix_source"]) & (keyed["__mix_t"] == plan["__mix_th"])
+    return keyed.join(plan, on).withColumn("__mix_c", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

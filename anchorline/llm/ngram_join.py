@@ -94,7 +94,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         np.add.at(sums, part, mixed)
         full = np.bincount(part, minlength=parts) > 0
         which = np.arange(parts) if parts - int(full.sum()) >= parts - d else np.flatnonzero(full)
-        found.append(fmix(sums[which] + which.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1) * np.uint64(0xD1342543DE82EF95)))
+        found.append(fmix(sums[which] + which.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((k + 1) * 0xD1342543DE82EF95 % 2**64)))
     return np.concatenate(found)
 
 
@@ -343,12 +343,15 @@ def _across(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs (with their columns) whose id names their component; one row of repeated ids."""
+    """The rows of docs (with their columns) whose id names their component; of repeated ids the first by a hash of the row.
+
+    A text without shingles stays; a row without id stays only if no row with an id is linked to it.
+    """
     found = jaccard_components(docs, n, percent)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "fp").distinct()
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__join_id")).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("__join_id")), "left_semi")
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    kept = docs.join(first.select("_id").distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_n", one).where("_n = 1 or doc_id is null").drop("_n")
+    return kept.withColumn("__join_n", one).where("__join_n = 1").drop("__join_n")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,12 +98,12 @@ def base_columns(docs: DataFrame) -> DataFrame:
     )
     solid = lambda x: F.length(F.regexp_replace(x, SPACE_CLASS, "")) > 0
     by_line = lambda ls: F.struct(F.size(ls).cast("long").alias("n_lines"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"))
-    counted = docs.withColumn("_w", F.transform(F.array(words(text)), by_word)[0]).withColumn("_l", F.transform(F.array(F.filter(F.split(text, "\n"), solid)), by_line)[0])
+    counted = docs.withColumn("__rules_w", F.transform(F.array(words(text)), by_word)[0]).withColumn("__rules_l", F.transform(F.array(F.filter(F.split(text, "\n"), solid)), by_line)[0])
     return counted.withColumns(
-        {k: F.col(f"_w.{k}") for k in ("n_words", "n_repeat_words", "n_stop", "n_adjacent")}
-        | {k: F.col(f"_l.{k}") for k in ("n_lines", "n_dup_lines")}
+        {k: F.col(f"__rules_w.{k}") for k in ("n_words", "n_repeat_words", "n_stop", "n_adjacent")}
+        | {k: F.col(f"__rules_l.{k}") for k in ("n_lines", "n_dup_lines")}
         | {"word_chars": (F.length(text) - chars(WORD_CLASS)).cast("long"), "n_symbols": chars("[^#*$%&|<>]+").cast("long"), "n_upper": chars("[^A-Z]+").cast("long")}
-    ).drop("_w", "_l")
+    ).drop("__rules_w", "__rules_l")
 
 
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
