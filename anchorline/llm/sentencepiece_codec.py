@@ -33,8 +33,8 @@ from anchorline.llm.common import table
 
 MARK = "▁"
 _NONE = np.int64(1 << 40)
-#: Segments that a worker remembers, and segments or symbols that one run of merge rounds takes.
-REMEMBERED, BATCH_SYMBOLS = 150_000, 200_000
+#: Segments that a worker remembers (in either generation), symbols that one run of merge rounds takes, and characters of the texts that learn together.
+REMEMBERED, BATCH_SYMBOLS, BATCH_TEXT = 200_000, 400_000, 1_000_000
 
 
 def piece_model() -> str:
@@ -66,9 +66,13 @@ class PieceCodec:
             if len(p) > 1:
                 self.rank[i] = place[score]
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
+        self.id_text = [str(i) for i in range(len(model.pieces))]
         self.text_of = [p.piece.replace(MARK, " ").encode() if p.type == 1 else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" for p in model.pieces]
         self.starts_marked = [p.type == 1 and p.piece.startswith(MARK) for p in model.pieces]
         self.single = {p: i for p, i in ids.items() if len(p) == 1}
+        self.id_of_char = np.full(0x110000, -1, np.int64)
+        for p, i in self.single.items():
+            self.id_of_char[ord(p)] = i
         left, right, into = [], [], []
         for p, i in ids.items():
             for k in range(1, len(p)):
@@ -80,7 +84,10 @@ class PieceCodec:
         self.pair_keys, self.pair_into = keys[by], np.array(into, np.int64)[by]
         inside = re.escape("".join(c for c in self.single if c != MARK))
         self.segments = re.compile(f"{MARK}*[{inside}]+|{MARK}+|.", re.S)
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        #: Of a segment: its ids as text, and the bytes that they decode to. The old generation is asked before encoding anew.
+        self.ids_of: dict[str, str] = {}
+        self.bytes_of: dict[str, bytes] = {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each pair of neighbours makes, or -1."""
@@ -159,37 +166,41 @@ class PieceCodec:
                 total += len(segments[end])
                 end += 1
             part = segments[at:end]
-            single = self.single
             # a symbol outside the vocabulary stands alone in its segment; it gets -1
-            flat = np.fromiter((single.get(c, -1) for s in part for c in s), np.int64, total)
+            flat = self.id_of_char[np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)]
             owner = np.repeat(np.arange(len(part)), np.fromiter(map(len, part), np.int64, len(part)))
             s, o = self.rounds(flat, owner)
             cut = np.searchsorted(o, np.arange(len(part) + 1))
             values = s.tolist()
+            id_text, text_of = self.id_text, self.text_of
             for k, word in enumerate(part):
                 ids = values[cut[k] : cut[k + 1]]
                 if -1 in ids:
                     ids = [self.byte_id[b] for b in word.encode("utf-8", "replace")]
-                self.known[word] = (",".join(map(str, ids)), len(ids), b"".join(map(self.text_of.__getitem__, ids)))
+                self.ids_of[word] = ",".join([id_text[i] for i in ids])
+                self.bytes_of[word] = b"".join([text_of[i] for i in ids])
             at = end
 
+    def know(self, segments: set[str]) -> None:
+        """Sees that all of these segments are in the table."""
+        new = segments.difference(self.ids_of)
+        if len(self.ids_of) + len(new) > REMEMBERED and self.ids_of:
+            self.old = self.ids_of, self.bytes_of
+            self.ids_of, self.bytes_of = {}, {}
+            new = segments
+        ids, decoded = self.old
+        again = new.intersection(ids) if ids else set()
+        for s in again:
+            self.ids_of[s], self.bytes_of[s] = ids[s], decoded[s]
+        if len(again) < len(new):
+            self.learn(list(new - again))
+
     def split(self, text: str) -> list[str]:
         return self.segments.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode_parts(self, text: str) -> list[tuple[str, int, bytes]]:
-        """Of each segment of the text: its ids as text, their number, its decoded bytes."""
-        segments = self.split(text)
-        known = self.known
-        new = [s for s in dict.fromkeys(segments) if s not in known]
-        if len(known) + len(new) > REMEMBERED and known:
-            known.clear()
-            new = list(dict.fromkeys(segments))
-        if new:
-            self.learn(new)
-        return [known[s] for s in segments]
-
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, _, _ in self.encode_parts(text or "") for i in ids.split(",")]
+        ids = self.summaries([text])[0][1]
+        return [int(i) for i in ids.split(",")] if ids else []
 
     def decode(self, ids: Iterable[int]) -> str:
         ids = list(ids)
@@ -198,10 +209,31 @@ class PieceCodec:
             data = data[1:]
         return data.decode("utf-8", "replace")
 
-    def summary(self, text: str | None) -> tuple[int, str, str, str]:
-        """Number of ids, ids joined by commas, the decoded text; the first segment always bears the dummy prefix."""
-        parts = self.encode_parts(text or "")
-        return sum(p[1] for p in parts), ",".join([p[0] for p in parts]), b"".join([p[2] for p in parts])[1:].decode("utf-8", "replace")
+    def summaries(self, texts: Iterable[str | None]) -> list[tuple[int, str, str]]:
+        """Of each text: the number of its ids, the ids joined by commas, the decoded text.
+
+        The first segment always bears the dummy prefix, which decoding drops.
+        """
+        out: list[tuple[int, str, str]] = []
+        held: list[list[str]] = []
+        size = 0
+
+        def flush() -> None:
+            self.know(set().union(*held))
+            ids_of, bytes_of = self.ids_of.__getitem__, self.bytes_of.__getitem__
+            for segments in held:
+                ids = ",".join(map(ids_of, segments))
+                out.append((ids.count(",") + 1 if ids else 0, ids, b"".join(map(bytes_of, segments))[1:].decode("utf-8", "replace")))
+            held.clear()
+
+        for text in texts:
+            held.append(self.split(text or ""))
+            size += len(text or "")
+            if size > BATCH_TEXT:
+                flush()
+                size = 0
+        flush()
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -219,8 +251,7 @@ def encode_decode(docs: DataFrame, model: str | None = None, texts: bool = True)
         own = codec(model or piece_model())
         for pdf in batches:
             rows = []
-            for text in pdf["text"]:
-                n, ids, decoded = own.summary(text if isinstance(text, str) else None)
+            for n, ids, decoded in own.summaries([t if isinstance(t, str) else None for t in pdf["text"]]):
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest(), *((ids, decoded) if texts else ())))
             yield pd.concat([pdf[kept].reset_index(drop=True), pd.DataFrame(rows, columns=list(added))], axis=1)
 

@@ -22,7 +22,7 @@ def test_cases(lib):
     for t in CASES:
         assert own.encode(t) == lib.encode(t), t[:30]
         assert own.decode(own.encode(t)) == lib.decode(lib.encode(t)), t[:30]
-        n, ids, decoded = own.summary(t)
+        n, ids, decoded = own.summaries([t])[0]
         assert n == len(lib.encode(t)) and decoded == lib.decode(lib.encode(t))
 
 
@@ -32,7 +32,7 @@ def test_random_texts(lib):
     for _ in range(3000):
         t = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60)))
         assert own.encode(t) == lib.encode(t), t
-        assert own.summary(t)[2] == lib.decode(lib.encode(t)), t
+        assert own.summaries([t])[0][2] == lib.decode(lib.encode(t)), t
 
 
 def test_table_is_bounded(lib, monkeypatch):
