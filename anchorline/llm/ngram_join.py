@@ -288,7 +288,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     placed = wanted.join(plans, "cluster").select("fp", "cluster", "blocks", "doc_id", F.when(F.col("blocks") == 0, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks"))).cast("int").alias("block"))
     placed = placed.withColumn("own", F.when(F.col("blocks") == 0, F.lit(0)).otherwise(F.col("cluster")))
     # a null or repeated id can't stand for a set's text, so the fingerprint decides after the join on ids
-    source = texts.join(placed, texts["doc_id"].eqNullSafe(placed["doc_id"])).select("text", "fp")
+    # merged at every size: the texts are shuffled once, and nothing that grows is broadcast
+    source = texts.hint("merge").join(placed, texts["doc_id"].eqNullSafe(placed["doc_id"])).select("text", "fp")
     sets = source.mapInArrow(_shingles_of(n), "fp long, shingles array<long>").dropDuplicates(["fp"])
     sets = materialize(sets.join(placed.drop("doc_id"), "fp"), "join-shingles")
     roots = materialize(sets.groupBy("own", "blocks", "block").applyInArrow(_search(percent, False), "fp long, root long"), "join-roots")
