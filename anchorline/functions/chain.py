@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 _STATE = "array<struct<l:int,e:bigint,i:int,p:int>>"
 
 
-def _bind(value: Column, body) -> Column:
+def bind(value: Column, body) -> Column:
     """body(value), with value evaluated once."""
     return F.transform(F.array(value), body)[0]
 
@@ -26,14 +26,14 @@ def _longest(anchors: Column, sign: int) -> Column:
 
     def grow(acc: Column, x: Column) -> Column:
         before = F.array_min(F.transform(F.filter(acc, lambda b: b["e"] < start(x)), lambda b: F.struct((-b["l"]).alias("nl"), b["e"].alias("e"), b["i"].alias("i"))))
-        made = _bind(before, lambda b: F.struct((1 - F.coalesce(b["nl"], F.lit(0))).alias("l"), end(x).alias("e"), F.size(acc).alias("i"), F.coalesce(b["i"], F.lit(-1)).alias("p")))
+        made = bind(before, lambda b: F.struct((1 - F.coalesce(b["nl"], F.lit(0))).alias("l"), end(x).alias("e"), F.size(acc).alias("i"), F.coalesce(b["i"], F.lit(-1)).alias("p")))
         return F.concat(acc, F.array(made))
 
     table = F.aggregate(anchors, F.expr(f"cast(array() as {_STATE})"), grow)
 
     def back(acc: Column) -> Column:
         last = F.array_min(F.transform(acc, lambda b: F.struct((-b["l"]).alias("nl"), b["e"].alias("e"), b["i"].alias("i"))))
-        places = _bind(last, lambda b: F.aggregate(
+        places = bind(last, lambda b: F.aggregate(
             F.sequence(F.lit(1), -b["nl"]),
             F.struct(b["i"].alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
             lambda st, _: F.struct(F.get(acc, st["at"])["p"].alias("at"), F.concat(F.array(st["at"]), st["out"]).alias("out")),
@@ -41,16 +41,16 @@ def _longest(anchors: Column, sign: int) -> Column:
         ))
         return F.coalesce(places, F.expr("cast(array() as array<int>)"))
 
-    return F.transform(_bind(table, back), lambda i: F.get(anchors, i))
+    return F.transform(bind(table, back), lambda i: F.get(anchors, i))
 
 
 def collinear_chain(anchors: Column) -> Column:
     """anchors: array of structs with qry_start, qry_end, qry_rev, in reference order."""
-    ahead = _bind(F.filter(anchors, lambda x: ~x["qry_rev"]), lambda a: _longest(a, 1))
-    behind = _bind(F.filter(anchors, lambda x: x["qry_rev"]), lambda a: _longest(a, -1))
-    return _bind(F.struct(ahead.alias("f"), behind.alias("r")), lambda c: F.when(F.size(c["f"]) >= F.size(c["r"]), c["f"]).otherwise(c["r"]))
+    ahead = bind(F.filter(anchors, lambda x: ~x["qry_rev"]), lambda a: _longest(a, 1))
+    behind = bind(F.filter(anchors, lambda x: x["qry_rev"]), lambda a: _longest(a, -1))
+    return bind(F.struct(ahead.alias("f"), behind.alias("r")), lambda c: F.when(F.size(c["f"]) >= F.size(c["r"]), c["f"]).otherwise(c["r"]))
 
 
 def major_chromosome(chroms: Column) -> Column:
     """The commonest value; the smallest of those that tie."""
-    return _bind(chroms, lambda cs: F.array_min(F.transform(F.array_distinct(cs), lambda c: F.struct((-F.size(F.filter(cs, lambda x: x == c))).alias("n"), c.alias("c"))))["c"])
+    return bind(chroms, lambda cs: F.array_min(F.transform(F.array_distinct(cs), lambda c: F.struct((-F.size(F.filter(cs, lambda x: x == c))).alias("n"), c.alias("c"))))["c"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from anchorline.config import Settings
 from anchorline.functions import scalar as S
-from anchorline.functions.chain import collinear_chain, major_chromosome
+from anchorline.functions.chain import bind, collinear_chain, major_chromosome
 from anchorline.operators import nearest as N
 from anchorline.operators.blocks import PAIR, block_ranks
 from anchorline.storage import materialize
@@ -33,6 +33,17 @@ class BlockIndex:
         return cls(ranks, materialize(N.pages(ranks, "rn_start", s.nearest), "pages-start"), materialize(N.pages(ranks, "rn_end", s.nearest), "pages-end"))
 
 
+def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """df with new columns that are computed once a row.
+
+    Merged projections put an expression wherever its column is used, also into
+    functions of array elements, where it would run once an element; the
+    output of a generator stays a column.
+    """
+    packed = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_once")
+    return df.select(*keep, packed).select(*keep, "_once.*")
+
+
 def anchors(points: DataFrame, index: BlockIndex, s: Settings) -> DataFrame:
     """KEYS with all anchors of each distinct point in chain order, as ``anchors`` (side u, o or d)."""
     points = points.select(*KEYS).distinct()
@@ -41,13 +52,13 @@ def anchors(points: DataFrame, index: BlockIndex, s: Settings) -> DataFrame:
     up = N.nearest_up(points, index.ranks, index.by_end, s.nearest).select(*KEYS, F.transform("found", lambda b: keep(b, "u")).alias("a"))
     on = N.over(points, index.ranks).select(*KEYS, F.array(keep(F.col("block"), "o")).alias("a"))
     met = down.unionByName(up).unionByName(on).groupBy(*KEYS).agg(F.flatten(F.collect_list("a")).alias("a"))
-    return met.select(*KEYS, F.array_sort("a").alias("anchors"))
+    return once(met, KEYS, anchors=F.array_sort("a"))
 
 
 def majority(found: DataFrame) -> DataFrame:
     """Anchors on the commonest query chromosome, of points that have some on both sides."""
-    on = found.withColumn("major", major_chromosome(F.transform("anchors", lambda a: a["qry_chrom"])))
-    on = on.withColumn("anchors", F.filter("anchors", lambda a: a["qry_chrom"] == F.col("major")))
+    picked = bind(major_chromosome(F.transform("anchors", lambda a: a["qry_chrom"])), lambda m: F.struct(m.alias("major"), F.filter("anchors", lambda a: a["qry_chrom"] == m).alias("anchors")))
+    on = once(found, KEYS, picked=picked).select(*KEYS, "picked.major", "picked.anchors")
     return on.where(F.exists("anchors", lambda a: a["side"] == "u") & F.exists("anchors", lambda a: a["side"] == "d"))
 
 
@@ -57,7 +68,7 @@ def _ends(a: Column) -> Column:
 
 def chained(found: DataFrame, s: Settings) -> DataFrame:
     """``chain``: the longest collinear chain of each point's majority anchors, where it is long enough."""
-    return majority(found).select(*KEYS, "major", collinear_chain(F.col("anchors")).alias("chain")).where(F.size("chain") >= s.least_chain)
+    return once(majority(found), [*KEYS, "major"], chain=collinear_chain(F.col("anchors"))).where(F.size("chain") >= s.least_chain)
 
 
 def hops(points: DataFrame, index: BlockIndex, genomes: DataFrame, s: Settings) -> DataFrame:
@@ -69,11 +80,12 @@ def hops(points: DataFrame, index: BlockIndex, genomes: DataFrame, s: Settings)
     chain = chained(anchors(points, index, s), s)
     loc = F.col("loc")
     best_up = F.reduce(F.filter("chain", lambda a: a["ref_end"] < loc), F.expr(f"cast(null as {_anchor_type()})"), lambda b, a: F.when(b.isNull() | (b["ref_end"] < a["ref_end"]), a).otherwise(b))
-    cut = chain.withColumns({
-        "on": F.filter("chain", lambda a: (a["ref_start"] <= loc) & (loc <= a["ref_end"])),
-        "up": best_up,
-        "down": F.get(F.filter("chain", lambda a: a["ref_start"] > loc), F.lit(0)),
-    })
+    cut = once(
+        chain, [*KEYS, "major"],
+        on=F.filter("chain", lambda a: (a["ref_start"] <= loc) & (loc <= a["ref_end"])),
+        up=best_up,
+        down=F.get(F.filter("chain", lambda a: a["ref_start"] > loc), F.lit(0)),
+    )
     cut = cut.join(genomes.select(F.col("species").alias("ref_sp"), "genome_size"), "ref_sp")
     up, down = F.col("up"), F.col("down")
     exact = lambda a: F.when(a["qry_rev"], a["qry_start"] - (loc - a["ref_start"])).otherwise(a["qry_start"] + (loc - a["ref_start"]))
