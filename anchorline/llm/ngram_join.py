@@ -44,6 +44,8 @@ from anchorline.llm.components import connected
 
 #: Shingles of a block; components above a quarter of it have blocks of their own.
 BLOCK = 4_000_000
+#: At most so many candidate sets (ids and numbers, some 50 bytes each) are broadcast to the texts.
+BROADCAST_SETS = 400_000
 #: A probe costs as much as scanning so many postings.
 PROBE_COST = 60
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
@@ -286,15 +288,18 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     blocks = F.when(F.col("weight") * 4 <= BLOCK, 0).otherwise(F.ceil(F.col("weight") / BLOCK)).cast("int")
     plans = plans.select("cluster", blocks.alias("blocks"))
     placed = wanted.join(plans, "cluster").select("fp", "cluster", "blocks", "doc_id", F.when(F.col("blocks") == 0, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks"))).cast("int").alias("block"))
-    placed = placed.withColumn("own", F.when(F.col("blocks") == 0, F.lit(0)).otherwise(F.col("cluster")))
-    # a null or repeated id can't stand for a set's text, so the fingerprint decides after the join on ids
-    # merged at every size: the texts are shuffled once, and nothing that grows is broadcast
-    source = texts.hint("merge").join(placed, texts["doc_id"].eqNullSafe(placed["doc_id"])).select("text", "fp")
-    sets = source.mapInArrow(_shingles_of(n), "fp long, shingles array<long>").dropDuplicates(["fp"])
-    sets = materialize(sets.join(placed.drop("doc_id"), "fp"), "join-shingles")
+    # a null or repeated id may stand for several texts: the fingerprint decides after the join on ids
+    placed = materialize(placed.withColumn("own", F.when(F.col("blocks") == 0, F.lit(0)).otherwise(F.col("cluster")).cast("long")), "join-placed")
+    small = placed.count() <= BROADCAST_SETS
+    # few candidates go to where the texts are; many meet them by merging
+    at, to = (texts, F.broadcast(placed)) if small else (texts.hint("merge"), placed)
+    source = at.join(to, texts["doc_id"].eqNullSafe(placed["doc_id"])).select("text", "fp", "own", "blocks", "block")
+    sets = source.mapInArrow(_shingles_of(n), "fp long, own long, blocks int, block int, shingles array<long>")
+    split = bool(placed.where("blocks > 1").limit(1).count())
+    if split:
+        sets = materialize(sets.dropDuplicates(["fp"]), "join-shingles")
     roots = materialize(sets.groupBy("own", "blocks", "block").applyInArrow(_search(percent, False), "fp long, root long"), "join-roots")
-
-    if plans.where("blocks > 1").limit(1).count():
+    if split:
         roots = materialize(_across(sets, roots, percent), "join-across")
     named = each.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -306,14 +311,16 @@ def _shingles_of(n: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps: list[int] = []
+            rows: list[int] = []
             sets: list[np.ndarray] = []
             wanted = b.column("fp").to_pylist()
             for _, i, s in _sets(iter([b]), n):
                 if len(s) and int(fingerprint(s).view(np.int64)) == wanted[i]:
-                    fps.append(wanted[i]), sets.append(s)
+                    rows.append(i), sets.append(s)
             cut = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))], ["fp", "shingles"])
+            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("fp", "own", "blocks", "block")), lists], ["fp", "own", "blocks", "block", "shingles"])
 
     return run
 

@@ -65,6 +65,7 @@ def test_components(spark, seed, n, percent):
 def test_split_components(spark, monkeypatch):
     """Components far above a block: the same result."""
     monkeypatch.setattr(J, "BLOCK", 900)
+    monkeypatch.setattr(J, "BROADCAST_SETS", 10)
     rows = groups(4, 120)
     got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 3, 85)
