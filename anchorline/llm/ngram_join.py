@@ -8,10 +8,12 @@ Links join documents whose shingle sets have a Jaccard similarity of
 2. Candidates.  Two linked sets of sizes n <= m differ in d(n) shingles at most.
    Shingles are dealt by hash to K > d(n) parts, so that some part is equal in
    both; the hash of each part's shingles is a signature.  K depends on a class
-   of sizes; a set close to the next lower class signs for that one too.  Empty
-   parts don't sign: K exceeds d(n) by more than the empty parts of nearly every
-   set, and sets with more of them sign their empty parts as well.  So no linked
-   pair is lost, and no list of candidates hangs on one common shingle.
+   of sizes; a set close to the next lower class signs for that one too.  Shingles
+   of passages that unlike texts share, as far as a sample shows them, don't count in the parts: leaving
+   shingles out of all sets only lowers their differences.  Empty parts don't
+   sign: K exceeds d(n) by more than the empty parts of nearly every set, and
+   sets with more of them sign with all their shingles as well.  So no linked
+   pair is lost, whatever the sample holds.
    Sorted by signature, each run of sets is a star of candidate edges.
 3. The candidate graph's components are dealt to blocks of a bounded number of
    shingles (small components share one).  In a block, DivideSkip finds the
@@ -46,6 +48,8 @@ from anchorline.llm.components import connected
 BLOCK = 4_000_000
 #: At most so many candidate sets (ids and numbers, some 50 bytes each) are broadcast to the texts.
 BROADCAST_SETS = 400_000
+#: The sample in which shared passages are sought, and the most of their shingles that are set aside.
+SAMPLE_TEXTS, COMMON = 8_000, 200_000
 #: A probe costs as much as scanning so many postings.
 PROBE_COST = 60
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
@@ -87,16 +91,33 @@ def parts_for(n: int, percent: int) -> tuple[tuple[int, int, int], ...]:
         k, low, high = size_class(low - 1)
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
+def _part_hashes(s: np.ndarray, k: int, parts: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each part: the hash of its shingles, and whether it has any."""
+    part = (s % np.uint64(parts)).astype(np.int64)
+    sums = np.zeros(parts, np.uint64)
+    np.add.at(sums, part, fmix(s + _EMPTY))
+    which = np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return fmix(sums + which + np.uint64(((2 * k + salt + 1) * 0xD1342543DE82EF95) % 2**64)), np.bincount(part, minlength=parts) > 0
+
+
+def signatures(s: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of a set; two linked sets share one, whatever ``common`` (sorted) is.
+
+    Shingles in ``common`` take no part in the first kind, which a set signs with
+    its parts that aren't empty: of two linked sets one of which has less empty parts than
+    spare ones, some equal part isn't empty.  A set with more empty parts signs with all its
+    shingles too, and, if even then too many are empty, with the empty parts.
+    """
     found = []
-    mixed = fmix(s + _EMPTY)
+    rest = s
+    if common is not None and len(common):
+        rest = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s]
     for k, parts, d in parts_for(len(s), percent):
-        part = (s % np.uint64(parts)).astype(np.int64)
-        sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, part, mixed)
-        full = np.bincount(part, minlength=parts) > 0
-        which = np.arange(parts) if parts - int(full.sum()) >= parts - d else np.flatnonzero(full)
-        found.append(fmix(sums[which] + which.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((k + 1) * 0xD1342543DE82EF95 % 2**64)))
+        h, full = _part_hashes(rest, k, parts, 0)
+        found.append(h[full])
+        if parts - int(full.sum()) >= parts - d:
+            h, full = _part_hashes(s, k, parts, 1)
+            found.append(h if parts - int(full.sum()) >= parts - d else h[full])
     return np.concatenate(found)
 
 
@@ -119,7 +140,25 @@ def _describe(n: int) -> Callable:
     return run
 
 
-def _sign(n: int, percent: int) -> Callable:
+def _sample_shingles(n: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, s in _sets(batches, n):
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), len(s), np.int64))], ["h", "n"])
+
+    return run
+
+
+def common_shingles(texts: DataFrame, each: DataFrame, n: int, percent: int) -> np.ndarray:
+    """Shingles that texts of unlike sizes share, in a sample: passages rather than copies. They steer cost, never results."""
+    chosen = each.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_TEXTS).select("doc_id")
+    some = texts.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(_sample_shingles(n), "h long, n long")
+    seen = some.groupBy("h").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")).where(f"c >= 3 and hi * {percent} > lo * 125")
+    top = seen.orderBy(F.desc("c"), "h").limit(COMMON).select("h").toArrow()
+    return np.sort(top["h"].to_numpy().view(np.uint64))
+
+
+def _sign(n: int, percent: int, common: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         sigs: list[np.ndarray] = []
@@ -137,7 +176,7 @@ def _sign(n: int, percent: int) -> Callable:
             if len(seen) > 500_000:
                 seen.clear()
             seen.add(f)
-            g = signatures(s, percent)
+            g = signatures(s, percent, common)
             sigs.append(g), fps.append(np.full(len(g), f))
             held += len(g)
             if held > 200_000:
@@ -275,7 +314,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     """doc_id, n_shingles, fp (null without shingles), component_id of every row of docs (doc_id, text)."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     each = materialize(texts.mapInArrow(_describe(n), "doc_id long, n_shingles long, fp long"), "join-sets")
-    signed = texts.select("text").mapInArrow(_sign(n, percent), "sig long, fp long")
+    signed = texts.select("text").mapInArrow(_sign(n, percent, common_shingles(texts, each, n, percent)), "sig long, fp long")
     stars = signed.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(_stars, "u long, v long")
     clusters = materialize(connected(stars, "join-candidates").select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "join-clusters")
 

@@ -104,7 +104,10 @@ def test_linked_sets_share_a_signature():
             b = np.unique(np.r_[a[gone:], rng.integers(0, 2**62, int(rng.integers(0, n // 8 + 1))).astype(np.uint64)])
             o = len(np.intersect1d(a, b))
             if 100 * o >= percent * (len(a) + len(b) - o) and len(b):
-                assert len(np.intersect1d(J.signatures(a, percent), J.signatures(b, percent)))
+                either = np.union1d(a, b)
+                for share in (0, 0.3, 0.8, 1):
+                    common = either[rng.random(len(either)) < share]
+                    assert len(np.intersect1d(J.signatures(a, percent, common), J.signatures(b, percent, common)))
 
 
 def test_one_row_of_each_group_stays(messy):
