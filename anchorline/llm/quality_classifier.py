@@ -60,7 +60,7 @@ def _index_vectors(known: np.ndarray) -> np.ndarray:
     out = np.zeros((len(keys), DIM), np.float32)
     rows = np.arange(len(keys))
     for k in range(NONZERO):
-        h = fmix(keys + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1))
+        h = fmix(keys + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64))
         out[rows, (h >> np.uint64(8)) % np.uint64(DIM)] += np.where(h & np.uint64(1), 1.0, -1.0)
     return out
 
