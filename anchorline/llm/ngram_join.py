@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from anchorline.llm.common import chunks, fmix, materialize, shingle_set, table, text_bytes, word_hashes
 from anchorline.llm.components import connected
@@ -310,8 +311,8 @@ def _search(percent: int, asked: bool) -> Callable:
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, fp (null without shingles), component_id of every row of docs (doc_id, text)."""
+def _rooted(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, fp and root (both null without shingles) of every row of docs (doc_id, text); linked texts have one root."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     each = materialize(texts.mapInArrow(_describe(n), "doc_id long, n_shingles long, fp long"), "join-sets")
     signed = texts.select("text").mapInArrow(_sign(n, percent, common_shingles(texts, each, n, percent)), "sig long, fp long")
@@ -340,7 +341,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     roots = materialize(sets.groupBy("own", "blocks", "block").applyInArrow(_search(percent, False), "fp long, root long"), "join-roots")
     if split:
         roots = materialize(_across(sets, roots, percent), "join-across")
-    named = each.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return each.join(roots, "fp", "left").select("doc_id", "n_shingles", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, fp (null without shingles), component_id of every row of docs (doc_id, text)."""
+    named = _rooted(docs, n, percent)
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(least, "root", "left").select("doc_id", "n_shingles", "fp", F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -389,16 +395,31 @@ def _across(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return connected(edges, "join-all").select(F.col("node").alias("fp"), "root")
 
 
+def _with_fingerprint(n: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [int(fingerprint(s).view(np.int64)) if len(s) else None for _, _, s in _sets(iter([b]), n)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], [*b.schema.names, "__join_fp"])
+
+    return run
+
+
 def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs (with their columns) whose id names their component; of repeated ids the first by a hash of the row.
+    """One row of docs (with its columns) of each component: that with the least id, then the first by a hash of the row.
 
-    A text without shingles stays; a row without id stays only if no row with an id is linked to it.
+    Each row whose text has no shingles stays; a row without id stays only if no row with an id is linked to it.
     """
-    found = jaccard_components(docs, n, percent)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__join_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("__join_id")), "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    return kept.withColumn("__join_n", one).where("__join_n = 1").drop("__join_n")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("fp")))
+    first = _rooted(docs, n, percent).where("root is not null").groupBy("root").agg(lead.alias("d"))
+    first = first.select(F.coalesce("d.doc_id", F.lit(0)).cast("long").alias("__join_id"), F.col("d.none").alias("__join_none"), F.col("d.fp").alias("__join_fp"), F.lit(True).alias("__join_first"))
+    # an id may be null or stand for several texts, so that rows are known by their fingerprint too; a row without shingles has a key of its own
+    read = docs.mapInArrow(_with_fingerprint(n), StructType([*docs.schema, StructField("__join_fp", LongType())]))
+    known = F.when(F.col("__join_fp").isNull(), F.monotonically_increasing_id()).otherwise(F.coalesce("doc_id", F.lit(0)))
+    read = read.withColumns({"__join_id": known.cast("long"), "__join_none": F.col("doc_id").isNull()})
+    keys = ["__join_id", "__join_none", "__join_fp"]
+    kept = read.join(first, keys, "left").where("__join_fp is null or __join_first")
+    one = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    return kept.withColumn("__join_n", one).where("__join_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

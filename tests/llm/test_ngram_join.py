@@ -6,6 +6,7 @@ import pytest
 
 from anchorline.llm import ngram_join as J
 from anchorline.llm.components import connected
+from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -117,6 +118,15 @@ def test_one_row_of_each_group_stays(messy):
     assert len(ids) == len(set(ids)) and {0, 3, 4, 5} <= set(ids) and not {1, 2} & set(ids)
 
 
+def test_rows_without_id_and_repeated_ids_keep_their_texts(spark):
+    """Different texts stay whether ids are null or repeated; of copies the one with an id stays."""
+    rnd = random.Random(8)
+    a, b, c, d, e = (prose(rnd, 60) for _ in range(5))
+    rows = [(None, a), (None, b), (7, c), (7, d), (None, c), (3, e), (None, e), (7, e), (None, None), (None, ""), (7, c), (None, b)]
+    got = J.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, a), (None, b), (7, c), (7, d), (3, e), (None, None), (None, "")]))
+
+
 def test_empty(nothing):
     assert J.jaccard_components(nothing).count() == 0
 
