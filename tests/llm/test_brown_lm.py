@@ -93,6 +93,51 @@ def test_exchange_raises_information():
     assert info(found) > 0.95 * info(np.r_[true, 3])
 
 
+def test_rare_words_go_by_their_neighbours(spark):
+    """Words outside the frequent ones that end alike but have unlike neighbours have classes of their own."""
+    rng = np.random.default_rng(3)
+    rows = []
+    pick = lambda side: f"{side}{rng.integers(170)}{side}"
+    for k in range(1200):
+        common = [f"{pick(a)} f{rng.integers(50)}{side} {pick(b)}" for _ in range(8) for a, b, side in (("p", "q", "left_aa"), ("s", "t", "right_bb"))]
+        rows.append((" ".join([*common, f"{pick('p')} r{k % 300}left_zz {pick('q')} {pick('s')} r{k % 300}right_zz {pick('t')}"]),))
+    m = B.train(spark.createDataFrame(rows, "text string"))
+    g = {r.h: r.g for r in m["counts"].collect()}
+    kind = {int(h): k for h, k in zip(m["hot"].h.view(np.int64), m["hot"].kind)}
+    found = {}
+    for side in ("left", "right"):
+        text = np.frombuffer(" ".join(f"r{k}{side}_zz" for k in range(300)).encode(), np.uint8)
+        hashes = B.word_hashes(text, np.array([0, len(text)]), lower=True)[0].view(np.int64)
+        found[side] = Counter(int(m["of"][kind[h] if kind.get(h, -1) >= 0 else B.FREQUENT + g[h]]) for h in hashes.tolist())
+    assert sum((found["left"] & found["right"]).values()) < 0.05 * 300, found
+
+
+def test_gain_is_the_exchanges(spark):
+    """One word's class by sparse neighbours is the class that raises the information of all class bigrams most."""
+    rng = np.random.default_rng(4)
+    size, k = 200, B.CLASSES
+    n = rng.poisson(0.4, (size, size)).astype(float)
+    of = np.r_[rng.integers(0, k - 1, size - 1), k - 1]
+
+    def info(now):
+        one = np.zeros((size, k))
+        one[np.arange(size), now] = 1
+        p = one.T @ n @ one
+        x = lambda v: v * np.log(np.maximum(v, 1e-300))
+        return x(p).sum() - x(p.sum(0)).sum() - x(p.sum(1)).sum()
+
+    one = np.zeros((size, k))
+    one[np.arange(size), of] = 1
+    for w in range(0, 40):
+        others = one.copy()
+        others[w] = 0
+        near = np.r_[n[w] @ others, n[:, w] @ others, n[w, w]]
+        code = np.flatnonzero(near)
+        got = B.best_classes(one.T @ n @ one, np.zeros(len(code), np.int64), code, near[code], of[w : w + 1])[0]
+        tried = [info(np.r_[of[:w], c, of[w + 1 :]]) for c in range(k - 1)]
+        assert got == int(np.argmax(tried))
+
+
 def test_better_than_unigrams(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(f"{'xyz'[(k + i) % 3]}{rng.integers(40)}" for k in range(60))) for i in range(200)]
