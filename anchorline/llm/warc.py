@@ -1,9 +1,10 @@
 """WARC derivatives: response records become linked metadata and plain-text conversion records.
 
 A response record is a row of ``RESPONSE_COLUMNS``; ``responses`` makes them from
-crawled pages and ``read_warc`` from WARC files.  ``derive`` gives, for every
+crawled pages, ``read_responses`` from WARC files (payloads as bytes, with digests of what the
+file has), ``read_warc`` the same as strings.  ``derive`` gives, for every
 response, a ``metadata`` record (the source's HTTP status and headers, the sizes
-and digests of its block and payload) and, where the payload is text, a
+and digests of its block and payload) and, where the HTTP content type is text, a
 ``conversion`` record with the plain text.  Both carry WARC-Refers-To (the
 response's record id), its target and date, and digests of their own blocks;
 ids are made from the response's id, so that reruns agree.  ``write_warc`` writes records as
@@ -20,6 +21,9 @@ empty table gives no records; extra columns aren't carried.
 from __future__ import annotations
 
 import gzip
+import hashlib
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,6 +34,9 @@ from anchorline.llm.common import table
 
 RESPONSE_COLUMNS = ("record_id", "target_uri", "warc_date", "content_type", "http_headers", "payload")
 DERIVED_COLUMNS = ("record_id", "record_type", "refers_to", "target_uri", "warc_date", "content_type", "source_headers", "source_digest", "block", "block_digest", "content_length")
+#: What ``read_responses`` adds: digests of the source record's own bytes, as the file gives them or by sha256, and the text of a textual payload.
+SOURCE_COLUMNS = ("source_block_digest", "source_payload_digest", "source_text")
+TEXT_TYPES = r"^(text/.*|application/(.*\+)?xml)$"
 DATE = "2024-01-01T00:00:00Z"
 #: Character references that occur in the pages and their texts, and the tags that end a line: fixed values.
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -69,18 +76,24 @@ def plain_text(html: Column) -> Column:
 
 
 def derive(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Metadata and conversion records of response records, in DERIVED_COLUMNS, after the carried columns."""
-    source_digest = _digest(F.col("payload"))
-    full = F.concat(F.col("http_headers"), F.lit(CRLF), F.col("payload"))
+    """Metadata and conversion records of response records, in DERIVED_COLUMNS, after the carried columns.
+
+    Records of ``read_responses`` bring digests of the source's bytes and the payload's text; others have these made from the payload.
+    """
+    given = set(records.columns) >= set(SOURCE_COLUMNS)
+    source_digest = F.col("source_payload_digest") if given else _digest(F.col("payload"))
+    block_digest = F.col("source_block_digest") if given else _digest(F.concat(F.col("http_headers"), F.lit(CRLF), F.col("payload")))
+    mime = F.lower(F.regexp_extract("http_headers", r"(?im)^content-type:[ \t]*([^;\s]+)", 1))
+    text = F.when((mime == "") | mime.rlike(TEXT_TYPES), plain_text(F.col("source_text" if given else "payload")))
     fields = F.concat(
         F.lit("source-record-id: "), F.col("record_id"), F.lit(CRLF),
         F.lit("source-content-type: "), F.coalesce("content_type", F.lit("")), F.lit(CRLF),
-        F.lit("source-block-digest: "), _digest(full), F.lit(CRLF),
+        F.lit("source-block-digest: "), block_digest, F.lit(CRLF),
         F.lit("source-payload-digest: "), source_digest, F.lit(CRLF),
         F.lit("source-payload-length: "), F.octet_length("payload").cast("string"), F.lit(CRLF),
         F.lit("http-status-line: "), F.substring_index("http_headers", CRLF, 1), F.lit(CRLF),
     )
-    made = records.withColumns({"_meta": fields, "_text": plain_text(F.col("payload")), "_digest": source_digest})
+    made = records.withColumns({"_meta": fields, "_text": text, "_digest": source_digest})
     one = lambda kind, mime, block: F.struct(F.lit(kind).alias("record_type"), F.lit(mime).alias("content_type"), block.alias("block"))
     both = F.array_compact(F.array(one("metadata", "application/warc-fields", F.col("_meta")), F.when(F.col("_text") != "", one("conversion", "text/plain; charset=utf-8", F.col("_text")))))
     each = made.select(*carry, "record_id", "target_uri", "warc_date", "http_headers", "_digest", F.explode(both).alias("r"))
@@ -91,9 +104,10 @@ def derive(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def warc_record(r: dict) -> bytes:
-    """One record of DERIVED_COLUMNS as WARC/1.1 bytes."""
+    """One record of DERIVED_COLUMNS as WARC/1.1 bytes; the source's HTTP headers are one field, a JSON string."""
     block = (r["block"] or "").encode("utf-8", "replace")
-    names = (("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["warc_date"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Block-Digest", r["block_digest"]), ("Content-Type", r["content_type"]), ("Content-Length", str(len(block))))
+    names = (("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["warc_date"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Block-Digest", r["block_digest"]), ("Content-Type", r["content_type"]), ("Content-Length", str(len(block))),
+             ("WARC-Source-Payload-Digest", r["source_digest"]), ("WARC-Source-HTTP-Headers", None if r["source_headers"] is None else json.dumps(r["source_headers"])))
     head = "".join(f"{k}: {v}{CRLF}" for k, v in names if v is not None)
     return f"WARC/1.1{CRLF}{head}{CRLF}".encode("utf-8", "replace") + block + (CRLF * 2).encode()
 
@@ -124,8 +138,20 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files, plain or gzipped, in RESPONSE_COLUMNS; a file is one task's unit."""
+def _text(http: str, payload: bytes) -> str | None:
+    """The payload by its charset (UTF-8 if none or an unknown one is named); null if its content type isn't text."""
+    kind = re.search(r"(?im)^content-type:[ \t]*([^;\s]*)([^\r\n]*)", http)
+    if kind and kind[1] and not re.search(TEXT_TYPES, kind[1].lower()):
+        return None
+    charset = re.search(r"(?i)charset=[\"']?([\w.:-]+)", kind[2]) if kind else None
+    try:
+        return payload.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Response records of WARC files, plain or gzipped, in RESPONSE_COLUMNS with the payload's bytes, and SOURCE_COLUMNS; a file is one task's unit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -134,12 +160,24 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for head, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     if head.get("warc-type") == "response":
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        rows.append((head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), head.get("content-type"), http.decode("utf-8", "replace") + CRLF, payload.decode("utf-8", "replace")))
-                yield pd.DataFrame(rows, columns=list(RESPONSE_COLUMNS))
+                        raw, _, payload = block.partition(b"\r\n\r\n")
+                        http = raw.decode("utf-8", "replace") + CRLF
+                        digests = (head.get(f"warc-{name}-digest") or "sha256:" + hashlib.sha256(x).hexdigest() for name, x in (("block", block), ("payload", payload)))
+                        rows.append((head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), head.get("content-type"), http, payload, *digests, _text(http, payload)))
+                yield pd.DataFrame(rows, columns=[*RESPONSE_COLUMNS, *SOURCE_COLUMNS])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, ", ".join(f"{c} string" for c in RESPONSE_COLUMNS))
+    return files.mapInPandas(run, ", ".join(f"{c} {'binary' if c == 'payload' else 'string'}" for c in (*RESPONSE_COLUMNS, *SOURCE_COLUMNS)))
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Response records of WARC files in RESPONSE_COLUMNS, payloads read as UTF-8: for text only, as digests of other payloads differ from the file's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(payload=[bytes(x).decode("utf-8", "replace") for x in pdf["payload"]])
+
+    return read_responses(spark, path).select(*RESPONSE_COLUMNS).mapInPandas(run, ", ".join(f"{c} string" for c in RESPONSE_COLUMNS))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

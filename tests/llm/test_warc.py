@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import json
 
 from anchorline.llm import warc as W
 
@@ -57,5 +58,22 @@ def test_reading_responses(spark, tmp_path):
     assert [tuple(r) for r in got] == want
 
 
+def test_source_bytes_headers_and_digests_stay(spark, tmp_path):
+    """Payloads that aren't UTF-8 or not text: digests of the file's bytes, its own digests, no conversion of images; headers in the derived files."""
+    sha = lambda b: "sha256:" + hashlib.sha256(b).hexdigest()
+    latin, image = "<p>caf\u00e9</p>".encode("latin-1"), b"\x89PNG\xff\xfe<p>no</p>"
+    blocks = {"l": b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n" + latin, "i": b"HTTP/1.1 200 OK\r\ncontent-type: image/png\r\n\r\n" + image}
+    more = {"l": "", "i": "WARC-Payload-Digest: sha1:OWN\r\n"}
+    (tmp_path / "a.warc").write_bytes(b"".join(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {k}\r\n{more[k]}Content-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for k, b in blocks.items()))
+    derived = W.derive(W.read_responses(spark, str(tmp_path))).cache()
+    got = {(r.refers_to, r.record_type): r for r in derived.collect()}
+    assert sorted(got) == [("i", "metadata"), ("l", "conversion"), ("l", "metadata")]
+    assert got["l", "conversion"].block == "caf\u00e9" and got["l", "metadata"].source_digest == sha(latin) and got["i", "metadata"].source_digest == "sha1:OWN"
+    assert all(f"source-block-digest: {sha(blocks[k])}" in got[k, "metadata"].block for k in blocks)
+    for head, _ in W.parse_warc(gzip.decompress(b"".join(bytes(r.member) for r in W.warc_bytes(derived).collect()))):
+        r = got[head["warc-refers-to"], head["warc-type"]]
+        assert json.loads(head["warc-source-http-headers"]) == r.source_headers and head["warc-source-payload-digest"] == r.source_digest
+
+
 def test_empty(spark):
     assert W.derive(W.responses(spark.createDataFrame([], SHAPE))).count() == 0
