@@ -4,6 +4,7 @@ import random
 
 import pytest
 import sentencepiece as spm
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from anchorline.llm import sentencepiece_codec as S
@@ -61,6 +62,14 @@ def test_stages(spark, folder):
             assert len(after) == len(before) and all(r.n_tokens == len(lib.encode(text[r.doc_id])) for r in after)
 
 
+def test_quality_stage_drops_what_is_predicted_bad(spark, folder, monkeypatch):
+    """Also documents that the classifier finds bad by little."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 5").dropDuplicates(["doc_id"])
+    scored = lambda d, _: d.withColumn("score", F.col("doc_id") * 0.15 + 0.1).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    monkeypatch.setattr(C.quality_classifier, "quality_scores", scored)
+    assert {r.doc_id for r in C.quality(spark, docs, folder).collect()} == {3, 4}
+
+
 def test_run_and_empty(spark, folder, tmp_path):
     assert C.run(spark, folder).count() > 100
     spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 0").write.parquet(f"{tmp_path}/documents.parquet")
