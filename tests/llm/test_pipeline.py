@@ -70,6 +70,15 @@ def test_quality_stage_drops_what_is_predicted_bad(spark, folder, monkeypatch):
     assert {r.doc_id for r in C.quality(spark, docs, folder).collect()} == {3, 4}
 
 
+def test_last_stage_gives_ids_and_texts(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 20").dropDuplicates(["doc_id"])
+    lib = spm.SentencePieceProcessor(model_file=S.piece_model())
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in C.pieces(spark, docs, folder).collect():
+        ids = lib.encode(text[r.doc_id])
+        assert [int(x) for x in r.ids.split(",")] == ids and r.decoded == lib.decode(ids)
+
+
 def test_run_and_empty(spark, folder, tmp_path):
     assert C.run(spark, folder).count() > 100
     spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 0").write.parquet(f"{tmp_path}/documents.parquet")
