@@ -44,25 +44,6 @@ def block_ranks(blocks: DataFrame) -> DataFrame:
     return ranked(ranked(blocks, "ref_start", START_ORDER, "rn_start"), "ref_end", END_ORDER, "rn_end")
 
 
-def positions_before(points: DataFrame, blocks: DataFrame, position: str, inclusive: bool, name: str) -> DataFrame:
-    """points (PAIR, loc, ...) with the number of their PAIR's blocks whose position is below loc, or at it.
-
-    An as-of search without a range join: points and blocks are sorted together
-    within a cell, whose blocks are counted up to each point; what lies in earlier cells
-    comes from the cells' counts.
-    """
-    keys = [*PAIR, "_cell"]
-    extra = [c for c in points.columns if c not in PAIR]
-    both = points.select(*PAIR, F.col("loc").alias("_at"), F.lit(0).alias("_block"), F.struct(*extra).alias("_point")).unionByName(
-        blocks.select(*PAIR, F.col(position).alias("_at"), F.lit(1).alias("_block")), allowMissingColumns=True
-    ).withColumn("_cell", cell_of(F.col("_at")))
-    cells = both.groupBy(*keys).agg(F.sum("_block").alias("_n"))
-    cells = cells.withColumn("_before", F.sum("_n").over(Window.partitionBy(*PAIR).orderBy("_cell")) - F.col("_n")).drop("_n")
-    run = Window.partitionBy(*keys).orderBy("_at", F.desc("_block") if inclusive else "_block").rowsBetween(Window.unboundedPreceding, 0)
-    counted = both.withColumn("_here", F.sum("_block").over(run)).where("_block = 0").join(cells, keys)
-    return counted.select(*PAIR, "_point.*", (F.col("_before") + F.col("_here")).alias(name))
-
-
 def chromosome_dictionary(seen: DataFrame) -> DataFrame:
     """seen: chrom, ord. Ids in order of first appearance; one row a chromosome passes the window."""
     first = seen.groupBy("chrom").agg(F.min("ord").alias("ord"))

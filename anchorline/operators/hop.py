@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from anchorline.config import Settings
 from anchorline.functions import scalar as S
-from anchorline.functions.chain import bind, collinear_chain, major_chromosome
+from anchorline.functions.chain import bind, chain_places, major_chromosome
 from anchorline.operators import nearest as N
 from anchorline.operators.blocks import PAIR, block_ranks
 from anchorline.storage import materialize
@@ -21,16 +21,28 @@ ENDS = "struct<ref_start:bigint,ref_end:bigint,qry_start:bigint,qry_end:bigint>"
 
 @dataclass
 class BlockIndex:
-    """Blocks with ranks and pages, computed once for any number of hops."""
+    """Blocks with ranks, in pages, and the finder of the pages: computed once for any number of hops."""
 
     ranks: DataFrame
-    by_start: DataFrame
-    by_end: DataFrame
+    pages: DataFrame
+    finder: DataFrame
+    tails: DataFrame
 
     @classmethod
     def build(cls, blocks: DataFrame, s: Settings) -> BlockIndex:
-        ranks = materialize(block_ranks(blocks), "block-ranks")
-        return cls(ranks, materialize(N.pages(ranks, "rn_start", s.nearest), "pages-start"), materialize(N.pages(ranks, "rn_end", s.nearest), "pages-end"))
+        """Each table is written in the order of its pair of species, so that a filter on the pair skips the rest of it."""
+        ranks = materialize(block_ranks(materialize(blocks, "blocks")), "block-ranks", [*PAIR, "ref_start"])
+        paged = N.pages(ranks, N.DOWN, s.nearest).unionByName(N.pages(ranks, N.UP, s.nearest))
+        paged = materialize(paged, "block-pages", [*PAIR, "page"])
+        return cls(ranks, paged, materialize(N.finder(paged), "block-finder", [*PAIR, "_cell"]), paged.where("tail").drop("blocks"))
+
+    def of(self, ref: list[str], qry: list[str] | None = None) -> BlockIndex:
+        """The part of some reference (and query) species: the filter reaches the scans."""
+        part = lambda df: df.where(F.col("ref_sp").isin(ref) & (F.lit(True) if qry is None else F.col("qry_sp").isin(qry)))
+        return BlockIndex(part(self.ranks), part(self.pages), part(self.finder), part(self.tails))
+
+    def sides(self, points: DataFrame, s: Settings, complete: bool = True) -> DataFrame:
+        return N.sides(points, self.finder, self.tails if complete else None, self.pages, s.nearest)
 
 
 def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
@@ -44,15 +56,17 @@ def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return df.select(*keep, packed).select(*keep, "_once.*")
 
 
-def anchors(points: DataFrame, index: BlockIndex, s: Settings) -> DataFrame:
-    """KEYS with all anchors of each distinct point in chain order, as ``anchors`` (side u, o or d)."""
+def anchors(points: DataFrame, index: BlockIndex, s: Settings, complete: bool = True) -> DataFrame:
+    """KEYS with all anchors of each distinct point in chain order, as ``anchors`` (side u, o or d).
+
+    Unless ``complete``, points beyond the last block may lack anchors; they have none on one side.
+    """
     points = points.select(*KEYS).distinct()
-    keep = lambda b, side: F.struct(*[b[c].alias(c) for c in ORDER], F.lit(side).alias("side"))
-    down = N.nearest_down(points, index.ranks, index.by_start, s.nearest).select(*KEYS, F.transform("found", lambda b: keep(b, "d")).alias("a"))
-    up = N.nearest_up(points, index.ranks, index.by_end, s.nearest).select(*KEYS, F.transform("found", lambda b: keep(b, "u")).alias("a"))
-    on = N.over(points, index.ranks).select(*KEYS, F.array(keep(F.col("block"), "o")).alias("a"))
-    met = down.unionByName(up).unionByName(on).groupBy(*KEYS).agg(F.flatten(F.collect_list("a")).alias("a"))
-    return once(met, KEYS, anchors=F.array_sort("a"))
+    keep = lambda b, side: F.struct(*[b[c].alias(c) for c in ORDER], side.alias("side"))
+    near = index.sides(points, s, complete).select(*KEYS, F.transform("found", lambda b: keep(b, F.col("kind"))).alias("a"))
+    on = N.over(points, index.ranks).select(*KEYS, F.array(keep(F.col("block"), F.lit("o"))).alias("a"))
+    met = near.unionByName(on).groupBy(*KEYS).agg(F.flatten(F.collect_list("a")).alias("a"))
+    return once(met.where(F.size("a") > 0), KEYS, anchors=F.array_sort("a"))
 
 
 def majority(found: DataFrame) -> DataFrame:
@@ -68,7 +82,8 @@ def _ends(a: Column) -> Column:
 
 def chained(found: DataFrame, s: Settings) -> DataFrame:
     """``chain``: the longest collinear chain of each point's majority anchors, where it is long enough."""
-    return once(majority(found), [*KEYS, "major"], chain=collinear_chain(F.col("anchors"))).where(F.size("chain") >= s.least_chain)
+    placed = majority(found).withColumn("places", chain_places(F.col("anchors"))).where(F.size("places") >= s.least_chain)
+    return once(placed, [*KEYS, "major"], chain=F.transform("places", lambda i: F.get(F.col("anchors"), i)))
 
 
 def hops(points: DataFrame, index: BlockIndex, genomes: DataFrame, s: Settings) -> DataFrame:
@@ -77,7 +92,7 @@ def hops(points: DataFrame, index: BlockIndex, genomes: DataFrame, s: Settings)
     A point on alignments of its chain has one target per alignment, with score 1; else it has
     one target between the nearest anchors, if there is one on each side.
     """
-    chain = chained(anchors(points, index, s), s)
+    chain = chained(anchors(points, index, s, complete=False), s)
     loc = F.col("loc")
     best_up = F.reduce(F.filter("chain", lambda a: a["ref_end"] < loc), F.expr(f"cast(null as {_anchor_type()})"), lambda b, a: F.when(b.isNull() | (b["ref_end"] < a["ref_end"]), a).otherwise(b))
     cut = once(

@@ -28,7 +28,7 @@ def result_table(regions: DataFrame, best: DataFrame, direct: DataFrame, thresho
     return t.withColumn("sequence_conservation", S.sequence_class(F.col("score_direct"), F.col("score_multi"), *thresholds))
 
 
-def overlapping(points: DataFrame, targets: DataFrame, gap: int) -> DataFrame:
+def overlapping(points: DataFrame, targets: DataFrame, gap: float) -> DataFrame:
     """points (chrom, loc, ...) that lie within gap of a target: an interval semi join by cells."""
     wide = targets.select(F.col("chrom"), (F.col("start") - gap).alias("_a"), (F.col("end") + gap).alias("_b")).where("_b > _a")
     placed = wide.withColumn("_cell", F.explode(F.sequence(cell_of(F.col("_a")), cell_of(F.col("_b") - 1))))

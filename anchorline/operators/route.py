@@ -49,10 +49,11 @@ def routes(regions: DataFrame, index: BlockIndex, genomes: DataFrame, ref: str,
     start = start.withColumn("path", F.array(node(species=F.col("species"), chrom=F.col("chrom"), loc=F.col("loc"), score=F.col("score"), up=F.expr(f"cast(null as {ENDS})"), down=F.expr(f"cast(null as {ENDS})"))))
     open_, labels = materialize(start, "route-start"), None
     direct = None
+    at = [ref]
     for number in range(pairs.select("ref_sp").distinct().count()):
         step = open_.join(F.broadcast(pairs), open_["species"] == pairs["ref_sp"]).where(~F.exists("path", lambda n: n["species"] == F.col("qry_sp")))
         step = step.withColumnsRenamed({"chrom": "ref_chrom"})
-        found = hops(step, index, genomes, s)
+        found = hops(step, index.of(at), genomes, s)
         moved = step.join(found.withColumnsRenamed({"score": "hop_score", "chrom": "to_chrom"}), KEYS)
         moved = moved.select("region_idx", F.col("qry_sp").alias("species"), F.col("to_chrom").alias("chrom"), F.col("at").alias("loc"), (F.col("score") * F.col("hop_score")).alias("score"), (F.col("n_inter") + (F.col("qry_sp") != qry).cast("int")).alias("n_inter"), "path", "up", "down", "place")
         moved = moved.withColumn("path", F.concat("path", F.array(node(species=F.col("species"), chrom=F.col("chrom"), loc=F.col("loc"), score=F.col("score"), up=F.col("up"), down=F.col("down")))))
@@ -61,11 +62,12 @@ def routes(regions: DataFrame, index: BlockIndex, genomes: DataFrame, ref: str,
             direct = moved.where((F.col("species") == qry) & (F.col("place") == 0)).select("region_idx", "chrom", "loc", "score", "up", "down")
         fresh = moved.drop("up", "down", "place").withColumn("round", F.lit(number))
         known = fresh if labels is None else labels.unionByName(fresh)
-        known = known.withColumn("_n", F.row_number().over(Window.partitionBy(*STATE).orderBy(F.desc("score"), "n_inter", _path_key(), "round"))).where("_n = 1").drop("_n")
+        known = known.withColumn("_n", F.row_number().over(Window.partitionBy(*STATE).orderBy(F.desc("score"), "n_inter", _path_key(), "path"))).where("_n = 1").drop("_n")
         at_query = F.max(F.when(F.col("species") == qry, F.col("score"))).over(Window.partitionBy("region_idx"))
         labels = materialize(known.withColumn("_best", at_query).where((F.col("species") == qry) | F.col("_best").isNull() | (F.col("score") >= F.col("_best"))).drop("_best"), "route-labels")
         open_ = labels.where((F.col("round") == number) & (F.col("species") != qry)).drop("round")
-        if not open_.limit(1).count():
+        at = [r.species for r in open_.select("species").distinct().collect()]
+        if not at:
             break
     arrived = labels.where(F.col("species") == qry)
     best = arrived.withColumn("_n", F.row_number().over(Window.partitionBy("region_idx").orderBy(*best_first()))).where("_n = 1").drop("_n", "round")

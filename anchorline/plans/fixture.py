@@ -29,9 +29,9 @@ select o_orderkey region_idx, concat('peak_', cast(o_orderkey as varchar(12))) i
 from orders
 """
 TARGETS = """
-select concat('chr', cast(1 + event_id % 3 as varchar(9))) chrom, 300 * event_id + user_id start_pos,
-  300 * event_id + user_id + 20 + cast(floor(value / 4) as bigint) end_pos, concat('t', cast(event_id as varchar(12))) name
-from events where event_id % 5 = 0
+select concat('chr', cast(1 + event_id % 3 as varchar(9))) chrom, 1500 * event_id + user_id start_pos,
+  1500 * event_id + user_id + 20 + cast(floor(value / 4) as bigint) end_pos, concat('t', cast(event_id as varchar(12))) name
+from events
 """
 GENOMES = """
 select concat('sp', cast(n as varchar(9))) species, cast(300000000 as bigint) * (n + 1) genome_size from (select distinct cast(l_suppkey % 5 as bigint) n from lineitem) t

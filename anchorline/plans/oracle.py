@@ -1,9 +1,10 @@
-"""SQL for the queries that plain SQL can express; the chained ones are held against brute force in the tests."""
+"""SQL of the registered queries."""
 
 from __future__ import annotations
 
 from anchorline.functions.scalar import COLOURS
 from anchorline.plans import fixture as X
+from anchorline.plans import route_oracle as O
 
 _B = f"blocks as ({X.BLOCKS})"
 _E = f"{_B}, ended as (select *, ref_start + length - 1 as ref_end, case when qry_rev then qry_start - length + 1 else qry_start + length - 1 end as qry_end from blocks where length > 0)"
@@ -66,3 +67,6 @@ ORACLE_SQL = {
     "unknown_chrom": f"with {_R} select region_idx, 'chrUn' || chrom as chrom from regions where region_idx % 50 = 0",
     "region_rank": f"with {_R} select region_idx, row_number() over (partition by chrom order by loc, region_idx) as rn from regions",
 }
+_HOPS = f"with {_RANKS}, {_R}, {_T}, {_G}, {O.LOOKUP}"
+ORACLE_SQL |= {name: f"{_HOPS}, {O.DIRECT} {sql}" for name, sql in O.OF_DIRECT.items()}
+ORACLE_SQL |= {name: f"{_HOPS}, {O.ROUTES} {sql}" for name, sql in O.OF_ROUTES.items()}

@@ -29,24 +29,28 @@ def query(f: Query) -> Query:
     return f
 
 
-_projected: dict[tuple[str, str], Projection] = {}
-_indexed: dict[tuple[str, str], Engine] = {}
+#: Engines that a caller has made ready by ``prepare``; queries make their own where there is none.
+_prepared: dict[tuple[str, str], Engine] = {}
+
+
+def fresh_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(X.blocks(spark, sf_dir), X.genomes(spark, sf_dir), SET)
+
+
+def prepare(spark: SparkSession, sf_dir: str) -> None:
+    """Builds the block index of these tables once for all later queries of this application: for tables that don't change."""
+    made = fresh_engine(spark, sf_dir)
+    made.index  # noqa: B018
+    _prepared[spark.sparkContext.applicationId, sf_dir] = made
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """The fixture's engine, with its block index, once per application and input."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _indexed:
-        _indexed[key] = Engine(X.blocks(spark, sf_dir), X.genomes(spark, sf_dir), SET)
-    return _indexed[key]
+    return _prepared.get((spark.sparkContext.applicationId, sf_dir)) or fresh_engine(spark, sf_dir)
 
 
 def projection(spark: SparkSession, sf_dir: str) -> Projection:
-    """All regions from REF to QRY, once per application and input."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _projected:
-        _projected[key] = engine(spark, sf_dir).project(X.regions(spark, sf_dir), REF, QRY, X.targets(spark, sf_dir))
-    return _projected[key]
+    """All regions from REF to QRY."""
+    return engine(spark, sf_dir).project(X.regions(spark, sf_dir), REF, QRY, X.targets(spark, sf_dir))
 
 
 def hop_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +60,7 @@ def hop_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hop_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, points = engine(spark, sf_dir), hop_points(spark, sf_dir)
-    return points.join(H.hops(points, e.index, e.genomes, SET), H.KEYS)
+    return points.join(H.hops(points, e.index.of([REF], [QRY]), e.genomes, SET), H.KEYS)
 
 
 def ended(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,39 +215,43 @@ def chrom_runs(spark, d):
 # anchors of one hop
 
 
+def _sides(spark, d):
+    """The regions, and both sides of each."""
+    p = hop_points(spark, d)
+    return p, engine(spark, d).index.of([REF], [QRY]).sides(p, SET)
+
+
 @query
 def asof_rank(spark, d):
-    e, p = engine(spark, d), hop_points(spark, d)
-    both = B.positions_before(B.positions_before(p, e.index.ranks, "ref_start", True, "k_start"), e.index.ranks, "ref_end", False, "k_end")
-    return both.select("region_idx", "k_start", "k_end")
+    p, both = _sides(spark, d)
+    rank = lambda kind, name: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("before"))), F.lit(0)).cast("long").alias(name)
+    return p.select("region_idx").join(both, "region_idx", "left").groupBy("region_idx").agg(rank(N.DOWN, "k_start"), rank(N.UP, "k_end"))
 
 
-def _listed(found: DataFrame) -> DataFrame:
-    return found.select("region_idx", F.explode("found").alias("b")).select("region_idx", "b.rn", "b.ref_start", "b.ref_end", "b.qry_chrom", "b.qry_start")
+def _listed(found: DataFrame, kind: str) -> DataFrame:
+    return found.where(F.col("kind") == kind).select("region_idx", F.explode("found").alias("b")).select("region_idx", "b.rn", "b.ref_start", "b.ref_end", "b.qry_chrom", "b.qry_start")
 
 
 @query
 def nearest_down(spark, d):
-    i = engine(spark, d).index
-    return _listed(N.nearest_down(hop_points(spark, d), i.ranks, i.by_start, SET.nearest))
+    return _listed(_sides(spark, d)[1], N.DOWN)
 
 
 @query
 def nearest_up(spark, d):
-    i = engine(spark, d).index
-    return _listed(N.nearest_up(hop_points(spark, d), i.ranks, i.by_end, SET.nearest))
+    return _listed(_sides(spark, d)[1], N.UP)
 
 
 @query
 def stab_join(spark, d):
     e = engine(spark, d)
     p = X.regions(spark, d).select("region_idx", F.lit(REF).alias("ref_sp"), F.col("chrom").alias("ref_chrom"), "loc").join(F.broadcast(X.genomes(spark, d).select(F.col("species").alias("qry_sp"))), F.col("qry_sp") != REF)
-    return N.over(p, e.index.ranks).select("region_idx", "qry_sp", "block.ref_start", "block.ref_end", "block.qry_chrom", "block.qry_start")
+    return N.over(p, e.index.of([REF]).ranks).select("region_idx", "qry_sp", "block.ref_start", "block.ref_end", "block.qry_chrom", "block.qry_start")
 
 
 def _anchors(spark, d):
     e, p = engine(spark, d), hop_points(spark, d)
-    return p, H.anchors(p, e.index, SET)
+    return p, H.anchors(p, e.index.of([REF], [QRY]), SET)
 
 
 @query

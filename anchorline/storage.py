@@ -2,24 +2,54 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """spark.checkpoint.dir. Where that is unset, a folder of our own if there is this machine only (tests); on a cluster each executor would see another one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
         base = "file://" + tempfile.mkdtemp(prefix="anchorline-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
-    return base
+        return base
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write to a table in the shared folder and read it again."""
+_written: list[list[str]] = []
+
+
+def materialize(df: DataFrame, tag: str, order: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write to a table in the shared folder, in ranges of ``order`` if given, and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/anchorline/{tag}-{uuid.uuid4().hex}"
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written by ``materialize`` within are deleted at the end: for callers that have written their result by then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        delete(spark, _written.pop())

@@ -82,14 +82,17 @@ def test_nearest_and_over(world, points):
     engine, by = world
     df = points[1].select(F.lit("a").alias("ref_sp"), F.lit("b").alias("qry_sp"), F.col("chrom").alias("ref_chrom"), "loc", "region_idx")
     i = engine.index
-    for side, paged, f in (("d", i.by_start, N.nearest_down), ("u", i.by_end, N.nearest_up)):
-        got = defaultdict(list)
-        for r in f(df, i.ranks, paged, 20).select("region_idx", F.explode("found").alias("b")).select("region_idx", "b.*").collect():
-            got[r.region_idx].append((r.ref_start, r.ref_end))
+    for side in "du":
+        got, before = defaultdict(list), defaultdict(int)
+        for r in i.sides(df, S).where(F.col("kind") == side).collect():
+            assert r.region_idx not in before
+            got[r.region_idx] = [(b.ref_start, b.ref_end) for b in r.found]
+            before[r.region_idx] = r.before
         for idx, _, chrom, _, _, loc in points[0]:
             es = [brute.ends(b) for b in by["a", "b", chrom]]
             want = sorted((e["ref_start"], e["ref_end"]) for e in es if e["ref_start"] > loc)[:20] if side == "d" else sorted(((e["ref_end"], e["ref_start"]) for e in es if e["ref_end"] < loc))[-20:]
             assert sorted(x[side == "u"] for x in got[idx]) == sorted(x[0] for x in want)
+            assert before[idx] == sum(e["ref_start"] <= loc if side == "d" else e["ref_end"] < loc for e in es)
     over = {(r.region_idx, r.block.ref_start) for r in N.over(df, i.ranks).collect()}
     assert over == {(idx, b[0]) for idx, _, chrom, _, _, loc in points[0] for b in by["a", "b", chrom] if b[0] <= loc <= b[0] + b[1] - 1}
 
