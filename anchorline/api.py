@@ -30,14 +30,18 @@ class Projection:
     def bed9(self, which: str) -> DataFrame:
         return P.bed9(self.table, which)
 
-    def explain_path(self, region_idx: int, simple: bool = False) -> DataFrame:
-        """The route of a region, one row a species; ``simple`` subtracts the smallest coordinate of each row."""
-        steps = self.table.where(F.col("region_idx") == region_idx).select("id", F.posexplode("path").alias("step", "n")).select("id", "step", "n.*")
+    def explain_paths(self, simple: bool = False) -> DataFrame:
+        """The routes of all regions, one row a species; ``simple`` subtracts the smallest coordinate of each row."""
+        steps = self.table.select("region_idx", "id", F.posexplode("path").alias("step", "n")).select("region_idx", "id", "step", "n.*")
         ends = [f"{s}.{e}" for s in ("up", "down") for e in ("ref_start", "ref_end", "qry_start", "qry_end")]
         strand = F.when(F.col("up").isNull(), None).when(F.col("up.qry_start") < F.col("up.qry_end"), "+").otherwise("-")
         low = {k: F.least(*[F.col(e) for e in ends if k in e]) if simple else F.lit(0) for k in ("ref", "qry")}
         cols = [(F.col(e) - low["ref" if "ref" in e else "qry"]).alias(e.replace(".", "_")) for e in ends]
-        return steps.select("id", "step", "species", "chrom", "loc", "score", strand.alias("strand"), *cols).orderBy("step")
+        return steps.select("region_idx", "id", "step", "species", "chrom", "loc", "score", strand.alias("strand"), *cols).orderBy("region_idx", "step")
+
+    def explain_path(self, region_idx: int, simple: bool = False) -> DataFrame:
+        """The route of one region."""
+        return self.explain_paths(simple).where(F.col("region_idx") == region_idx).drop("region_idx")
 
 
 class Engine:

@@ -1,4 +1,4 @@
-"""Writers. Results are ordered by region; each is a folder of part files in that order."""
+"""Writers. Results are ordered by region; each is a folder of part files in that order, and takes the place of an earlier one."""
 
 from __future__ import annotations
 
@@ -18,21 +18,21 @@ def formatted(table: DataFrame) -> DataFrame:
 def write_projections(table: DataFrame, path: str) -> None:
     """A header in each part; the order is the regions'."""
     cols = [c for c in table.columns if c != "region_idx"] if "coords_ref" in table.columns else PROJ
-    formatted(table.orderBy("region_idx").select(*cols)).write.options(header=True, **PLAIN).csv(path)
+    formatted(table.orderBy("region_idx").select(*cols)).write.mode("overwrite").options(header=True, **PLAIN).csv(path)
 
 
 def write_bed9(table: DataFrame, which: str, path: str) -> None:
-    bed9(table, which).orderBy("region_idx").drop("region_idx").write.options(**PLAIN).csv(path)
+    bed9(table, which).orderBy("region_idx").drop("region_idx").write.mode("overwrite").options(**PLAIN).csv(path)
 
 
 def write_unmapped(names: DataFrame, path: str) -> None:
-    names.orderBy("region_idx").select("id").write.text(path)
+    names.orderBy("region_idx").select("id").write.mode("overwrite").text(path)
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
     """The native form of a collection: Parquet by pair of species, so that other pairs are never read."""
-    blocks.write.partitionBy("ref_sp", "qry_sp").parquet(path)
+    blocks.write.mode("overwrite").partitionBy("ref_sp", "qry_sp").parquet(path)
 
 
 def write_tbl(rows: DataFrame, path: str) -> None:
-    rows.orderBy("ref_chrom", "ref_start").write.options(**PLAIN).csv(path)
+    rows.orderBy("ref_chrom", "ref_start").write.mode("overwrite").options(**PLAIN).csv(path)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from anchorline.functions import scalar as S
 
@@ -44,27 +47,35 @@ def read_chains(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_replace(clean, r"^\s*chain ", "").alias("chain"), F.col("_metadata.file_name").alias("file")).where(F.trim("chain") != "")
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def _running(steps: pa.Array) -> pa.Array:
+    """Of each list of steps: the sum of those before each."""
+    cut = np.asarray(steps.offsets).astype(np.int64)
+    cut -= cut[0]
+    flat = np.asarray(steps.flatten()).astype(np.int64)
+    before = np.cumsum(flat) - flat
+    size = np.diff(cut)
+    before -= np.repeat(before[np.minimum(cut[:-1], max(len(before) - 1, 0))] if len(before) else np.zeros(len(size), np.int64), size)
+    return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(before))
+
+
 def parse_chains(chains: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """chains: chain. The blocks of each chain, as inclusive forward starts with length and strand.
 
-    The running offsets of a chain are a fold over its own lines: nothing is
-    sorted or shuffled.
+    The running offsets of a chain are sums over its own lines, in time linear in
+    these: nothing is sorted or shuffled.
     """
     lines = F.filter(F.split("chain", "\n"), lambda x: F.trim(x) != "")
     head = F.split(F.trim(F.get(lines, F.lit(0))), r"\s+")
     body = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.transform(F.split(F.trim(x), r"\s+"), lambda v: v.cast("long")))
-    cut = chains.select(*keep, head.alias("h"), body.alias("b"))
+    # a generator's output is computed once, whatever uses it
+    cut = chains.select(*keep, F.explode(F.array(F.struct(head.alias("h"), body.alias("b")))).alias("c")).select(*keep, "c.h", "c.b")
     field = lambda i: F.get(F.col("h"), F.lit(i))
     cut = cut.withColumns({"ref_chrom": field(1), "t_strand": field(3), "t_start": field(4).cast("long"), "qry_chrom": field(6), "q_size": field(7).cast("long"), "qry_rev": field(8) == "-", "q_start": field(9).cast("long")})
-    state = F.struct(F.col("t_start").alias("r"), F.col("q_start").alias("q"), F.expr("cast(array() as array<struct<r:bigint,q:bigint,n:bigint>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = lambda i: F.coalesce(F.get(x, F.lit(i)), F.lit(0))
-        out = F.concat(acc["out"], F.array(F.struct(acc["r"].alias("r"), acc["q"].alias("q"), x[0].alias("n"))))
-        return F.struct((acc["r"] + x[0] + gap(1)).alias("r"), (acc["q"] + x[0] + gap(2)).alias("q"), out.alias("out"))
-
-    each = cut.where("t_strand = '+'").withColumn("p", F.explode(F.aggregate("b", state, step, lambda acc: acc["out"])))
-    return each.select(*keep, "ref_chrom", F.col("p.r").alias("ref_start"), "qry_chrom", S.flip(F.col("p.q"), F.col("q_size"), F.col("qry_rev")).alias("qry_start"), F.col("p.n").cast("int").alias("length"), "qry_rev")
+    step = lambda i: F.transform("b", lambda x: x[0] + F.coalesce(F.get(x, F.lit(i)), F.lit(0)))
+    each = cut.where("t_strand = '+'").withColumn("r", _running(step(1))).withColumn("q", _running(step(2)))
+    each = each.select(*keep, "ref_chrom", "qry_chrom", "q_size", "qry_rev", "t_start", "q_start", F.explode(F.arrays_zip(F.transform("b", lambda x: x[0]).alias("n"), "r", "q")).alias("p"))
+    return each.select(*keep, "ref_chrom", (F.col("t_start") + F.col("p.r")).alias("ref_start"), "qry_chrom", S.flip(F.col("q_start") + F.col("p.q"), F.col("q_size"), F.col("qry_rev")).alias("qry_start"), F.col("p.n").cast("int").alias("length"), "qry_rev")
 
 
 def collect_blocks(spark: SparkSession, chain_dir: str, species: list[str]) -> DataFrame:

@@ -91,16 +91,16 @@ def test_command_line_and_files(spark, tmp_path):
     (tmp_path / "c.bin").write_bytes(C.encode(rows, GENOMES))
     (tmp_path / "r.bed").write_text("".join(f"1\t{p}\t{p + 11}\tp{p}\n" for p in range(3000, 60000, 9000)) + "zz\t1\t2\tlost\n")
     (tmp_path / "t.bed").write_text("1\t0\t90000\tt\n")
-    for name, more in (("o1", []), ("o2", ["-a", "-t", str(tmp_path / "t.bed")])):
-        main([str(tmp_path / "r.bed"), "a", "d", str(tmp_path / "c.bin"), "-o", str(tmp_path / name), "-n", "4", *more])
+    for name, more in (("o1", ["-q", "-ddc", "300.5"]), ("o2", ["-q"]), ("o2", ["--include_anchors", "-v", "-c", "--target_bedfile", str(tmp_path / "t.bed")])):
+        main([str(tmp_path / "r.bed"), "a", "d", str(tmp_path / "c.bin"), "-o", str(tmp_path / name), "--n_cores", "4", *more])
         table = part_text(tmp_path / name / "r.a-d.proj").splitlines()
         head = table[0].split("\t")
-        assert head[: len(P.PROJ)] == P.PROJ and len(head) == len(P.PROJ) + (16 if more else 0)
+        assert head[: len(P.PROJ)] == P.PROJ and len(head) == len(P.PROJ) + (16 if "-v" in more else 0)
         bed = part_text(tmp_path / name / "r.d.bed").splitlines()
         assert all(len(x.split("\t")) == 9 for x in bed) and bed
-        assert "lost" in part_text(tmp_path / name / "r.unmapped")
+        assert "lost" in part_text(tmp_path / name / "r.a-d.unmapped")
         flag = [dict(zip(head, x.split("\t")))["functional_conservation"] for x in table[1:] if x != table[0]]
-        assert set(flag) <= ({"+", "-"} if more else {""})
+        assert set(flag) <= ({"+", "-"} if "-v" in more else {""})
 
 
 def test_functional_overlap_is_half_open(spark):
