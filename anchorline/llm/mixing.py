@@ -16,9 +16,11 @@ each level shuffles only what the one below left over.  Everything is DataFrame
 expressions; only the per-source totals are broadcast, behind a count.
 
 Defined results: null and blank texts have size 0, count as taken 0 and never
-disturb the others; a null source is a source of its own, last in order; rows
-that agree in doc_id, source and text are one unit and get equal copies; an
-empty table gives an empty result; other columns aren't touched.
+disturb the others; a null source is a source of its own, last in order; m rows
+that agree in doc_id, source and text are one unit, of which the whole part of
+m times the fractional probability is certain too, one copy each for so many of its rows, and
+only what is left of a single copy enters the tree, so that the target is missed by one row
+at most; an empty table gives an empty result; other columns aren't touched.
 """
 
 from __future__ import annotations
@@ -116,34 +118,46 @@ def pivotal_round(units: DataFrame, n_rows: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: int = 11) -> DataFrame:
-    """One row a unit: doc_id, source, th (hash of the text), m (rows of the unit), size, source_size, target, copies."""
+    """One row a unit: doc_id, source, th (hash of the text), m (rows of the unit), size, source_size, target, copies (of each row), extra (how many of the m rows have one more)."""
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("th"))
     units = materialize(rows.groupBy("doc_id", "source", "size", "th").agg(F.count("*").alias("m")), "mix-units")
     totals = materialize(source_targets(units.select("source", (F.col("size") * F.col("m")).alias("size")), weights, cap), "mix-totals")
     small = totals.count() <= BROADCAST_SOURCES
-    t = (F.broadcast(totals) if small else totals).withColumnRenamed("source", "source_")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    units = units.join(t, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").withColumn("ratio", ratio)
-    units = units.withColumn("whole", F.floor("ratio")).withColumn("p", F.col("ratio") - F.col("whole")).withColumn("k", F.xxhash64(F.lit(seed), "doc_id", "th", "source"))
-    sized = units.where("size > 0").withColumn("w", (F.col("size") * F.col("m")).cast("double"))
+    t = totals.withColumnRenamed("source", "source_").withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.col("whole"))
+    if small:
+        t = F.broadcast(t)
+    mass, certain = F.col("m") * F.col("part"), F.floor(F.col("m") * F.col("part"))
+    units = units.join(t, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").withColumn("p", mass - certain).withColumn("k", F.xxhash64(F.lit(seed), "doc_id", "th", "source"))
+    sized = units.where("size > 0").withColumn("w", F.col("size").cast("double"))
     up = pivotal_round(sized, sized.select("k").count())
-    cols = ["doc_id", "source", "th", "m", "size", "source_size", "target", "copies"]
-    kept = F.broadcast(totals) if small else totals
-    kept = kept.withColumnRenamed("source", "source_").withColumn("whole", F.floor(ratio))
-    done = up.join(kept, up["source"].eqNullSafe(F.col("source_"))).withColumn("copies", (F.col("whole") + F.col("up")).cast("int"))
-    blank = units.where("size = 0").withColumn("copies", (F.col("whole") + (_uniform(F.col("k"), F.lit(-2)) < F.col("p")).cast("int")).cast("int"))
+    cols = ["doc_id", "source", "th", "m", "size", "source_size", "target", F.col("whole").cast("int").alias("copies"), "extra"]
+    done = up.join(t, up["source"].eqNullSafe(F.col("source_"))).drop("source_").withColumn("extra", (certain + F.col("up")).cast("long"))
+    blank = units.where("size = 0").withColumn("extra", F.when(_uniform(F.col("k"), F.lit(-2)) < F.col("part"), F.col("m")).otherwise(0).cast("long"))
     return done.select(*cols).unionByName(blank.select(*cols))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with the columns they had."""
-    plan = mix(docs, **how).where("copies > 0").select(*[F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "source", "th", "copies")])
+    """The rows of ``docs``, each as often as the mix takes it, with the columns they had.
+
+    Where only some of a unit's equal rows have one copy more, one of them stands for all: a pre-aggregated first row.
+    """
+    names = ("doc_id", "source", "th", "copies", "extra", "m")
+    plan = materialize(mix(docs, **how).where("copies > 0 or extra > 0").select(*[F.col(c).alias(f"__mix_{c}") for c in names]), "mix-plan")
     keyed = docs.withColumn("__mix_t", F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(plan["__mix_doc_id"]) & keyed["source"].eqNullSafe(plan["__mix_source"]) & (keyed["__mix_t"] == plan["__mix_th"])
-    return keyed.join(plan, on).withColumn("__mix_c", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    some = plan.where("__mix_extra > 0 and __mix_extra < __mix_m")
+
+    def met(part: DataFrame) -> DataFrame:
+        return keyed.join(part, keyed["doc_id"].eqNullSafe(part["__mix_doc_id"]) & keyed["source"].eqNullSafe(part["__mix_source"]) & (keyed["__mix_t"] == part["__mix_th"]))
+
+    times = F.col("__mix_copies") + (F.col("__mix_extra") == F.col("__mix_m")).cast("int")
+    each = met(plan).withColumn("__mix_n", times).where("__mix_n > 0").withColumn("__mix_c", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
+    row = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__mix_row")
+    more = met(some).groupBy("__mix_doc_id", "__mix_source", "__mix_th").agg(row, F.first("__mix_extra").alias("__mix_extra")).withColumn("__mix_c", F.explode(F.sequence(F.lit(1), F.col("__mix_extra"))))
+    return each.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(more.select(*[F.col("__mix_row").getField(c).alias(c) for c in docs.columns]))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
-    each = mixed.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+    each = mixed.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).withColumn("copies", F.col("copies") + (F.col("row") <= F.col("extra")).cast("int"))
     return each.select("doc_id", "size", "source_size", F.col("target").cast("double"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")

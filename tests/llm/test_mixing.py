@@ -30,11 +30,10 @@ def test_targets_and_rounding(messy, messy_rows):
     for r in got:
         assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6
         ratio = want[r.source] / sizes[r.source] if sizes[r.source] else 0
-        assert int(ratio) <= r.copies <= int(ratio) + 1 and r.copies <= 3
-        taken[r.source] += r.copies * r.size * r.m
-    unit = {s: max([r.size * r.m for r in got if r.source == s], default=0) for s in sizes}
+        assert int(ratio) == r.copies and 0 <= r.extra <= r.m and (r.copies + (r.extra > 0)) <= 3
+        taken[r.source] += (r.copies * r.m + r.extra) * r.size
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= unit[s]
+        assert abs(taken[s] - want[s]) <= most[s]
     key = lambda rows: sorted(map(str, rows))
     assert key(got) == key(M.mix(messy).collect())
 
@@ -45,7 +44,7 @@ def test_expectations_hold(spark):
     share = defaultdict(list)
     for seed in range(6):
         for r in M.mix(df, weights=(2, 1), seed=seed).collect():
-            share[r.source].append(r.copies - r.target / r.source_size)
+            share[r.source].append(r.copies + r.extra / r.m - r.target / r.source_size)
     assert all(abs(sum(v) / len(v)) < 0.05 for v in share.values())
 
 
@@ -56,15 +55,25 @@ def test_tree_has_levels(spark, monkeypatch):
     got = M.mix(df).collect()
     for s in "ab":
         own = [r for r in got if r.source == s]
-        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= max(r.size for r in own)
+        assert abs(sum((r.copies * r.m + r.extra) * r.size for r in own) - own[0].target) <= max(r.size for r in own)
 
 
 def test_rows_of_the_mix(messy):
     rows = M.mixed_rows(messy)
     assert rows.columns == messy.columns
-    want = sum(r.copies * r.m for r in M.mix(messy).collect())
+    want = sum(r.copies * r.m + r.extra for r in M.mix(messy).collect())
     assert rows.count() == want
 
 
+def test_equal_rows_are_rounded_by_row(spark):
+    rows = [(1, "ten words " * 5, "a")] * 1000 + [(i, "w " * (1 + i % 9), "b") for i in range(2, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mix(df, weights=(1, 3)).collect()
+    unit = next(r for r in got if r.source == "a")
+    assert unit.m == 1000 and abs((unit.copies * 1000 + unit.extra) * 10 - unit.target) <= 10
+    mixed = M.mixed_rows(df, weights=(1, 3)).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in mixed} == {s: sum(r.copies * r.m + r.extra for r in got if r.source == s) for s in "ab"}
+
+
 def test_empty(nothing):
     assert M.mix(nothing).count() == 0 and M.mixed_rows(nothing).count() == 0
