@@ -2,17 +2,17 @@
 
 Random indexing: each word of the vocabulary has a sparse ternary index vector
 made from its hash; its word vector is the sum of its neighbours' index vectors
-over the sample (two words to each side), plus its own, at unit length.  Words
-outside the vocabulary share an entry per shape (kinds of characters, length), so
-that every word of every text counts.  A document is the mean of its vectors,
+over the sample (two words to each side), plus its own, at unit length.  Words that
+the sample has once or not at all share an entry per shape (kinds of characters, length), which
+those seen once train, so that every word of every text counts.  A document is the mean of its vectors,
 the mean of the products of neighbouring vectors, and its length; a two-layer
 numpy network turns it into a probability, calibrated by a temperature.
 
-Fitted on at most ``SAMPLE_ROWS`` labelled rows with a vocabulary of at most
-``VOCABULARY`` words, both bounds of the model, so that it can be broadcast;
+Fitted on at most ``SAMPLE_ROWS`` labelled rows, whose words bound the table that is broadcast;
 scoring is one pass over whole texts without a shuffle.
 
-Defined results: null and empty texts get the score of a text without words;
+Defined results: equal texts get equal scores, however often they occur; a very long text is a
+piece of work of its own; null and empty texts get the score of a text without words;
 with no labelled rows, or labels of one kind only, the score is that kind's
 smoothed share; extra columns aren't touched.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from anchorline.llm.common import chunks, crc_mod, fmix, table, text_bytes, word_hashes
 from anchorline.llm.labelled import apply_network, labelled_sample, train_network
 
-SAMPLE_ROWS, VOCABULARY, DIM, NONZERO, CHUNK = 12_000, 1 << 14, 48, 6, 1 << 18
+SAMPLE_ROWS, DIM, NONZERO, CHUNK = 12_000, 48, 6, 1 << 18
 SHAPES = 256
 
 _KIND = np.full(256, 8, np.uint8)
@@ -119,13 +119,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: in
     sample = labelled_sample(docs, labels, label, learn, limit)
     texts = sample.select("text").coalesce(8)
     counts = texts.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
-    top = counts.orderBy(F.desc("c"), "h").limit(VOCABULARY).toPandas()
-    known = np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
+    known = np.sort(counts.select("h").toArrow()["h"].to_numpy().view(np.uint64))
     sums = texts.mapInArrow(_contexts(known), "e long, v array<double>").select("e", F.posexplode("v").alias("d", "x")).groupBy("e", "d").agg(F.sum("x").alias("x"))
-    rows = sums.groupBy("e").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).select("e", F.transform("v", lambda s: s["x"]).alias("v")).toPandas()
+    rows = sums.groupBy("e").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).select("e", F.transform("v", lambda s: s["x"]).alias("v")).toArrow()
     vectors = _index_vectors(known).astype(np.float64)
-    if len(rows):
-        vectors[rows["e"].to_numpy()] += np.stack(rows["v"].to_list())
+    if rows.num_rows:
+        vectors[rows["e"].to_numpy()] += rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, DIM)
     vectors = (vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
