@@ -43,6 +43,8 @@ def test_stages(spark, folder):
         after = seen.collect()
         if name != "sentencepiece":
             assert seen.columns == docs.columns
+            # n_words and score are columns of the input here, and have kept their values
+            assert {(r.n_words, r.score) for r in after} <= {("x", "y"), (None, None)}
         if name == "quality_rules":
             assert all(not brute(r.text)[1] for r in after)
             assert {r.doc_id for r in after} == {r.doc_id for r in before if r.text and "|" not in r.text}
