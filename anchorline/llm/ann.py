@@ -9,15 +9,23 @@ in order of the sum of squared distances to the crossed cell borders, made by
 the shift and expand heap.  The candidates of all tables are merged and ranked
 by the exact cosine of the original vectors, in double precision.
 
+Unless given, the parameters are chosen by ``tuned`` from a bounded sample: the exact
+neighbours of SAMPLE_QUERIES queries (one pass over all entries) and SAMPLE_ENTRIES entries tell,
+for each number of hashes, width and number of probes, which share of the neighbours would be found and which share of the
+entries visited; the cheapest choice that finds TARGET of the neighbours is taken, so that
+cells grow in number with the table wherever the vectors have structure.
+
 Equal vectors are one entry of the index, with their smallest ids (as many as
-a result can show), so that a vector shared by many rows costs once.  A cell
+a result can show), so that a vector shared by many rows costs once.  The cells hold numbers of entries only; vectors
+are joined to the cells that both sides have.  A cell
 with more than ``CELL_ROWS`` entries, or queries, is dealt to several groups:
 every entry still meets every query of its cell.
 
 Defined results: vectors that are null or zero or hold a null, NaN or infinite
-component neither ask nor answer; vectors of another length never meet; ties go
-to the smaller id; with too few candidates a query has fewer rows; an empty table
-gives an empty result.
+component neither ask nor answer, nor do rows without id; a repeated row counts once; an id
+with several vectors is answered, and answers, by the nearest of them, in one row; vectors of another
+length never meet; ties go to the smaller id; with too few candidates a query has fewer
+rows; an empty table gives an empty result; other columns aren't touched.
 """
 
 from __future__ import annotations
@@ -32,7 +40,10 @@ from pyspark.sql import functions as F
 
 from anchorline.llm.common import fmix, materialize, table
 
-TABLES, HASHES, WIDTH, PROBES, SEED = 5, 4, 1.5, 40, 7
+TABLES, SEED = 5, 7
+#: Choices of ``tuned``: numbers of hashes, cell widths and cells visited a table; the share of neighbours to be found in the sample.
+HASHES, WIDTHS, PROBES, TARGET = (2, 4, 6, 8, 12, 16), (0.75, 1.5, 3.0), (1, 2, 4, 8, 16, 32, 64, 96), 0.97
+SAMPLE_QUERIES, SAMPLE_ENTRIES = 32, 3_000
 CELL_ROWS = 20_000
 
 
@@ -77,12 +88,22 @@ def _matrix(column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return found
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two, which is exact, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    x = _unit(x)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 def _hash_rows(probes: int, tables: int, hashes: int, width: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for dim, (rows, x) in _matrix(b.column("embedding")).items():
                 a, shift = planes(dim, tables, hashes, width, seed)
-                unit = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+                unit = _normal(x)
                 for t in range(tables):
                     v = (unit @ a[t].T + shift[t]) / width
                     cell = np.floor(v).astype(np.int64)
@@ -94,71 +115,140 @@ def _hash_rows(probes: int, tables: int, hashes: int, width: float, seed: int):
                         for k, s in enumerate(s for one in sets for s in one):
                             for i, step in s:
                                 ids[k, i] += step
-                    at = pa.array(take)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), t, np.int32)), pa.array(_cell_ids(ids, dim)), b.column("rep").take(at), b.column("embedding").take(at)], ["t", "cell", "rep", "embedding"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), t, np.int32)), pa.array(_cell_ids(ids, dim)), b.column("eid").take(pa.array(take))], ["t", "cell", "eid"])
 
     return run
 
 
+def _exact(x: np.ndarray, q: np.ndarray, rep: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of q: the places and cosines of its k best rows of x; of equal ones those of smaller ``rep``."""
+    x, q = _unit(x), _unit(q)
+    own, theirs = np.sqrt(np.einsum("ij,ij->i", q, q)), np.sqrt(np.einsum("ij,ij->i", x, x))
+    for lo in range(0, len(q) if len(x) else 0, 256):
+        rough = (q[lo : lo + 256] @ x.T) / own[lo : lo + 256, None] / theirs[None, :]
+        for i, row in enumerate(rough, lo):
+            near = np.arange(len(x)) if len(x) <= k else np.flatnonzero(row >= np.partition(row, len(x) - k)[len(x) - k] - 1e-12)
+            score = np.einsum("ij,j->i", x[near], q[i]) / (theirs[near] * own[i])
+            by = np.lexsort((rep[near], -score))[:k]
+            yield i, near[by], score[by]
+
+
 def _best(k: int):
     """Of a group's entries and queries: each query's k best entries, by exact cosine."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        asks = np.asarray(group.column("asks"))
-        rep = np.asarray(group.column("rep"))
+        asks, rep, eid = (np.asarray(group.column(c)) for c in ("asks", "rep", "eid"))
         found: list[np.ndarray] = []
         if asks.any() and not asks.all():
-            column = group.column("embedding").chunk(0)
-            for rows, x in _matrix(column).values():
-                norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-                q, c = np.flatnonzero(asks[rows]), np.flatnonzero(~asks[rows])
-                for lo in range(0, len(q) if len(c) else 0, 256):
-                    part = q[lo : lo + 256]
-                    rough = (x[part] @ x[c].T) / norm[part][:, None] / norm[c][None, :]
-                    for i, row in zip(part, rough, strict=True):
-                        near = np.arange(len(c)) if len(c) <= k else np.flatnonzero(row >= np.partition(row, len(c) - k)[len(c) - k] - 1e-12)
-                        score = np.einsum("ij,j->i", x[c[near]], x[i]) / (norm[c[near]] * norm[i])
-                        by = np.lexsort((rep[rows[c[near]]], -score))[:k]
-                        found.append(np.stack([np.full(len(by), rep[rows[i]]), rep[rows[c[near[by]]]], score[by].view(np.int64)]))
-        out = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        return pa.table({"q": out[0], "rep": out[1], "score": np.ascontiguousarray(out[2]).view(np.float64)})
+            for rows, x in _matrix(group.column("embedding").chunk(0)).values():
+                q, c = rows[asks[rows]], rows[~asks[rows]]
+                for i, near, score in _exact(x[~asks[rows]], x[asks[rows]], rep[c], k):
+                    found.append(np.stack([np.full(len(near), eid[q[i]]), eid[c[near]], rep[c[near]], score.view(np.int64)]))
+        out = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        return pa.table({"q": out[0], "eid": out[1], "rep": out[2], "score": np.ascontiguousarray(out[3]).view(np.float64)})
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, seed: int = SEED) -> DataFrame:
+def _top(df: DataFrame, by: str, k: int, *order) -> DataFrame:
+    return df.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), *order))).where(F.col("n") <= k)
+
+
+def _sample(df: DataFrame, n: int) -> DataFrame:
+    return df.orderBy(F.xxhash64("eid", F.lit(3)), "eid").limit(n)
+
+
+def _true_neighbours(entries: DataFrame, asked: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(query, neighbour) pairs of vectors: the k nearest entries of each asked vector, other than its own copy, by one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dim, (rows, x) in _matrix(b.column("embedding")).items():
+                mine = [i for i, v in enumerate(asked) if len(v) == dim]
+                if mine:
+                    for i, near, score in _exact(x, np.stack([asked[i] for i in mine]), rows, k + 1):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), mine[i])), b.column("eid").take(pa.array(rows[near])), pa.array(score)], ["q", "eid", "score"])
+
+    met = _top(entries.mapInArrow(run, "q long, eid long, score double").where("score < 1 - 1e-12"), "q", k, "eid")
+    return [(asked[r.q], np.array(r.embedding, np.float64)) for r in met.join(entries, "eid").select("q", "embedding").collect()]
+
+
+def tuned(entries: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, seed: int = SEED) -> tuple[int, float, int]:
+    """(hashes, width, probes) of least cost that find TARGET of the sample's neighbours; entries, queries: eid, embedding."""
+    asked = [np.array(r.embedding, np.float64) for r in _sample(queries, SAMPLE_QUERIES).select("embedding").collect()]
+    some = [np.array(r.embedding, np.float64) for r in _sample(entries, SAMPLE_ENTRIES).select("embedding").collect()]
+    pairs = _true_neighbours(entries, asked, k)
+    best = (np.inf, HASHES[0], WIDTHS[-1], PROBES[-1])
+    if not pairs:
+        return best[1:]
+    dim = max({len(q) for q, _ in pairs}, key=lambda d: sum(len(q) == d for q, _ in pairs))
+    q, of = np.unique(np.stack([q for q, _ in pairs if len(q) == dim]), axis=0, return_inverse=True)
+    of = of.ravel()
+    q, near, far = _normal(q), _normal(np.stack([v for u, v in pairs if len(u) == dim])), _normal(np.stack([v for v in some if len(v) == dim] or [q[0]]))
+    for hashes in HASHES:
+        for width in WIDTHS:
+            a, shift = planes(dim, tables, hashes, width, seed)
+            met, seen = np.full(len(near), PROBES[-1] + 1.0), np.full((len(q), len(far)), PROBES[-1] + 1.0)
+            for t in range(tables):
+                v = (q @ a[t].T + shift[t]) / width
+                cell = np.floor(v)
+                costs = [np.array([sum(f[i] ** 2 if d < 0 else (1 - f[i]) ** 2 for i, d in s) for s in perturbations(f, PROBES[-1])]) for f in v - cell]
+
+                def turn(x: np.ndarray, i: int, v=v, cell=cell, costs=costs, t=t, a=a, shift=shift, width=width) -> np.ndarray:
+                    """After how many visited cells query i comes to the cell of each row of x."""
+                    step = np.floor((x @ a[t].T + shift[t]) / width) - cell[i]
+                    f = v[i] - cell[i]
+                    cost = np.where(step < 0, f**2, np.where(step > 0, (1 - f) ** 2, 0)).sum(1)
+                    return np.where(np.abs(step).max(1) > 1, np.inf, np.searchsorted(costs[i], cost - 1e-12) + 1)
+
+                for i in range(len(q)):
+                    seen[i] = np.minimum(seen[i], turn(far, i))
+                    mine = of == i
+                    met[mine] = np.minimum(met[mine], turn(near[mine], i))
+            for probes in PROBES:
+                # a visited cell costs a row in the joins, a candidate a comparison
+                cost = (seen <= probes).mean() + 1e-4 * probes
+                if (met <= probes).mean() >= TARGET and cost < best[0]:
+                    best = (cost, hashes, width, probes)
+    return best[1:]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, hashes: int | None = None, width: float | None = None, probes: int | None = None, seed: int = SEED) -> DataFrame:
     """vectors, queries: vec_id, embedding; a query's own id is never its answer. Returns query_id, rank, vec_id, score."""
-    finite = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    sound = lambda df: df.select(F.col("vec_id").cast("long"), "embedding").where(finite)
+    finite = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    sound = lambda df: df.select(F.col("vec_id").cast("long"), "embedding").where(finite).dropDuplicates()
+    rows = sound(vectors)
     first = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    few = sound(vectors).withColumn("n", first).where(F.col("n") <= k + 1)
-    entries = materialize(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "embedding"), "ann-entries")
+    few = rows.withColumn("n", first).where(F.col("n") <= k + 1)
+    entries = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("eid"), F.col("ids")[0].alias("rep"), "ids", "embedding")
+    entries = materialize(entries, "ann-entries")
+    # an id with several vectors may fill as many places; usually one
+    many = vectors.where("vec_id is not null").groupBy("vec_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+    most = (k + 1) * (max(1, rows.groupBy("vec_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 1) if many else 1)
     asked = sound(queries).withColumnRenamed("vec_id", "query_id")
-    unique = asked.groupBy("embedding").agg(F.min("query_id").alias("ask"))
-    asked = materialize(asked.join(unique, "embedding").select("query_id", "ask"), "ann-asked")
-    unique = materialize(unique.select(F.col("ask").alias("rep"), "embedding"), "ann-queries")
+    unique = materialize(asked.groupBy("embedding").agg(F.min("query_id").alias("rep")).select(F.monotonically_increasing_id().alias("eid"), "rep", "embedding"), "ann-queries")
+    asked = asked.join(unique.select("embedding", "eid"), "embedding").select("query_id", F.col("eid").alias("q"))
+    if hashes is None or width is None or probes is None:
+        hashes, width, probes = tuned(entries.select("eid", "embedding"), unique.select("eid", "embedding"), k, tables, seed)
 
-    shape = "t int, cell long, rep long, embedding array<" + dict(vectors.dtypes)["embedding"].partition("<")[2]
-    index = materialize(entries.select("rep", "embedding").mapInArrow(_hash_rows(1, tables, hashes, width, seed), shape), "ann-index")
-    visits = materialize(unique.mapInArrow(_hash_rows(probes, tables, hashes, width, seed), shape), "ann-visits")
+    shape = "t int, cell long, eid long"
+    index = materialize(entries.select("eid", "embedding").mapInArrow(_hash_rows(1, tables, hashes, width, seed), shape), "ann-index")
+    visits = materialize(unique.select("eid", "embedding").mapInArrow(_hash_rows(probes, tables, hashes, width, seed), shape), "ann-visits")
     parts = lambda df, name: df.groupBy("t", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(name))
     cells = parts(index, "pi").join(parts(visits, "pv"), ["t", "cell"])
 
-    def dealt(df: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
-        mine, all_of = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        placed = df.join(cells, ["t", "cell"]).withColumn(f"g_{own}", mine).withColumn(f"g_{other}", all_of)
-        return placed.select("t", "cell", "g_pi", "g_pv", F.lit(asks).alias("asks"), "rep", "embedding")
-
-    met = dealt(index, "pi", "pv", False).unionByName(dealt(visits, "pv", "pi", True))
-    found = met.groupBy("t", "cell", "g_pi", "g_pv").applyInArrow(_best(k + 1), "q long, rep long, score double")
-    merged = found.groupBy("q", "rep").agg(F.max("score").alias("score"))
-    best = merged.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("n") <= k + 1)
-    listed = best.join(entries.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))
-    listed = listed.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
-    answers = asked.join(listed, asked["ask"] == listed["q"]).where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return answers.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    def dealt(df: DataFrame, of: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
+        mine, all_of = F.pmod(F.xxhash64("eid"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        placed = df.join(cells, ["t", "cell"]).withColumn(f"g_{own}", mine).withColumn(f"g_{other}", all_of).drop("pi", "pv")
+        return placed.join(of.select("eid", "rep", "embedding"), "eid").select("t", "cell", "g_pi", "g_pv", F.lit(asks).alias("asks"), "eid", "rep", "embedding")
+
+    met = dealt(index, entries, "pi", "pv", False).unionByName(dealt(visits, unique, "pv", "pi", True))
+    found = met.groupBy("t", "cell", "g_pi", "g_pv").applyInArrow(_best(most), "q long, eid long, rep long, score double")
+    merged = found.groupBy("q", "eid").agg(F.max("score").alias("score"), F.first("rep").alias("rep"))
+    listed = _top(merged, "q", most, "rep").join(entries.select("eid", "ids"), "eid").select("q", "score", F.explode("ids").alias("vec_id"))
+    answers = asked.join(listed, "q").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return _top(answers, "query_id", k, "vec_id").select("query_id", F.col("n").alias("rank"), "vec_id", "score")
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
