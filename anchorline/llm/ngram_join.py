@@ -17,10 +17,10 @@ Links join documents whose shingle sets have a Jaccard similarity of
    Sorted by signature, each run of sets is a star of candidate edges.
 3. The candidate graph's components are dealt to blocks of a bounded number of
    shingles (small components share one).  In a block, DivideSkip finds the
-   links: for each set, the inverted lists but the T - 1 longest are merged; what
-   occurs in them is looked up in the long ones by binary probing (or by
-   scanning them where that is less work), and what reaches the overlap that the
-   two sizes require is a link.
+   links: for each set, the inverted lists but the L longest are merged; what
+   occurs T - L times in them is looked up in the long ones by binary probes, and
+   what reaches the overlap that the two sizes require is a link.  Sets that
+   are in one component already needn't be compared.
 4. A candidate component larger than a block is split.  After its blocks, one
    set of each local component is searched against the others, and then every
    set outside the largest component so far against all blocks, since a
@@ -51,8 +51,8 @@ BLOCK = 4_000_000
 BROADCAST_SETS = 400_000
 #: The sample in which shared passages are sought, and the most of their shingles that are set aside.
 SAMPLE_TEXTS, COMMON = 8_000, 200_000
-#: A probe costs as much as scanning so many postings.
-PROBE_COST = 60
+#: DivideSkip's factor of the length of the longest list, and the long lists that are probed at once.
+MU, PROBES = 0.01, 32
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -136,7 +136,7 @@ def _describe(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [(len(s), int(fingerprint(s).view(np.int64)) if len(s) else None) for _, _, s in _sets(iter([b]), n)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())], ["doc_id", "n_shingles", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())], ["doc_id", "th", "n_shingles", "fp"])
 
     return run
 
@@ -152,8 +152,8 @@ def _sample_shingles(n: int) -> Callable:
 
 def common_shingles(texts: DataFrame, each: DataFrame, n: int, percent: int) -> np.ndarray:
     """Shingles that texts of unlike sizes share, in a sample: passages rather than copies. They steer cost, never results."""
-    chosen = each.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_TEXTS).select("doc_id")
-    some = texts.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(_sample_shingles(n), "h long, n long")
+    chosen = each.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("d")).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_TEXTS).select("d.doc_id", "d.th")
+    some = texts.join(F.broadcast(chosen), ["doc_id", "th"]).select("text").mapInArrow(_sample_shingles(n), "h long, n long")
     seen = some.groupBy("h").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")).where(f"c >= 3 and hi * {percent} > lo * 125")
     top = seen.orderBy(F.desc("c"), "h").limit(COMMON).select("h").toArrow()
     return np.sort(top["h"].to_numpy().view(np.uint64))
@@ -209,20 +209,25 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Links:
-    """Union-find over the sets of a block."""
+    """Components of the sets of a block: ``of`` numbers each set's component by its smallest member."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+        self.of = np.arange(n)
+        self.members = [[i] for i in range(n)]
 
     def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        self.up[max(a, b)] = min(a, b)
+        a, b = int(self.of[i]), int(self.of[j])
+        if a == b:
+            return
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        name = min(a, b)
+        moved = self.members[b] if name == a else self.members[a] + self.members[b]
+        self.of[moved] = name
+        both = self.members[a]
+        both.extend(self.members[b])
+        self.members[a] = self.members[b] = []
+        self.members[name] = both
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -232,10 +237,20 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(at - lo, n)
 
 
-def divide_skip(sets: list[np.ndarray], percent: int, ask: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+def long_lists(need: int, longest: int) -> int:
+    """DivideSkip's number of long lists: T / (mu log M + 1), T - 1 at most."""
+    return max(0, min(need - 1, int(need / (MU * np.log2(max(2, longest)) + 1))))
+
+
+def divide_skip(sets: list[np.ndarray], percent: int, ask: np.ndarray | None = None, links: Links | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """Yields (i, linked places) for sets in order of size; each pair once, those only with an end in ``ask`` if given.
 
-    Sets must come in order of size; a pair is found at its later place.
+    Sets must come in order of size; a pair is found at its later place.  Of a set's inverted
+    lists the L longest are set apart.  Merging the others gives the places that occur there
+    T - L times at least (all other places are skipped); these are looked up in the long lists by
+    binary probes, until the overlap that the two sizes require is reached or out of reach.
+    With ``links``, pairs inside a component needn't be known: of the candidates of each component
+    one is probed, then twice as many as before, until one is linked or none is left.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -263,30 +278,44 @@ def divide_skip(sets: list[np.ndarray], percent: int, ask: np.ndarray | None = N
         mine, lo, hi = mine[some], lo[some], hi[some]
         order = np.argsort(hi - lo, kind="stable")
         mine, lo, hi = mine[order], lo[order], hi[order]
-        short = len(mine) - need + 1
+        apart = long_lists(need, int(hi[-1] - lo[-1]))
+        short = len(mine) - apart
         counts = np.bincount(postings[_ranges(lo[:short], hi[:short])] - first, minlength=q - first)
-        candidates = np.flatnonzero(counts)
+        candidates = np.flatnonzero(counts >= need - apart)
         if ask is not None and not ask[q]:
             candidates = candidates[ask[candidates + first]]
-        if not len(candidates):
-            continue
-        long_total = int((hi[short:] - lo[short:]).sum())
-        if long_total > PROBE_COST * len(candidates) * (len(mine) - short):
-            total = counts[candidates]
-            for k in range(short, len(mine)):
-                key = mine[k] * n + candidates + first
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                total = total + (keys[at] == key)
-                alive = total + (len(mine) - 1 - k) >= need
-                candidates, total = candidates[alive], total[alive]
-                if not len(candidates):
+        if links is not None:
+            candidates = candidates[np.argsort(-counts[candidates], kind="stable")]
+        found, take = [], 1
+        while len(candidates):
+            now, rest = candidates, candidates[:0]
+            if links is not None:
+                of = links.of[candidates + first]
+                open_ = of != links.of[q]
+                candidates, of = candidates[open_], of[open_]
+                by_part = np.argsort(of, kind="stable")
+                begin = np.r_[True, of[by_part][1:] != of[by_part][:-1]] if len(of) else np.zeros(0, bool)
+                turn = np.arange(len(of)) - np.maximum.accumulate(np.where(begin, np.arange(len(of)), 0))
+                now, rest = candidates[by_part[turn < take]], candidates[np.sort(by_part[turn >= take])]
+                take *= 2
+            total, least = counts[now], -(-percent * (m + sizes[now + first]) // (100 + percent))
+            for k in range(short, len(mine), PROBES):
+                keep = total + (len(mine) - k) >= least
+                now, total, least = now[keep], total[keep], least[keep]
+                if not len(now):
                     break
-        else:
-            counts = counts + np.bincount(postings[_ranges(lo[short:], hi[short:])] - first, minlength=q - first)
-            total = counts[candidates]
-        ok = (100 + percent) * total >= percent * (m + sizes[candidates + first])
-        if ok.any():
-            yield q, candidates[ok] + first
+                key = mine[k : k + PROBES, None] * n + now + first
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                total = total + (keys[at] == key).sum(0)
+            ok = now[total >= least]
+            if len(ok):
+                found.append(ok + first)
+                if links is not None:
+                    for p in ok.tolist():
+                        links.join(q, p + first)
+            candidates = rest
+        if found:
+            yield q, np.sort(np.concatenate(found))
 
 
 def _search(percent: int, asked: bool) -> Callable:
@@ -302,38 +331,36 @@ def _search(percent: int, asked: bool) -> Callable:
         sets = [flat[off[i] : off[i + 1]] for i in order]
         ask = np.asarray(group.column("ask"))[order] if asked else None
         links = Links(len(sets))
-        for q, found in divide_skip(sets, percent, ask):
-            for p in found.tolist():
-                links.join(q, p)
-        root = np.array([links.root(i) for i in range(len(sets))], np.int64)
-        return pa.table({"fp": fp[order], "root": fp[order][root]})
+        for _ in divide_skip(sets, percent, ask, links):
+            pass
+        return pa.table({"fp": fp[order], "root": fp[order][links.of]})
 
     return run
 
 
 def _rooted(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, fp and root (both null without shingles) of every row of docs (doc_id, text); linked texts have one root."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    each = materialize(texts.mapInArrow(_describe(n), "doc_id long, n_shingles long, fp long"), "join-sets")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    each = materialize(texts.mapInArrow(_describe(n), "doc_id long, th long, n_shingles long, fp long"), "join-sets")
     signed = texts.select("text").mapInArrow(_sign(n, percent, common_shingles(texts, each, n, percent)), "sig long, fp long")
     stars = signed.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(_stars, "u long, v long")
     clusters = materialize(connected(stars, "join-candidates").select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "join-clusters")
 
     # one text of each candidate set
-    first = each.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "n_shingles")).alias("d")).select("fp", "d.doc_id", "d.n_shingles")
+    first = each.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "th", "n_shingles")).alias("d")).select("fp", "d.doc_id", "d.th", "d.n_shingles")
     wanted = materialize(clusters.join(first, "fp"), "join-wanted")
     plans = wanted.groupBy("cluster").agg(F.sum("n_shingles").alias("weight"))
     total = wanted.agg(F.sum("n_shingles")).first()[0] or 0
     bins = max(1, -(-total // (BLOCK // 4)))
     blocks = F.when(F.col("weight") * 4 <= BLOCK, 0).otherwise(F.ceil(F.col("weight") / BLOCK)).cast("int")
     plans = plans.select("cluster", blocks.alias("blocks"))
-    placed = wanted.join(plans, "cluster").select("fp", "cluster", "blocks", "doc_id", F.when(F.col("blocks") == 0, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks"))).cast("int").alias("block"))
-    # a null or repeated id may stand for several texts: the fingerprint decides after the join on ids
+    placed = wanted.join(plans, "cluster").select("fp", "cluster", "blocks", "doc_id", "th", F.when(F.col("blocks") == 0, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks"))).cast("int").alias("block"))
+    # a null or repeated id may stand for many texts: rows meet by the hash of the text as well, and the fingerprint decides
     placed = materialize(placed.withColumn("own", F.when(F.col("blocks") == 0, F.lit(0)).otherwise(F.col("cluster")).cast("long")), "join-placed")
     small = placed.count() <= BROADCAST_SETS
     # few candidates go to where the texts are; many meet them by merging
     at, to = (texts, F.broadcast(placed)) if small else (texts.hint("merge"), placed)
-    source = at.join(to, texts["doc_id"].eqNullSafe(placed["doc_id"])).select("text", "fp", "own", "blocks", "block")
+    source = at.join(to, texts["doc_id"].eqNullSafe(placed["doc_id"]) & (texts["th"] == placed["th"])).select("text", "fp", "own", "blocks", "block")
     sets = source.mapInArrow(_shingles_of(n), "fp long, own long, blocks int, block int, shingles array<long>")
     split = bool(placed.where("blocks > 1").limit(1).count())
     if split:
@@ -355,13 +382,15 @@ def _shingles_of(n: int) -> Callable:
     """The shingle sets of the texts that have the fingerprint they are joined to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in batches:
             rows: list[int] = []
             sets: list[np.ndarray] = []
             wanted = b.column("fp").to_pylist()
             for _, i, s in _sets(iter([b]), n):
-                if len(s) and int(fingerprint(s).view(np.int64)) == wanted[i]:
-                    rows.append(i), sets.append(s)
+                # rows that are repeated whole count once a task
+                if len(s) and wanted[i] not in done and int(fingerprint(s).view(np.int64)) == wanted[i]:
+                    rows.append(i), sets.append(s), done.add(wanted[i])
             cut = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
             at = pa.array(rows, pa.int64())

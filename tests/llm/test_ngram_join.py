@@ -87,14 +87,28 @@ def test_divide_skip_finds_every_link():
             sets += [np.unique(np.where(rng.random(len(base)) < 0.06, rng.integers(0, 4000, len(base)).astype(np.uint64), base)) for _ in range(9)]
         sets.sort(key=len)
         want = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
-        for cost in (0, 10**9):
-            old, J.PROBE_COST = J.PROBE_COST, cost
+        for mu in (0.0, 0.01, 1.0, 100.0):
+            old, J.MU = J.MU, mu
             assert {(i, int(j)) for i, js in J.divide_skip(sets, percent) for j in js} == want
-            J.PROBE_COST = old
+            J.MU = old
+        links = J.Links(len(sets))
+        assert {(i, int(j)) for i, js in J.divide_skip(sets, percent, links=links) for j in js} <= want
+        whole = list(range(len(sets)))
+        for _ in whole:
+            for i, j in want:
+                whole[i] = whole[j] = min(whole[i], whole[j])
+        assert links.of.tolist() == whole
         ask = rng.random(len(sets)) < 0.3
         assert {(i, int(j)) for i, js in J.divide_skip(sets, percent, ask) for j in js} == {(i, j) for i, j in want if ask[i] or ask[j]}
 
 
+def test_many_rows_without_id_dont_multiply(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(None if i % 2 else 5, " ".join([*base[:30], f"x{i % 20}", *base[31:]])) for i in range(80)] + [(9, None)] * 3
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
+    assert len(got) == 83 and all(r.component_id == (5 if r.n_shingles else 9) for r in got)
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(6)
     for percent in (80, 90):
