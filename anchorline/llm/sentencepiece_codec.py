@@ -2,14 +2,19 @@
 
 A text becomes segments that no piece of the vocabulary can cross: a run of the
 space mark with what follows it up to the next one, or a single symbol outside
-the vocabulary.  The distinct segments of a batch are encoded together: their
+the vocabulary.  A long segment is cut further wherever two characters stand side by side
+that do so in no piece: no merge can cross such a place.  The distinct segments of a batch are encoded together: their
 symbols stand in flat numpy arrays, each round finds every segment's best pair
 (the smallest rank of the merged piece), merges it, and compacts the arrays; a
 segment without a pair leaves the rounds.  All leftmost non-overlapping
 occurrences of the best pair merge at once where that can't change the outcome
 (no merged neighbour offers a better rank), else the leftmost alone.
 
-Each segment's ids are kept in a bounded table per Python worker, so that a
+What stays longer than LONG symbols (such as a letter repeated) and isn't done after
+LONG_ROUNDS rounds goes on with an agenda: a heap of pairs over linked neighbours, in the
+library's order, so that time grows with the length and its logarithm.
+
+Each segment's ids are kept in a table per Python worker that is bounded in characters, so that a
 frequent word is encoded once.  Rounds, tables and batches are bounded by
 parameters; a long text needs memory in proportion to itself only.
 
@@ -21,6 +26,7 @@ like a result are replaced.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -33,8 +39,10 @@ from anchorline.llm.common import table
 
 MARK = "▁"
 _NONE = np.int64(1 << 40)
-#: Segments that a worker remembers (in either generation), symbols that one run of merge rounds takes, and characters of the texts that learn together.
-REMEMBERED, BATCH_SYMBOLS, BATCH_TEXT = 200_000, 400_000, 1_000_000
+#: Characters of segments that a worker remembers (in either generation), symbols that one run of merge rounds takes, and characters of the texts that learn together.
+REMEMBERED, BATCH_SYMBOLS, BATCH_TEXT = 2_000_000, 400_000, 1_000_000
+#: Segments above CUT characters are cut at borders; those above LONG go to the agenda after LONG_ROUNDS rounds.
+CUT, LONG, LONG_ROUNDS = 24, 256, 64
 
 
 def piece_model() -> str:
@@ -82,12 +90,18 @@ class PieceCodec:
         keys = np.array(left, np.int64) << 32 | np.array(right, np.int64)
         by = np.argsort(keys)
         self.pair_keys, self.pair_into = keys[by], np.array(into, np.int64)[by]
+        points = lambda c: np.frombuffer("".join(c).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sides = {p[k : k + 2] for p in ids for k in range(len(p) - 1)}
+        both = points(sorted(sides)).reshape(-1, 2)
+        self.joined = np.unique(both[:, 0] << 21 | both[:, 1])
         inside = re.escape("".join(c for c in self.single if c != MARK))
         self.segments = re.compile(f"{MARK}*[{inside}]+|{MARK}+|.", re.S)
         #: Of a segment: its ids as text, and the bytes that they decode to. The old generation is asked before encoding anew.
+        self.into: dict[int, int] = {}
         self.ids_of: dict[str, str] = {}
         self.bytes_of: dict[str, bytes] = {}
         self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.held = 0
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each pair of neighbours makes, or -1."""
@@ -98,7 +112,20 @@ class PieceCodec:
     def rounds(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merges until no segment has a pair left; symbols and owners of all segments, by owner."""
         done_s, done_o = [], []
+        number = 0
         while len(symbols):
+            number += 1
+            if number > LONG_ROUNDS and number % LONG_ROUNDS == 1:
+                begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                length = np.diff(np.r_[begin, len(owner)])
+                long = length > LONG
+                if long.any():
+                    for b, e in zip(begin[long].tolist(), (begin + length)[long].tolist(), strict=True):
+                        out = self.agenda(symbols[b:e].tolist())
+                        done_s.append(np.array(out, np.int64)), done_o.append(np.full(len(out), owner[b]))
+                    stay = np.repeat(~long, length)
+                    symbols, owner = symbols[stay], owner[stay]
+                    continue
             n = len(symbols)
             piece = np.full(n, -1, np.int64)
             piece[:-1] = np.where(owner[1:] == owner[:-1], self.merged(symbols[:-1], symbols[1:]), -1)
@@ -150,6 +177,36 @@ class PieceCodec:
         by = np.argsort(o, kind="stable")
         return s[by], o[by]
 
+    def agenda(self, symbols: list[int]) -> list[int]:
+        """The same merges one by one: always the best rank, the leftmost first."""
+        if not self.into:
+            self.into = dict(zip(self.pair_keys.tolist(), self.pair_into.tolist(), strict=True))
+        into, rank = self.into, self.rank
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def propose(i: int, j: int) -> None:
+            piece = into.get(symbols[i] << 32 | symbols[j])
+            if piece is not None and rank[piece] < _NONE:
+                heapq.heappush(heap, (int(rank[piece]), i, symbols[i], symbols[j]))
+
+        for i in range(n - 1):
+            propose(i, i + 1)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j >= n or symbols[j] != b:
+                continue
+            symbols[i], symbols[j] = into[a << 32 | b], -2
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                propose(i, k)
+            if before[i] >= 0:
+                propose(before[i], i)
+        return [x for x in symbols if x != -2]
+
     @staticmethod
     def apply(symbols: np.ndarray, piece: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out, keep = symbols.copy(), np.ones(len(symbols), bool)
@@ -184,10 +241,12 @@ class PieceCodec:
     def know(self, segments: set[str]) -> None:
         """Sees that all of these segments are in the table."""
         new = segments.difference(self.ids_of)
-        if len(self.ids_of) + len(new) > REMEMBERED and self.ids_of:
+        size = sum(map(len, new))
+        if self.held + size > REMEMBERED and self.ids_of:
             self.old = self.ids_of, self.bytes_of
-            self.ids_of, self.bytes_of = {}, {}
-            new = segments
+            self.ids_of, self.bytes_of, self.held = {}, {}, 0
+            new, size = segments, sum(map(len, segments))
+        self.held += size
         ids, decoded = self.old
         again = new.intersection(ids) if ids else set()
         for s in again:
@@ -196,7 +255,18 @@ class PieceCodec:
             self.learn(list(new - again))
 
     def split(self, text: str) -> list[str]:
-        return self.segments.findall(MARK + text.replace(" ", MARK)) if text else []
+        found = self.segments.findall(MARK + text.replace(" ", MARK)) if text else []
+        if len(found) and max(map(len, found)) > CUT:
+            return [part for s in found for part in (self.cut(s) if len(s) > CUT else (s,))]
+        return found
+
+    def cut(self, segment: str) -> list[str]:
+        """The parts of a segment between places that no piece has inside."""
+        c = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        key = c[:-1] << 21 | c[1:]
+        at = np.minimum(np.searchsorted(self.joined, key), len(self.joined) - 1)
+        ends = np.r_[0, np.flatnonzero(self.joined[at] != key) + 1, len(segment)].tolist()
+        return [segment[a:b] for a, b in zip(ends, ends[1:])]
 
     def encode(self, text: str | None) -> list[int]:
         ids = self.summaries([text])[0][1]

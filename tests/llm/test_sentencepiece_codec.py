@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 import sentencepiece as spm
@@ -35,6 +36,26 @@ def test_random_texts(lib):
         assert own.summaries([t])[0][2] == lib.decode(lib.encode(t)), t
 
 
+def test_long_segments(lib):
+    own, rnd = S.codec(S.piece_model()), random.Random(4)
+    letters = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    base64 = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(50_000))
+    cases = [letters, base64, "a" * 5001, "ab" * 3000, "the" * 4000, "inter" * 999 + "nation" * 700, " " * 3000 + "x", "een" * 2000 + "漢字かな" * 500, "".join(rnd.choice(["er", "in", "est", "tion", "al", "s"]) for _ in range(6000))]
+    began = time.time()
+    for text, (n, ids, decoded) in zip(cases, own.summaries(cases), strict=True):
+        want = lib.encode(text)
+        assert [int(x) for x in ids.split(",")] == want and n == len(want) and decoded == lib.decode(want)
+    assert time.time() - began < 60
+
+
+def test_agenda_merges_in_the_librarys_order(lib, monkeypatch):
+    monkeypatch.setattr(S, "LONG", 3)
+    monkeypatch.setattr(S, "LONG_ROUNDS", 1)
+    own = S.PieceCodec(S.piece_model())
+    for text in ("internationalisation of undercover misunderstandings", "aaaaaaaaaaaaaaa", "hhhhhhéé  ==== ----- 11111"):
+        assert own.encode(text) == lib.encode(text)
+
+
 def test_table_is_bounded(lib, monkeypatch):
     monkeypatch.setattr(S, "REMEMBERED", 10)
     monkeypatch.setattr(S, "BATCH_SYMBOLS", 16)
