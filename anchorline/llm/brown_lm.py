@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from anchorline.llm.common import chunks, crc_mod, fmix, materialize, table, text_bytes, word_hashes
 
-FREQUENT, SUFFIXES, CLASSES, HOT = 768, 192, 48, 1 << 17
+FREQUENT, SUFFIXES, CLASSES, HOT = 2_048, 192, 48, 1 << 17
 DELTA, PULL, SWEEPS = 0.1, 20.0, 6
 END = FREQUENT + SUFFIXES
 TYPES = END + 1
@@ -122,7 +122,8 @@ def _bigrams(hot: HotWords) -> Callable:
         total = np.zeros(TYPES * TYPES, np.int64)
         for *_, h, per, g in _each_chunk(batches):
             t, _row = _with_ends(hot.find(h, g)[2], per)
-            total += np.bincount(np.r_[END, t[:-1]] * TYPES + t, minlength=len(total))
+            cells, c = np.unique(np.r_[END, t[:-1]] * TYPES + t, return_counts=True)
+            total[cells] += c
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "c"])
 
