@@ -3,7 +3,7 @@
 A response record is a row of ``RESPONSE_COLUMNS``; ``responses`` makes them from
 crawled pages, ``read_responses`` from WARC files (payloads as bytes, with digests of what the
 file has), ``read_warc`` the same as strings.  ``derive`` gives, for every
-response, a ``metadata`` record (the source's HTTP status and headers, the sizes
+response, a ``metadata`` record (the source's HTTP status line and each of its headers, the sizes
 and digests of its block and payload) and, where the HTTP content type is text, a
 ``conversion`` record with the plain text.  Both carry WARC-Refers-To (the
 response's record id), its target and date, and digests of their own blocks;
@@ -24,9 +24,13 @@ import gzip
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Iterator
+from html.entities import name2codepoint
 
 import pandas as pd
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +42,11 @@ DERIVED_COLUMNS = ("record_id", "record_type", "refers_to", "target_uri", "warc_
 SOURCE_COLUMNS = ("source_block_digest", "source_payload_digest", "source_text")
 TEXT_TYPES = r"^(text/.*|application/(.*\+)?xml)$"
 DATE = "2024-01-01T00:00:00Z"
-#: Character references that occur in the pages and their texts, and the tags that end a line: fixed values.
-REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: The character references that have a name in HTML 4, and the apostrophe's of XML; a space that doesn't break is a space here.
+NAMED = {"apos": "'"} | {name: chr(code) for name, code in name2codepoint.items()} | {"nbsp": " "}
+#: A reference after its "&": a decimal or hexadecimal number, or a name.
+REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+#: The tags that end a line: fixed values.
 LINE_TAGS = "br|p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|nav|title|body|pre|blockquote"
 CRLF = "\r\n"
 
@@ -68,13 +75,31 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
     t = F.regexp_replace(t, rf"(?i)</?({LINE_TAGS})\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    for name, char in REFERENCES:
-        t = F.replace(t, F.lit(name), F.lit(char))
+    t = resolved(t)
     t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
     t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
 
 
+def _char(code: Column) -> Column:
+    """The character of a code point; null for none (zero, surrogates, beyond Unicode)."""
+    sound = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def resolved(text: Column) -> Column:
+    """Numeric and named character references as characters, each once; what isn't a reference stays."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def after(part: Column, i: Column) -> Column:
+        ref = F.regexp_extract(part, REFERENCE, 1)
+        decimal, hexadecimal = F.regexp_extract(ref, "^#([0-9]+)$", 1), F.regexp_extract(ref, "^#[xX](.*)$", 1)
+        char = F.when(decimal != "", _char(decimal.cast("long"))).when(hexadecimal != "", _char(F.conv(hexadecimal, 16, 10).cast("long"))).otherwise(F.try_element_at(names, ref))
+        return F.when(i == 0, part).when((ref != "") & char.isNotNull(), F.concat(char, F.substr(part, F.length(ref) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), after), "")).otherwise(text)
+
+
 def derive(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Metadata and conversion records of response records, in DERIVED_COLUMNS, after the carried columns.
 
@@ -85,13 +110,16 @@ def derive(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     block_digest = F.col("source_block_digest") if given else _digest(F.concat(F.col("http_headers"), F.lit(CRLF), F.col("payload")))
     mime = F.lower(F.regexp_extract("http_headers", r"(?im)^content-type:[ \t]*([^;\s]+)", 1))
     text = F.when((mime == "") | mime.rlike(TEXT_TYPES), plain_text(F.col("source_text" if given else "payload")))
+    # a header that is folded over several lines is one line
+    lines = F.split(F.regexp_replace("http_headers", "\r\n[ \t]+", " "), CRLF)
+    header_lines = F.transform(F.filter(F.slice(lines, 2, F.size(lines)), lambda x: x != ""), lambda x: F.concat(F.lit("http-header-"), x, F.lit(CRLF)))
     fields = F.concat(
         F.lit("source-record-id: "), F.col("record_id"), F.lit(CRLF),
         F.lit("source-content-type: "), F.coalesce("content_type", F.lit("")), F.lit(CRLF),
         F.lit("source-block-digest: "), block_digest, F.lit(CRLF),
         F.lit("source-payload-digest: "), source_digest, F.lit(CRLF),
         F.lit("source-payload-length: "), F.octet_length("payload").cast("string"), F.lit(CRLF),
-        F.lit("http-status-line: "), F.substring_index("http_headers", CRLF, 1), F.lit(CRLF),
+        F.lit("http-status-line: "), F.substring_index("http_headers", CRLF, 1), F.lit(CRLF), F.array_join(header_lines, ""),
     )
     made = records.withColumns({"_meta": fields, "_text": text, "_digest": source_digest})
     one = lambda kind, mime, block: F.struct(F.lit(kind).alias("record_type"), F.lit(mime).alias("content_type"), block.alias("block"))
@@ -122,6 +150,28 @@ def warc_bytes(derived: DataFrame) -> DataFrame:
     return derived.select(*DERIVED_COLUMNS).mapInPandas(run, "record_id string, member binary")
 
 
+def write_warc(derived: DataFrame, path: str) -> DataFrame:
+    """Writes a gzipped WARC/1.1 file per partition, whole records each, to a folder all executors reach; returns path and records of each.
+
+    A file gets its name when it is complete, so that a repeated task replaces it by the same.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, folder = pafs.FileSystem.from_uri(path)
+        fs.create_dir(folder, recursive=True)
+        number, n = TaskContext.get().partitionId(), 0
+        begun, name = f"{folder}/_begun-{number:05d}-{uuid.uuid4().hex}", f"{folder}/part-{number:05d}.warc.gz"
+        with fs.open_output_stream(begun, compression=None) as out:
+            for pdf in batches:
+                for r in pdf.to_dict("records"):
+                    out.write(gzip.compress(warc_record(r), mtime=0))
+                    n += 1
+        fs.move(begun, name)
+        yield pd.DataFrame({"path": [name], "records": [n]})
+
+    return derived.select(*DERIVED_COLUMNS).mapInPandas(run, "path string, records long")
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and blocks of the records of an uncompressed WARC file."""
     at = 0
@@ -196,8 +246,12 @@ def _sql_text(html: str) -> str:
     t = f"regexp_replace({t}, '(?s)<!--.*?-->', '', 'g')"
     t = rf"regexp_replace({t}, '(?i)</?({LINE_TAGS})\b[^>]*>', chr(10), 'g')"
     t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
-    for name, char in REFERENCES:
-        t = f"replace({t}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    names = "map {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in NAMED.items()) + "}"
+    code = "case when r[2:2] in ('x', 'X') then ('0x' || r[3:])::bigint else try_cast(r[2:] as bigint) end"
+    char = f"case when r[1:1] = '#' then list_transform([{code}], lambda n: case when n between 1 and 55295 or n between 57344 and 1114111 then chr(n::int) end)[1] else ({names})[r] end"
+    part = f"list_transform([regexp_extract(p, '{REFERENCE}', 1)], lambda r: case when i = 1 then p when r <> '' and ({char}) is not null then ({char}) || substr(p, length(r) + 2) else '&' || p end)[1]"
+    t = f"list_transform([{t}], lambda t: case when contains(t, '&') then array_to_string(list_transform(string_split(t, '&'), lambda p, i: {part}), '') else t end)[1]"
     t = rf"regexp_replace({t}, '[ \t\r\f]+', ' ', 'g')"
     t = rf"regexp_replace({t}, ' ?\n[ \n]*', chr(10), 'g')"
     return rf"regexp_replace({t}, '^[ \n]+|[ \n]+$', '', 'g')"
@@ -213,7 +267,8 @@ r as (
   select *, 'metadata' as record_type,
          'source-record-id: ' || rid || {_NL} || 'source-content-type: application/http; msgtype=response' || {_NL} ||
          'source-block-digest: sha256:' || sha256(head || {_NL} || payload) || {_NL} || 'source-payload-digest: sha256:' || sha256(payload) || {_NL} ||
-         'source-payload-length: ' || strlen(payload) || {_NL} || 'http-status-line: HTTP/1.1 200 OK' || {_NL} as block from p
+         'source-payload-length: ' || strlen(payload) || {_NL} || 'http-status-line: HTTP/1.1 200 OK' || {_NL} ||
+         'http-header-Content-Type: text/html; charset=utf-8' || {_NL} || 'http-header-Content-Length: ' || strlen(payload) || {_NL} as block from p
   union all
   select *, 'conversion', {_sql_text("payload")} from p)
 select page_id, record_type, {_sql_uuid("record_type || '|' || rid")} as record_id, rid as refers_to, url as target_uri, 'sha256:' || sha256(payload) as source_digest,

@@ -2,6 +2,8 @@ import gzip
 import hashlib
 import json
 
+from pyspark.sql import functions as F
+
 from anchorline.llm import warc as W
 
 SHAPE = "page_id long, url string, html string, record_id string"
@@ -75,5 +77,29 @@ def test_source_bytes_headers_and_digests_stay(spark, tmp_path):
         assert json.loads(head["warc-source-http-headers"]) == r.source_headers and head["warc-source-payload-digest"] == r.source_digest
 
 
+def test_references(spark):
+    """Numeric and named references, each once; what isn't one stays."""
+    cases = {"&mdash;&#8217;&eacute;&#x1F600;": "\u2014\u2019\u00e9\U0001f600", "&amp;lt;": "&lt;", "a & b &nosuch; &#0; &#xD800; &#99999999; &": "a & b &nosuch; &#0; &#xD800; &#99999999; &", "&#39;x&#X41;&apos;": "'xA'", "&nbsp;": " ", "": "", "no": "no"}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    assert {r.t: r.u for r in df.select("t", W.resolved(F.col("t")).alias("u")).collect()} == cases | {None: None}
+
+
+def test_written_files_keep_headers_ids_and_digests(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Foo: bar\r\n  baz\r\n\r\n<p>one</p>"
+    (tmp_path / "in.warc").write_bytes(b"".join(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{k}>\r\nWARC-Block-Digest: sha1:B{k}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n" for k in range(5)))
+    derived = W.derive(W.read_responses(spark, str(tmp_path / "in.warc"))).repartition(3)
+    for _ in range(2):
+        written = W.write_warc(derived, f"file://{tmp_path}/out").collect()
+        assert sum(r.records for r in written) == 10
+    files = sorted((tmp_path / "out").iterdir())
+    assert sorted(str(f) for f in files) == sorted(r.path for r in written)
+    back = [x for f in files for x in W.parse_warc(gzip.decompress(f.read_bytes()))]
+    assert sorted((h["warc-refers-to"], h["warc-type"]) for h, _ in back) == sorted((f"<urn:{k}>", t) for k in range(5) for t in ("metadata", "conversion"))
+    for head, text in back:
+        assert "X-Foo: bar" in json.loads(head["warc-source-http-headers"])
+        if head["warc-type"] == "metadata":
+            assert b"http-header-X-Foo: bar baz\r\n" in text and f"source-block-digest: sha1:B{head['warc-refers-to'][5:-1]}".encode() in text
+
+
 def test_empty(spark):
     assert W.derive(W.responses(spark.createDataFrame([], SHAPE))).count() == 0
