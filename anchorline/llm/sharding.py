@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from anchorline.llm.common import materialize, table
 
-CELL_ROWS = 20_000
+CELL_ROWS, CELLS_PER_TASK = 20_000, 8
 SEED = "shards-1"
 _TWO32 = 1 << 32
 
@@ -38,7 +38,8 @@ def stratified_shards(docs: DataFrame, n_shards: int = 24, seed: str = SEED) ->
     rows = docs.select("doc_id", "source", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("h"))
     rows = materialize(rows, "shard-rows")
     n = rows.count()
-    cells = max(1, -(-n // CELL_ROWS))
+    # more cells than tasks, so that no task has several at once; ranks don't depend on their number
+    cells = max(1, -(-n // CELL_ROWS), min(n, CELLS_PER_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     rows = rows.withColumn("cell", F.expr(f"(cast(conv(substring(h, 1, 8), 16, 10) as bigint) * {cells}) div {_TWO32}"))
     by_source = Window.partitionBy("source")
