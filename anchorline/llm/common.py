@@ -7,8 +7,6 @@ per word; everything is bounded by ``CHUNK_BYTES`` or by the longest text.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from anchorline.storage import materialize  # noqa: F401
+
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
@@ -44,23 +44,6 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="anchorline-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write to a table in the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/anchorline/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fmix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finalizer of MurmurHash3."""
     h = h ^ (h >> _S33)
