@@ -93,11 +93,34 @@ def _contexts(known: np.ndarray) -> Callable:
                     if len(a):
                         total[a[by][cuts]] += np.add.reduceat(index[b[by]], cuts)
         used = np.flatnonzero(np.abs(total).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(total[used]), pa.list_(pa.float64()))], ["e", "v"])
+        for lo in range(0, len(used), 20_000):
+            yield _vectors(used[lo : lo + 20_000], total[used[lo : lo + 20_000]])
 
     return run
 
 
+def _vectors(entries: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+    """Entries with their vectors as bytes of 32-bit numbers."""
+    cut = pa.py_buffer((np.arange(len(entries) + 1) * 4 * DIM).astype(np.int32))
+    packed = pa.Array.from_buffers(pa.binary(), len(entries), [None, cut, pa.py_buffer(np.ascontiguousarray(vectors, np.float32))])
+    return pa.RecordBatch.from_arrays([pa.array(entries), packed], ["e", "v"])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    data, offsets = text_bytes(column)
+    return data[offsets[0] : offsets[-1]].copy().view(np.float32).reshape(-1, DIM)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One vector an entry: the sum of its rows, all of which are in this partition."""
+    held = [(b.column("e").to_numpy(), _unpacked(b.column("v"))) for b in batches if b.num_rows]
+    if held:
+        e, which = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        total = np.zeros((len(e), DIM))
+        np.add.at(total, which, np.concatenate([v for _, v in held]))
+        yield _vectors(e, total)
+
+
 def _pool(known: np.ndarray, vectors: np.ndarray, data: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """A row's mean vector, mean product of neighbours, and log length."""
     e, per = _entries(data, cut, known)
@@ -120,11 +143,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: in
     texts = sample.select("text").coalesce(8)
     counts = texts.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
     known = np.sort(counts.select("h").toArrow()["h"].to_numpy().view(np.uint64))
-    sums = texts.mapInArrow(_contexts(known), "e long, v array<double>").select("e", F.posexplode("v").alias("d", "x")).groupBy("e", "d").agg(F.sum("x").alias("x"))
-    rows = sums.groupBy("e").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).select("e", F.transform("v", lambda s: s["x"]).alias("v")).toArrow()
+    rows = texts.mapInArrow(_contexts(known), "e long, v binary").repartition("e").mapInArrow(_added, "e long, v binary").toArrow()
     vectors = _index_vectors(known).astype(np.float64)
     if rows.num_rows:
-        vectors[rows["e"].to_numpy()] += rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, DIM)
+        for b in rows.to_batches():
+            vectors[b.column("e").to_numpy()] += _unpacked(b.column("v"))
     vectors = (vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
