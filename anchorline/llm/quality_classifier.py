@@ -55,13 +55,13 @@ def _entries(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[
 
 
 def _index_vectors(known: np.ndarray) -> np.ndarray:
-    """The ternary index vector of each table entry."""
+    """The ternary index vector of each table entry; a few of its signs may meet."""
     keys = np.r_[known, fmix(np.arange(1, SHAPES + 1, dtype=np.uint64))]
-    out = np.zeros((len(keys), DIM), np.float32)
+    out = np.zeros((len(keys), DIM), np.int8)
     rows = np.arange(len(keys))
     for k in range(NONZERO):
         h = fmix(keys + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64))
-        out[rows, (h >> np.uint64(8)) % np.uint64(DIM)] += np.where(h & np.uint64(1), 1.0, -1.0)
+        out[rows, (h >> np.uint64(8)) % np.uint64(DIM)] += np.where(h & np.uint64(1), 1, -1).astype(np.int8)
     return out
 
 
@@ -81,7 +81,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(known: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index_vectors(known)
-        total = np.zeros((len(index), DIM), np.float64)
+        total = np.zeros((len(index), DIM), np.float32)
         for *_, data, cut in _each_chunk(batches):
             e, per = _entries(data, cut, known)
             row = np.repeat(np.arange(len(per)), per)
@@ -91,8 +91,8 @@ def _contexts(known: np.ndarray) -> Callable:
                     by = np.argsort(a, kind="stable")
                     cuts = np.flatnonzero(np.r_[True, np.diff(a[by]) != 0]) if len(a) else by
                     if len(a):
-                        total[a[by][cuts]] += np.add.reduceat(index[b[by]], cuts)
-        used = np.flatnonzero(np.abs(total).sum(1))
+                        total[a[by][cuts]] += np.add.reduceat(index[b[by]].astype(np.float32), cuts)
+        used = np.flatnonzero(total.any(1))
         for lo in range(0, len(used), 20_000):
             yield _vectors(used[lo : lo + 20_000], total[used[lo : lo + 20_000]])
 
@@ -127,7 +127,7 @@ def _pool(known: np.ndarray, vectors: np.ndarray, data: np.ndarray, cut: np.ndar
     out = np.zeros((len(per), 2 * DIM + 1))
     full = np.flatnonzero(per)
     if len(full):
-        v = vectors[e]
+        v = vectors[e].astype(np.float32)
         start = (np.cumsum(per) - per)[full]
         out[full, :DIM] = np.add.reduceat(v, start) / per[full, None]
         p = np.zeros_like(v)
@@ -144,11 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: in
     counts = texts.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
     known = np.sort(counts.select("h").toArrow()["h"].to_numpy().view(np.uint64))
     rows = texts.mapInArrow(_contexts(known), "e long, v binary").repartition("e").mapInArrow(_added, "e long, v binary").toArrow()
-    vectors = _index_vectors(known).astype(np.float64)
+    vectors = _index_vectors(known).astype(np.float32)
     if rows.num_rows:
         for b in rows.to_batches():
             vectors[b.column("e").to_numpy()] += _unpacked(b.column("v"))
-    vectors = (vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
+    vectors = (vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)).astype(np.float16)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, i, j, data, cut in _each_chunk(batches):
