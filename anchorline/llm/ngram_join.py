@@ -254,12 +254,21 @@ def divide_skip(sets: list[np.ndarray], percent: int, ask: np.ndarray | None = N
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(n), sizes)
-    every, where = np.unique(np.concatenate(sets), return_inverse=True)
-    by = np.argsort(where, kind="stable")
-    postings = owner[by]
-    keys = where[by] * n + postings
-    df = np.bincount(where, minlength=len(every))
+    # one sort makes the numbers of the shingles and the order of the postings; 32 bits hold both
+    flat = np.concatenate(sets)
+    by = np.argsort(flat, kind="stable")
+    flat = flat[by]
+    number = np.cumsum(np.r_[False, flat[1:] != flat[:-1]], dtype=np.int32)
+    del flat
+    df = np.bincount(number)
+    where = np.empty(len(by), np.int32)
+    where[by] = number
+    postings = np.repeat(np.arange(n, dtype=np.int32), sizes)[by]
+    del by
+    keys = number.astype(np.int64)
+    del number
+    keys *= n
+    keys += postings
     cut = np.r_[0, np.cumsum(sizes)]
     for q in range(1, n):
         m = int(sizes[q])
@@ -267,7 +276,7 @@ def divide_skip(sets: list[np.ndarray], percent: int, ask: np.ndarray | None = N
         if not m or first >= q:
             continue
         need = -(-percent * (m + int(sizes[first])) // (100 + percent))
-        mine = where[cut[q] : cut[q + 1]]
+        mine = where[cut[q] : cut[q + 1]].astype(np.int64)
         mine = mine[df[mine] > 1]
         if len(mine) < need:
             continue
