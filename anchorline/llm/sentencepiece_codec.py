@@ -40,7 +40,7 @@ from anchorline.llm.common import table
 MARK = "▁"
 _NONE = np.int64(1 << 40)
 #: Characters of segments that a worker remembers (in either generation), symbols that one run of merge rounds takes, and characters of the texts that learn together.
-REMEMBERED, BATCH_SYMBOLS, BATCH_TEXT = 2_000_000, 400_000, 1_000_000
+REMEMBERED, BATCH_SYMBOLS, BATCH_TEXT = 1_000_000, 400_000, 1_000_000
 #: Segments above CUT characters are cut at borders; those above LONG go to the agenda after LONG_ROUNDS rounds.
 CUT, LONG, LONG_ROUNDS = 24, 256, 64
 
