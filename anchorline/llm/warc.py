@@ -91,13 +91,18 @@ def resolved(text: Column) -> Column:
     """Numeric and named character references as characters, each once; what isn't a reference stays."""
     names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
 
+    def once(value: Column, body) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def char(ref: Column) -> Column:
+        number = F.when(F.substring(ref, 1, 2).isin("#x", "#X"), F.conv(F.substring(ref, 3, 9), 16, 10)).otherwise(F.substring(ref, 2, 9)).try_cast("long")
+        return F.when(F.startswith(ref, F.lit("#")), _char(number)).otherwise(F.try_element_at(names, ref))
+
     def after(part: Column, i: Column) -> Column:
-        ref = F.regexp_extract(part, REFERENCE, 1)
-        decimal, hexadecimal = F.regexp_extract(ref, "^#([0-9]+)$", 1), F.regexp_extract(ref, "^#[xX](.*)$", 1)
-        char = F.when(decimal != "", _char(decimal.cast("long"))).when(hexadecimal != "", _char(F.conv(hexadecimal, 16, 10).cast("long"))).otherwise(F.try_element_at(names, ref))
-        return F.when(i == 0, part).when((ref != "") & char.isNotNull(), F.concat(char, F.substr(part, F.length(ref) + 2))).otherwise(F.concat(F.lit("&"), part))
+        found = once(F.regexp_extract(part, REFERENCE, 1), lambda ref: once(F.struct(ref.alias("ref"), F.when(ref != "", char(ref)).alias("char")), lambda f: F.coalesce(F.concat(f["char"], F.substr(part, F.length(f["ref"]) + 2)), F.concat(F.lit("&"), part))))
+        return F.when(i == 0, part).otherwise(found)
 
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), after), "")).otherwise(text)
+    return once(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&"), after), "")).otherwise(t))
 
 
 def derive(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
