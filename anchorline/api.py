@@ -65,6 +65,10 @@ class Engine:
             raise ValueError(f"unknown species {species}")
         return int(row.genome_size)
 
+    def unknown(self, regions: DataFrame) -> DataFrame:
+        """The regions on chromosomes that no species has in the blocks; they can't be mapped."""
+        return P.on_unknown_chromosomes(regions, self.blocks)
+
     def project(self, regions: DataFrame, ref: str, qry: str, targets: DataFrame | None = None) -> Projection:
         """regions: region_idx, id, chrom, start, end, loc; targets: chrom, start, end on the query species."""
         limits = self.settings.thresholds(self.genome_size(ref))

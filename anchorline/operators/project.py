@@ -73,5 +73,17 @@ def bed9(table: DataFrame, which: str) -> DataFrame:
     )
 
 
+def named_by_last(regions: DataFrame) -> DataFrame:
+    """Regions whose centre is shared, with the name (last_id) that the centre has where the last region of it names them all."""
+    last = regions.groupBy("chrom", "loc").agg(F.max_by("id", "region_idx").alias("last_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return regions.join(last, ["chrom", "loc"])
+
+
+def on_unknown_chromosomes(regions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Regions on a chromosome that no block has on either side."""
+    known = blocks.select(F.col("ref_chrom").alias("chrom")).unionByName(blocks.select(F.col("qry_chrom").alias("chrom"))).distinct()
+    return regions.join(known, "chrom", "left_anti")
+
+
 def unmapped(regions: DataFrame, best: DataFrame) -> DataFrame:
     return regions.join(best.select("region_idx"), "region_idx", "left_anti").select("region_idx", "id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorline.api import Engine, Projection
@@ -348,25 +348,20 @@ def class_counts(spark, d):
 @query
 def func_class(spark, d):
     """Region centres against the targets."""
-    r = X.regions(spark, d)
-    near = P.overlapping(r.select("region_idx", "chrom", "loc"), X.targets(spark, d), SET.distance_fc).select("region_idx", F.lit("+").alias("flag"))
-    return r.select("region_idx").join(near, "region_idx", "left").select("region_idx", F.coalesce("flag", F.lit("-")).alias("flag"))
+    r = X.regions(spark, d).select("region_idx", F.col("chrom").alias("multi_chrom"), F.col("loc").alias("multi_loc"))
+    return P.with_function(r, X.targets(spark, d), SET).select("region_idx", F.col("functional_conservation").alias("flag"))
 
 
 @query
 def dup_centres(spark, d):
-    """The name that a shared centre would have if the last region of it named them all."""
-    r = X.regions(spark, d).withColumn("loc", F.floor(F.col("loc") / 2000))
-    last: Column = F.max_by("id", "region_idx").alias("last_id")
-    return r.join(r.groupBy("chrom", "loc").agg(last, F.count("*").alias("n")), ["chrom", "loc"]).where("n > 1").select("region_idx", "id", "last_id")
+    """Centres are rounded here, so that some are shared."""
+    return P.named_by_last(X.regions(spark, d).withColumn("loc", F.floor(F.col("loc") / 2000))).select("region_idx", "id", "last_id")
 
 
 @query
 def unknown_chrom(spark, d):
     r = X.regions(spark, d).withColumn("chrom", F.when(F.col("region_idx") % 50 == 0, F.concat(F.lit("chrUn"), "chrom")).otherwise(F.col("chrom")))
-    b = X.blocks(spark, d)
-    known = b.select(F.col("ref_chrom").alias("chrom")).unionByName(b.select(F.col("qry_chrom").alias("chrom"))).distinct()
-    return r.join(known, "chrom", "left_anti").select("region_idx", "chrom")
+    return P.on_unknown_chromosomes(r, X.blocks(spark, d)).select("region_idx", "chrom")
 
 
 @query
