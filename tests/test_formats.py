@@ -111,7 +111,7 @@ def test_functional_overlap_is_half_open(spark):
 
 
 def test_shared_centres_and_unknown_chromosomes(spark):
-    r = spark.createDataFrame([(1, "a", "1", 5), (2, "b", "1", 5), (3, "c", "1", 6), (4, "d", "9", 5), (5, "e", None, 5)], "region_idx long, id string, chrom string, loc long")
+    r = spark.createDataFrame([(1, "a", "1", 5), (2, "b", "1", 5), (3, "c", "1", 6), (4, "d", "none", 5), (5, "e", None, 5)], "region_idx long, id string, chrom string, loc long")
     assert sorted((x.region_idx, x.last_id) for x in P.named_by_last(r).collect()) == [(1, "b"), (2, "b")]
     engine = Engine(spark.createDataFrame(species_blocks(3), SHAPE), spark.createDataFrame(list(GENOMES.items()), "species string, genome_size long"))
     assert sorted(x.region_idx for x in engine.unknown(r).collect()) == [4, 5]
