@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from anchorline.llm import ann, brown_lm, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, sharding, toxicity, warc
+from anchorline.llm import ann, brown_lm, mixing, ngram_join, prefix_trie, quality_classifier, quality_rules, sentencepiece_codec, sharding, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_ann": ann.op10_ann,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
 }
 
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op4_ngram_join": ngram_join.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
 }
