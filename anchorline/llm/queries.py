@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from anchorline.llm import ann, brown_lm, mixing, ngram_join, prefix_trie, quality_classifier, quality_rules, sentencepiece_codec, sharding, toxicity, warc
+from anchorline.llm import ann, brown_lm, chat_format, mixing, ngram_join, prefix_trie, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_alignment, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_ann": ann.op10_ann,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_chat_format": chat_format.op13_chat_format,
 }
 
 ORACLE_SQL = {
@@ -21,4 +23,5 @@ ORACLE_SQL = {
     "op4_ngram_join": ngram_join.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
     "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op13_chat_format": chat_format.ORACLE_SQL,
 }
