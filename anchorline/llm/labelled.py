@@ -10,15 +10,18 @@ from anchorline.llm.common import materialize
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> DataFrame:
-    """doc_id, text, y of at most ``limit`` labelled rows for which ``learn`` (on doc_id) holds.
+    """doc_id, text, y of at most ``limit`` labelled rows for which ``learn`` (on doc_id) holds, one of each id and text.
 
-    Which rows is decided by a hash of the id.  Only ids and labels, at most
+    Which ones is decided by hashes of the id and the text.  Only ids with labels, and then ids with hashes of texts, at most
     ``limit`` of them, are broadcast; a null label or id teaches nothing.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(learn)
     ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return materialize(found, f"sample-{label}")
+    text = F.coalesce("text", F.lit(""))
+    found = materialize(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(ids), "doc_id"), f"labelled-{label}")
+    keys = found.select("doc_id", "h").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(limit)
+    rows = found.join(F.broadcast(keys), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("y").alias("y"))
+    return materialize(rows.select("doc_id", "text", "y"), f"sample-{label}")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

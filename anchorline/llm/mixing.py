@@ -140,21 +140,34 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0,
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns they had.
 
-    Where only some of a unit's equal rows have one copy more, one of them stands for all: a pre-aggregated first row.
+    Where only some of a unit's m rows have one copy more, its rows are numbered by a hash of the whole row, and those with a number
+    up to ``extra`` have it.  Rows that are equal in all columns are counted, not numbered; others get their number from cells of the hash, so
+    that no unit is sorted in one task.  Further columns may have any name; columns are packed in a struct meanwhile.
     """
     names = ("doc_id", "source", "th", "copies", "extra", "m")
-    plan = materialize(mix(docs, **how).where("copies > 0 or extra > 0").select(*[F.col(c).alias(f"__mix_{c}") for c in names]), "mix-plan")
-    keyed = docs.withColumn("__mix_t", F.xxhash64("text"))
-    some = plan.where("__mix_extra > 0 and __mix_extra < __mix_m")
+    plan = materialize(mix(docs, **how).where("copies > 0 or extra > 0").select(*[F.col(c).alias(f"u_{c}") for c in names]), "mix-plan")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", F.xxhash64("text").alias("t"))
 
     def met(part: DataFrame) -> DataFrame:
-        return keyed.join(part, keyed["doc_id"].eqNullSafe(part["__mix_doc_id"]) & keyed["source"].eqNullSafe(part["__mix_source"]) & (keyed["__mix_t"] == part["__mix_th"]))
-
-    times = F.col("__mix_copies") + (F.col("__mix_extra") == F.col("__mix_m")).cast("int")
-    each = met(plan).withColumn("__mix_n", times).where("__mix_n > 0").withColumn("__mix_c", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
-    row = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__mix_row")
-    more = met(some).groupBy("__mix_doc_id", "__mix_source", "__mix_th").agg(row, F.first("__mix_extra").alias("__mix_extra")).withColumn("__mix_c", F.explode(F.sequence(F.lit(1), F.col("__mix_extra"))))
-    return each.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(more.select(*[F.col("__mix_row").getField(c).alias(c) for c in docs.columns]))
+        return keyed.join(part, keyed["doc_id"].eqNullSafe(part["u_doc_id"]) & keyed["source"].eqNullSafe(part["u_source"]) & (keyed["t"] == part["u_th"]))
+
+    times = F.col("u_copies") + (F.col("u_extra") == F.col("u_m")).cast("int")
+    each = met(plan).select("row", times.alias("n")).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    unit = ["u_doc_id", "u_source", "u_th"]
+    written = F.to_json("row")
+    rows = met(plan.where("u_extra > 0 and u_extra < u_m")).select("row", *unit, "u_extra", F.xxhash64(written).alias("h"), F.xxhash64(F.lit(1), written).alias("g"))
+    kinds = rows.groupBy(*unit, "h", "g").agg(F.count(F.lit(1)).alias("c"), F.first("row").alias("row"), F.first("u_extra").alias("extra")).withColumn("cell", F.shiftrightunsigned("h", 54))
+    kinds = materialize(kinds, "mix-kinds")
+    cells = kinds.groupBy(*unit, "cell").agg(F.sum("c").alias("before"))
+    cells = cells.withColumn("before", F.sum("before").over(Window.partitionBy(*unit).orderBy("cell")) - F.col("before")).select(*[F.col(u).alias(f"c_{u}") for u in unit], F.col("cell").alias("c_cell"), "before")
+    within = F.coalesce(F.sum("c").over(Window.partitionBy(*unit, "cell").orderBy("h", "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = kinds.withColumn("within", within)
+    numbered = numbered.join(cells, (numbered["cell"] == cells["c_cell"]) & (numbered["u_th"] == cells["c_u_th"]) & numbered["u_doc_id"].eqNullSafe(cells["c_u_doc_id"]) & numbered["u_source"].eqNullSafe(cells["c_u_source"]))
+    share = F.greatest(F.lit(0), F.least(F.col("c"), F.col("extra") - F.col("before") - F.col("within")))
+    # a row that many copies go to is dealt out before it is repeated
+    more = numbered.select("row", share.alias("n")).where("n > 0").withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(1000).cast("long")))).repartition("first", "row")
+    more = more.withColumn("copy", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + 999, F.col("n")))))
+    return each.select("row").unionByName(more.select("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,19 @@ def test_sample_is_bounded(corpus):
     assert L.labelled_sample(docs, labels, "quality", F.lit(True), 50).count() == 50
 
 
+def test_sample_is_bounded_by_rows_where_ids_are_repeated(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, f"text {i % 40}") for i in range(500)] + [(i, "one") for i in range(2, 9)] + [(9, None), (9, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 10)], "doc_id long, quality int")
+    for limit in (2, 30, 100):
+        rows = L.labelled_sample(docs, labels, "quality", F.lit(True), limit).collect()
+        assert len(rows) <= limit and len({(r.doc_id, r.text) for r in rows}) == len(rows)
+        assert sorted(rows) == sorted(L.labelled_sample(docs.repartition(3), labels, "quality", F.lit(True), limit).collect())
+    assert len(rows) == 48 and {r.doc_id for r in rows} == set(range(1, 10))
+    assert len(Q.quality_scores(docs, labels, limit=5).collect()) == docs.count()
+
+
 def test_features_and_windows():
     assert T.windows("") == [] and len(T.windows("w " * 17)) == 3
     assert T.features(np.zeros(0, int)).shape == T.features(np.array([3, 9])).shape

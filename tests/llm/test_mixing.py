@@ -75,5 +75,23 @@ def test_equal_rows_are_rounded_by_row(spark):
     assert {r.source: r["count"] for r in mixed} == {s: sum(r.copies * r.m + r.extra for r in got if r.source == s) for s in "ab"}
 
 
+def test_equal_keys_with_unlike_columns_share_the_extra_copies(spark):
+    keys = [(1, "ten words " * 5, "a", f"row {i}") for i in range(10)] + [(7, "same words " * 5, "a", "same")] * 10
+    df = spark.createDataFrame(keys + [(100 + i, "w " * 50, "b", "") for i in range(8)], "doc_id long, text string, source string, note string")
+    found = [sorted((r.doc_id, r.note, r["count"]) for r in M.mixed_rows(df.repartition(n), weights=(3, 1)).where("source = 'a'").groupBy("doc_id", "note").count().collect()) for n in (1, 4)]
+    assert found[0] == found[1]
+    unit = {r.doc_id: r for r in M.mix(df, weights=(3, 1)).collect() if r.source == "a"}
+    assert all(0 < r.extra < 10 for r in unit.values())
+    unlike = [n for d, _, n in found[0] if d == 1]
+    assert set(unlike) == {unit[1].copies, unit[1].copies + 1} and sum(unlike) == 10 * unit[1].copies + unit[1].extra
+    assert [n for d, _, n in found[0] if d == 7] == [10 * unit[7].copies + unit[7].extra]
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(i, "a b c " * (1 + i % 3), "s", "x", 5, i) for i in range(30)], "doc_id long, text string, source string, __mix_doc_id string, row int, t int")
+    got = M.mixed_rows(df)
+    assert got.columns == df.columns and set(map(tuple, got.collect())) <= set(map(tuple, df.collect()))
+
+
 def test_empty(nothing):
     assert M.mix(nothing).count() == 0 and M.mixed_rows(nothing).count() == 0
