@@ -19,7 +19,9 @@ play no part.  A conversation is formatted whole: a task holds a pack, and one c
 from __future__ import annotations
 
 import base64
+import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -80,10 +82,6 @@ def encode_turn(role: str, text: str) -> tuple[list[int], int, int]:
     return [OTHER, *own.encode_ordinary(escape(role)), OTHER_TEXT, *body, OTHER_END], 0, 0
 
 
-def decode(tokens: np.ndarray | list[int]) -> str:
-    return b"".join(map(_encoding()[1].__getitem__, tokens)).decode("utf-8", "replace")
-
-
 def parse(formatted: str) -> list[tuple[str, str]]:
     """The turns of a formatted conversation."""
     out, at = [], len(CONTROLS[0])
@@ -197,23 +195,31 @@ def format_packs(conversations: DataFrame, most_chars: int = PACK_CHARS, most_ro
 
 def _read_pack(rows: pa.Table) -> pa.Table:
     segments = sorted(rows.to_pylist(), key=lambda s: s["start"])
-    stream = np.concatenate([np.array(s["tokens"], np.int32) for s in segments])
-    places, learned = np.empty(len(stream), np.int64), np.zeros(len(stream), bool)
-    for s in segments:
-        places[s["start"] : s["stop"]] = np.arange(s["position"], s["position"] + s["stop"] - s["start"])
-        if s["loss_start"] is not None:
-            learned[s["loss_start"] : s["loss_stop"]] = True
+    starts = [s["start"] for s in segments]
+    pieces = _encoding()[1]
+    # the bytes of the stream, and where each token's begin
+    stream = [pieces[t] for s in segments for t in s["tokens"]]
+    at = [0, *itertools.accumulate(map(len, stream))]
+    whole = b"".join(stream)
+    text = lambda x, y: whole[at[x] : at[y]]
     out: dict[str, list] = {"conv_id": [], "formatted": [], "turns": [], "loss_text": []}
     for s in segments:
         if not s["ends"]:
             continue
-        at = np.concatenate([np.arange(r["start"], r["stop"]) for r in [*s["attends"], s]])
-        if not np.array_equal(places[at], np.arange(len(at))):
-            raise ValueError("positions of a conversation aren't in order")
-        formatted = decode(stream[at].tolist())
+        ranges = [(r["start"], r["stop"]) for r in s["attends"]] + [(s["start"], s["stop"])]
+        position, learned = 0, []
+        for x, y in ranges:
+            for k in range(bisect_left(starts, x), bisect_left(starts, y)):
+                if segments[k]["position"] != position:
+                    raise ValueError("positions of a conversation aren't in order")
+                position += segments[k]["stop"] - segments[k]["start"]
+                if segments[k]["loss_start"] is not None:
+                    learned.append(text(segments[k]["loss_start"], segments[k]["loss_stop"]))
+        formatted = b"".join(text(x, y) for x, y in ranges).decode("utf-8", "replace")
         turns = [{"role": r, "text": t} for r, t in parse(formatted)]
-        loss = unescape(decode(stream[at][learned[at]].tolist()))
-        for c, values in zip(out, (s["ends"], [formatted] * len(s["ends"]), [turns] * len(s["ends"]), [loss] * len(s["ends"])), strict=True):
+        loss = unescape(b"".join(learned).decode("utf-8", "replace"))
+        n = len(s["ends"])
+        for c, values in zip(out, (s["ends"], [formatted] * n, [turns] * n, [loss] * n), strict=True):
             out[c].extend(values)
     return pa.table(out, schema=_READ)
 
