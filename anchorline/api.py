@@ -14,7 +14,7 @@ from anchorline.operators.blocks import with_ends
 from anchorline.operators.hop import BlockIndex
 from anchorline.operators.route import routes
 from anchorline.sources import collection
-from anchorline.storage import materialize
+from anchorline.storage import materialize, small
 
 
 @dataclass
@@ -47,7 +47,7 @@ class Projection:
 class Engine:
     def __init__(self, blocks: DataFrame, genomes: DataFrame, settings: Settings | None = None):
         self.settings = settings or Settings()
-        self.genomes = genomes
+        self._genomes = genomes
         self.blocks = with_ends(blocks)
 
     @classmethod
@@ -55,6 +55,11 @@ class Engine:
         """From a binary collection."""
         return cls(collection.read_collection(spark, path), collection.read_collection_sizes(spark, path), settings)
 
+    @cached_property
+    def genomes(self) -> DataFrame:
+        """species, genome_size: one row a species, broadcast behind a count."""
+        return small(materialize(self._genomes.select("species", F.col("genome_size").cast("long").alias("genome_size")), "genomes"))
+
     @cached_property
     def index(self) -> BlockIndex:
         return BlockIndex.build(self.blocks, self.settings)

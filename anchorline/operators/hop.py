@@ -12,7 +12,7 @@ from anchorline.functions import scalar as S
 from anchorline.functions.chain import bind, chain_places, major_chromosome
 from anchorline.operators import nearest as N
 from anchorline.operators.blocks import PAIR, block_ranks
-from anchorline.storage import materialize
+from anchorline.storage import materialize, small
 
 KEYS = [*PAIR, "loc"]
 ORDER = ["ref_start", "ref_end", "qry_start", "qry_chrom", "qry_end", "qry_rev"]
@@ -21,7 +21,10 @@ ENDS = "struct<ref_start:bigint,ref_end:bigint,qry_start:bigint,qry_end:bigint>"
 
 @dataclass
 class BlockIndex:
-    """Blocks with ranks, in pages, and the finder of the pages: computed once for any number of hops."""
+    """Blocks with ranks, in pages, and the finder of the pages: computed once for any number of hops.
+
+    ``tails``, two rows for each chromosome of a pair, are broadcast behind a count.
+    """
 
     ranks: DataFrame
     pages: DataFrame
@@ -34,7 +37,7 @@ class BlockIndex:
         ranks = materialize(block_ranks(materialize(blocks, "blocks")), "block-ranks", [*PAIR, "ref_start"])
         paged = N.pages(ranks, N.DOWN, s.nearest).unionByName(N.pages(ranks, N.UP, s.nearest))
         paged = materialize(paged, "block-pages", [*PAIR, "page"])
-        return cls(ranks, paged, materialize(N.finder(paged), "block-finder", [*PAIR, "_cell"]), paged.where("tail").drop("blocks"))
+        return cls(ranks, paged, materialize(N.finder(paged), "block-finder", [*PAIR, "_cell"]), small(materialize(paged.where("tail").drop("blocks"), "block-tails")))
 
     def of(self, ref: list[str], qry: list[str] | None = None) -> BlockIndex:
         """The part of some reference (and query) species: the filter reaches the scans."""

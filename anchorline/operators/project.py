@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.config import Settings
 from anchorline.functions import scalar as S
-from anchorline.operators.blocks import cell_of
+from anchorline.operators.blocks import CELL
 
 
 def result_table(regions: DataFrame, best: DataFrame, direct: DataFrame, thresholds: tuple[float, float]) -> DataFrame:
@@ -28,12 +28,37 @@ def result_table(regions: DataFrame, best: DataFrame, direct: DataFrame, thresho
     return t.withColumn("sequence_conservation", S.sequence_class(F.col("score_direct"), F.col("score_multi"), *thresholds))
 
 
+#: Cells of level n are CELL * FAN**n bases wide; from level 1 on they are dealt to at most SALTS parts.
+FAN, LEVELS, SALTS = 8, 12, 64
+
+
+def _by_level(level: Column, value) -> Column:
+    """value(n) for the level n, up to LEVELS."""
+    return F.element_at(F.array(*[F.lit(value(n)) for n in range(LEVELS + 1)]), level + 1)
+
+
 def overlapping(points: DataFrame, targets: DataFrame, gap: float) -> DataFrame:
-    """points (chrom, loc, ...) that lie within gap of a target: an interval semi join by cells."""
-    wide = targets.select(F.col("chrom"), (F.col("start") - gap).alias("_a"), (F.col("end") + gap).alias("_b")).where("_b > _a")
-    placed = wide.withColumn("_cell", F.explode(F.sequence(cell_of(F.col("_a")), cell_of(F.col("_b") - 1))))
-    p = points.withColumn("_cell", cell_of(F.col("loc")))
-    return p.join(placed, (p["chrom"] == placed["chrom"]) & (p["_cell"] == placed["_cell"]) & (p["loc"] >= placed["_a"]) & (p["loc"] < placed["_b"]), "left_semi").drop("_cell")
+    """The distinct points (chrom, loc, ...) that lie within gap of a target: an interval semi join.
+
+    A target stands in the one or two cells that it touches on the level whose cells are as wide as it or wider, so that its rows don't grow with
+    its width; a point asks the levels that there are.  Cells of wide levels hold many points: these are dealt to parts, which have the (few)
+    wide targets each.
+    """
+    wide = targets.select(F.col("chrom").alias("_chrom"), (F.col("start") - gap).alias("_a"), (F.col("end") + gap).alias("_b")).where("_b > _a")
+    level = F.lit(LEVELS)
+    for n in reversed(range(LEVELS)):
+        level = F.when(F.col("_b") - F.col("_a") <= CELL * FAN**n, n).otherwise(level)
+    width, parts = _by_level(F.col("_level"), lambda n: CELL * FAN**n), _by_level(F.col("_level"), lambda n: min(FAN**n, SALTS))
+    placed = wide.withColumn("_level", level)
+    # at most LEVELS + 1 numbers
+    levels = sorted(r._level for r in placed.select("_level").distinct().collect())
+    placed = placed.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_a") / width).cast("long"), F.floor((F.col("_b") - 1) / width).cast("long"))))
+    placed = placed.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    p = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    p = p.withColumn("_cell", F.floor(F.col("loc") / width).cast("long")).withColumn("_part", F.pmod(F.xxhash64(*points.columns), parts).cast("int"))
+    same = [p[c] == placed[c] for c in ("_level", "_cell", "_part")]
+    met = p.join(placed, [p["chrom"] == placed["_chrom"], *same, p["loc"] >= placed["_a"], p["loc"] < placed["_b"]], "left_semi")
+    return met.drop("_level", "_cell", "_part").distinct()
 
 
 def with_function(table: DataFrame, targets: DataFrame | None, s: Settings) -> DataFrame:
@@ -41,7 +66,7 @@ def with_function(table: DataFrame, targets: DataFrame | None, s: Settings) -> D
     if targets is None:
         return table.withColumn("functional_conservation", F.lit(""))
     near = overlapping(table.select("region_idx", F.col("multi_chrom").alias("chrom"), F.col("multi_loc").alias("loc")), targets, s.distance_fc)
-    near = near.select("region_idx", F.lit("+").alias("functional_conservation")).distinct()
+    near = near.select("region_idx", F.lit("+").alias("functional_conservation"))
     return table.join(near, "region_idx", "left").fillna({"functional_conservation": "-"})
 
 

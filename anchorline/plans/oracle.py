@@ -63,6 +63,9 @@ ORACLE_SQL = {
     "major_chrom": f"with {_PAIR} select * from m",
     "major_filter": f"with {_PAIR} select region_idx, count(*) as n_kept from a join m using (region_idx) where a.qry_chrom = m.chrom group by 1 having count(*) filter (side = 'u') > 0 and count(*) filter (side = 'd') > 0",
     "func_class": f"with {_R}, {_T}, near as (select distinct region_idx from regions r join targets t on t.chrom = r.chrom and t.start_pos - 500 <= r.loc and r.loc < t.end_pos + 500) select region_idx, case when near.region_idx is null then '-' else '+' end as flag from regions left join near using (region_idx)",
+    "func_wide": f"with {_R}, {_T}, near as (select distinct region_idx from regions r join (select chrom, start_pos, start_pos + cast(pow(10, start_pos % 9) as bigint) as end_pos from targets where start_pos % 97 = 0) t on t.chrom = r.chrom and t.start_pos - 500 <= r.loc and r.loc < t.end_pos + 500) select region_idx, case when near.region_idx is null then '-' else '+' end as flag from regions left join near using (region_idx)",
+    "collection_blocks": f"with {_B} select * from blocks",
+    "collection_sizes": f"with {_G} select * from genomes",
     "dup_centres": f"with {_R}, r as (select *, loc // 2000 as g from regions), l as (select chrom, g, max_by(id, region_idx) as last_id, count(*) as n from r group by 1, 2) select region_idx, id, last_id from r join l using (chrom, g) where n > 1",
     "unknown_chrom": f"with {_R} select region_idx, 'chrUn' || chrom as chrom from regions where region_idx % 50 = 0",
     "region_rank": f"with {_R} select region_idx, row_number() over (partition by chrom order by loc, region_idx) as rn from regions",

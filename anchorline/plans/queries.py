@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,10 @@ from anchorline.operators import hop as H
 from anchorline.operators import nearest as N
 from anchorline.operators import project as P
 from anchorline.plans import fixture as X
+from anchorline.sources import collection as C
 from anchorline.sources import text as T
 from anchorline.sources.sinks import formatted
+from anchorline.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -269,8 +272,9 @@ def major_chrom(spark, d):
 
 @query
 def major_filter(spark, d):
-    p, a = _anchors(spark, d)
-    return p.join(H.majority(a), H.KEYS).select("region_idx", F.size("anchors").cast("long").alias("n_kept"))
+    e, p = engine(spark, d), hop_points(spark, d)
+    two_sided = H.majority(H.anchors(p, e.index.of([REF], [QRY]), SET, complete=False))
+    return p.join(two_sided, H.KEYS).select("region_idx", F.size("anchors").cast("long").alias("n_kept"))
 
 
 @query
@@ -352,6 +356,32 @@ def func_class(spark, d):
     return P.with_function(r, X.targets(spark, d), SET).select("region_idx", F.col("functional_conservation").alias("flag"))
 
 
+@query
+def func_wide(spark, d):
+    """Region centres against targets of all widths, up to a hundred million bases."""
+    t = X.targets(spark, d).where("start % 97 = 0").withColumn("end", F.col("start") + F.pow(F.lit(10), F.col("start") % 9).cast("long"))
+    r = X.regions(spark, d).select("region_idx", F.col("chrom").alias("multi_chrom"), F.col("loc").alias("multi_loc"))
+    return P.with_function(r, t, SET).select("region_idx", F.col("functional_conservation").alias("flag"))
+
+
+@query
+def collection_blocks(spark, d):
+    """The blocks, written as one binary collection and read from it in ranges."""
+    path = f"{shared_dir(spark)}/anchorline/blocks-{uuid.uuid4().hex}.bin"
+    C.write_collection(X.blocks(spark, d), X.genomes(spark, d), path)
+    return C.read_collection(spark, path)
+
+
+@query
+def collection_sizes(spark, d):
+    """The genome sizes, written with the largest block of each pair, and read from the headers."""
+    path = f"{shared_dir(spark)}/anchorline/sizes-{uuid.uuid4().hex}.bin"
+    b = X.blocks(spark, d)
+    largest = b.groupBy(*B.PAIR).agg(F.max(F.struct("length", *[c for c in b.columns if c not in (*B.PAIR, "length")])).alias("b")).select(*B.PAIR, "b.*")
+    C.write_collection(largest, X.genomes(spark, d), path)
+    return C.read_collection_sizes(spark, path)
+
+
 @query
 def dup_centres(spark, d):
     """Centres are rounded here, so that some are shared."""

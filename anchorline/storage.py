@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,15 @@ def materialize(df: DataFrame, tag: str, order: list[str] | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table up to which it is broadcast.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its count (or the count given) allows it, else as it is: a join then shuffles both sides."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL_ROWS else df
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:

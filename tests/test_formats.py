@@ -15,6 +15,7 @@ from anchorline.operators.blocks import with_ends
 from anchorline.sources import collection as C
 from anchorline.sources import sinks
 from anchorline.sources import text as T
+from tests.brute_collection import decode_collection, encode_collection
 from tests.test_projection import GENOMES, SHAPE, species_blocks
 
 CHAIN = """# comment
@@ -65,19 +66,55 @@ def test_regions_targets_sizes_species(spark, tmp_path):
     assert T.read_species(spark, str(tmp_path / "s.txt")) == ["mm39", "hg38"] and T.read_species(spark, "a, b") == ["a", "b"]
 
 
-def test_collection_codec(spark, tmp_path):
-    rows = pd.DataFrame(species_blocks(5, 40), columns=[x.split()[0] for x in SHAPE.split(", ")])
-    data = C.encode(rows, GENOMES)
-    back, sizes = C.decode(data)
-    key = lambda df: sorted(map(tuple, df[list(rows.columns)].itertuples(index=False)))
-    assert key(back) == key(rows) and sizes == GENOMES
-    for bad in (b"\x03" + data[1:], data[:1] + b"\xfe\x0a" + data[3:], data[:-3], data + b"x", data[:40]):
-        with pytest.raises(ValueError):
-            C.decode(bad)
+def test_collection_is_read_in_ranges_and_written_in_parts(spark, tmp_path):
+    names = [x.split()[0] for x in SHAPE.split(", ")]
+    rows = pd.DataFrame(species_blocks(5, 40), columns=names).drop_duplicates()
+    rows = rows.sort_values(["ref_sp", "qry_sp", "ref_chrom", "ref_start", "qry_chrom", "qry_start"], kind="stable").reset_index(drop=True)
+    sizes = dict(sorted(GENOMES.items()))
+    data = encode_collection(rows, sizes)
+    key = lambda found: sorted(tuple(r[c] for c in names) for r in found)
+    want = key(rows.to_dict("records"))
     (tmp_path / "c.bin").write_bytes(data)
-    assert C.read_collection(spark, str(tmp_path / "c.bin")).count() == len(rows)
-    parts = C.collection_parts(spark.createDataFrame(rows), C.read_collection_sizes(spark, str(tmp_path / "c.bin"))).collect()
-    assert sum(len(C.decode(bytes(p.content))[0]) for p in parts) == len(rows)
+    for n in (7, 10**6):
+        read = C.read_collection(spark, str(tmp_path / "c.bin"), n)
+        assert key(r.asDict() for r in read.collect()) == want
+        assert read.rdd.getNumPartitions() == max(1, -(-len(rows) // n))
+    assert {r.species: r.genome_size for r in C.read_collection_sizes(spark, str(tmp_path / "c.bin")).collect()} == sizes
+    some = C.read_collection(spark, str(tmp_path / "c.bin"), 7).where("ref_sp = 'a' and qry_sp in ('b', 'd')")
+    assert key(r.asDict() for r in some.collect()) == [t for t in want if t[0] == "a" and t[1] in ("b", "d")]
+    assert some.rdd.getNumPartitions() <= -(-some.count() // 7) + 1
+    blocks, genomes = spark.createDataFrame(rows.sample(frac=1, random_state=1), SHAPE).repartition(5), spark.createDataFrame(list(sizes.items()), "species string, genome_size long")
+    for _ in range(2):
+        C.write_collection(blocks, genomes, str(tmp_path / "w.bin"))
+        assert (tmp_path / "w.bin").read_bytes() == data and decode_collection(data)[1] == sizes
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["c.bin", "w.bin"]
+    (tmp_path / "folder").mkdir()
+    for name in ("x.bin", "y.bin"):
+        (tmp_path / "folder" / name).write_bytes(data)
+    assert C.read_collection(spark, str(tmp_path / "folder")).count() == 2 * len(rows)
+    C.write_collection(blocks.limit(0), genomes, str(tmp_path / "empty.bin"))
+    assert C.read_collection(spark, str(tmp_path / "empty.bin")).count() == 0 and C.read_collection_sizes(spark, str(tmp_path / "empty.bin")).count() == len(sizes)
+
+
+@pytest.mark.parametrize("damage", [lambda d: b"\x03" + d[1:], lambda d: d[:1] + b"\xfe\x0a" + d[3:], lambda d: d[:-3], lambda d: d + b"x", lambda d: d[:40]])
+def test_damaged_collections_are_errors(spark, tmp_path, damage):
+    rows = pd.DataFrame(species_blocks(3), columns=[x.split()[0] for x in SHAPE.split(", ")])
+    (tmp_path / "c.bin").write_bytes(damage(encode_collection(rows, GENOMES)))
+    with pytest.raises(Exception, match="collection"):
+        C.read_collection(spark, str(tmp_path / "c.bin")).count()
+
+
+def test_blocks_that_do_not_fit_are_not_written(spark, tmp_path):
+    genomes = spark.createDataFrame(list(GENOMES.items()), "species string, genome_size long")
+    for row, why in ((("a", "b", "1", -1, "1", 0, 5, False), "32 bits"), (("a", "b", "1", 1, "1", 0, 1 << 15, False), "15 bits"), (("a", "zz", "1", 1, "1", 0, 5, False), None), (("zz", "a", "1", 1, "1", 0, 5, False), "genome size")):
+        blocks = spark.createDataFrame([row], SHAPE)
+        if why:
+            with pytest.raises(Exception, match=why):
+                C.write_collection(blocks, genomes, str(tmp_path / "w.bin"))
+            assert not list(tmp_path.iterdir()) or why == "genome size"
+        else:
+            C.write_collection(blocks, genomes, str(tmp_path / "ok.bin"))
+            (tmp_path / "ok.bin").unlink()
 
 
 def test_scalars(spark):
@@ -88,7 +125,7 @@ def test_scalars(spark):
 
 def test_command_line_and_files(spark, tmp_path):
     rows = pd.DataFrame(species_blocks(3), columns=[x.split()[0] for x in SHAPE.split(", ")])
-    (tmp_path / "c.bin").write_bytes(C.encode(rows, GENOMES))
+    (tmp_path / "c.bin").write_bytes(encode_collection(rows, GENOMES))
     (tmp_path / "r.bed").write_text("".join(f"1\t{p}\t{p + 11}\tp{p}\n" for p in range(3000, 60000, 9000)) + "zz\t1\t2\tlost\n")
     (tmp_path / "t.bed").write_text("1\t0\t90000\tt\n")
     for name, more in (("o1", ["-q", "-ddc", "300.5"]), ("o2", ["-q"]), ("o2", ["--include_anchors", "-v", "-c", "--target_bedfile", str(tmp_path / "t.bed")])):
