@@ -32,6 +32,12 @@ _CHAIN = """c as (
   cb as (select distinct 'chr' || l_orderkey % 3 as ref_chrom, cast(l_orderkey * 100 + ra as bigint) as ref_start, 'chr' || l_orderkey % 2 as qry_chrom,
     cast(case when qry_rev then 80000000 - (l_orderkey * 90 + qa) - 1 else l_orderkey * 90 + qa end as bigint) as qry_start, cast(w as int) as length, qry_rev from f)"""
 
+_AXT = """c as (
+  select l_orderkey, cast(l_quantity as bigint) + 1 as w, l_partkey % 50 + 1 as dt, l_suppkey % 30 as dq, max(l_suppkey) over (partition by l_orderkey) % 2 = 0 as qry_rev,
+    row_number() over (partition by l_orderkey order by l_linenumber, cast(l_quantity as bigint) + 1, l_partkey % 50, l_suppkey % 30) as n from lineitem),
+  f as (select *, coalesce(sum(w + dt) over p, 0) as ra, coalesce(sum(w + dq) over p, 0) as qa from c window p as (partition by l_orderkey order by n rows between unbounded preceding and 1 preceding)),
+  ax as (select l_orderkey, 'chr' || l_orderkey % 3 as ref_chrom, 'chr' || l_orderkey % 2 as qry_chrom, l_orderkey * 100 + ra as r0, l_orderkey * 90 + qa as q0, w, qry_rev from f)"""
+
 ORACLE_SQL = {
     "region_points": f"with {_R} select region_idx, id, chrom, loc from regions",
     "target_regions": f"with {_T} select * from targets",
@@ -39,6 +45,9 @@ ORACLE_SQL = {
     "species_list": "select case when s_suppkey % 4 = 1 then cast(s_suppkey as varchar) else 'asm' || s_suppkey end as species from supplier where s_suppkey % 4 <> 0",
     "chain_blocks": f"with {_CHAIN} select * from cb",
     "chain_tbl": f"with {_CHAIN} select ref_chrom, ref_start, ref_start + length - 1 as ref_end, qry_chrom, qry_start, case when qry_rev then qry_start - length + 1 else qry_start + length - 1 end as qry_end from cb",
+    "axt_blocks": f"with {_AXT} select distinct ref_chrom, cast(r0 as bigint) as ref_start, qry_chrom, cast(case when qry_rev then 80000000 - q0 - 1 else q0 end as bigint) as qry_start, cast(w as int) as length, qry_rev from ax",
+    "axt_tbl": f"""with {_AXT}, e as (select l_orderkey, ref_chrom, qry_chrom, qry_rev, l_orderkey * 100 + 1 as a, max(r0 + w) as b, l_orderkey * 90 + 1 as s, max(q0 + w) as t from ax group by all)
+      select ref_chrom, cast(a as bigint) as ref_start, cast(b as bigint) as ref_end, qry_chrom, cast(case when qry_rev then 80000000 - s else s end as bigint) as qry_start, cast(case when qry_rev then 80000000 - t else t end as bigint) as qry_end from e""",
     "block_ends": f"with {_E} select * from ended",
     "strand_pack": f"with {_B} select distinct ref_sp, qry_sp, ref_start, length + case when qry_rev then 32768 else 0 end as word, length, qry_rev from blocks",
     "decay_score": f"with {_R}, {_G} select region_idx, floor(pow(0.5, (least(loc - (start_pos - region_idx % 4000 - 1), end_pos + region_idx % 3000 + 1 - loc) / 10000.0::double) * (2728222451.0::double / genome_size)) * 1000) / 1000 as score from regions join genomes on species = 'sp' || region_idx % 5",

@@ -16,6 +16,7 @@ from anchorline.operators import hop as H
 from anchorline.operators import nearest as N
 from anchorline.operators import project as P
 from anchorline.plans import fixture as X
+from anchorline.sources import axt as A
 from anchorline.sources import collection as C
 from anchorline.sources import text as T
 from anchorline.sources.sinks import formatted
@@ -117,6 +118,30 @@ def chain_tbl(spark, d):
     return T.tbl_rows(B.with_ends(T.parse_chains(_chains(spark, d)).dropDuplicates()))
 
 
+def _axt(spark, d):
+    """Each order as an axt record of its lines, with gaps on both sides between them; even suppliers on the reverse strand."""
+    line = F.struct(F.col("l_linenumber").alias("n"), (F.col("l_quantity").cast("int") + 1).alias("w"), (F.col("l_partkey") % 50 + 1).cast("int").alias("dt"), (F.col("l_suppkey") % 30).cast("int").alias("dq"))
+    o = X.view(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("ls"), F.max("l_suppkey").alias("k"))
+    n = F.size("ls")
+    side = lambda a, b: F.array_join(F.transform("ls", lambda x, i: F.concat(F.repeat(F.lit("A"), x["w"]), F.when(i < n - 1, F.concat(F.repeat(F.lit(a), x["dt"]), F.repeat(F.lit(b), x["dq"]))).otherwise(F.lit("")))), "")
+    o = o.select("l_orderkey", "k", side("c", "-").alias("a"), side("-", "g").alias("b"))
+    size = lambda c: F.length(F.replace(F.col(c), F.lit("-"), F.lit("")))
+    text = lambda *c: F.concat_ws(" ", *[x.cast("string") for x in c])
+    head = text(F.lit("0"), F.concat(F.lit("chr"), (F.col("l_orderkey") % 3).cast("string")), F.col("l_orderkey") * 100 + 1, F.col("l_orderkey") * 100 + size("a"), F.concat(F.lit("chr"), (F.col("l_orderkey") % 2).cast("string")), F.col("l_orderkey") * 90 + 1, F.col("l_orderkey") * 90 + size("b"), F.when(F.col("k") % 2 == 0, "-").otherwise("+"), F.lit("3500"))
+    sizes = spark.range(2).select(F.concat(F.lit("chr"), F.col("id").cast("string")).alias("chrom"), F.lit(80_000_000).alias("size"))
+    return A.parse_axt(o.select(F.concat_ws("\n", head, "a", "b").alias("axt"))), sizes
+
+
+@query
+def axt_blocks(spark, d):
+    return A.axt_blocks(*_axt(spark, d)).dropDuplicates()
+
+
+@query
+def axt_tbl(spark, d):
+    return A.axt_tbl(*_axt(spark, d))
+
+
 @query
 def block_ends(spark, d):
     return ended(spark, d)

@@ -12,6 +12,7 @@ from anchorline.api import Engine
 from anchorline.functions import scalar as SC
 from anchorline.operators import project as P
 from anchorline.operators.blocks import with_ends
+from anchorline.sources import axt as A
 from anchorline.sources import collection as C
 from anchorline.sources import sinks
 from anchorline.sources import text as T
@@ -51,6 +52,21 @@ def test_chains(spark, tmp_path):
     assert sorted(tuple(r)[2:] for r in back.collect()) == BLOCKS
 
 
+def test_axt_records(spark, tmp_path):
+    (tmp_path / "a.b.net.axt").write_text("# net\n\n0 chr1 11 18 chrA 5 11 + 10\nACGT--ACGT\nAC-TTTA--T\n\n1 chr2 1 4 chrB 3 6 - 9\nACGT\nACGT\n\n")
+    sizes = spark.createDataFrame([("chrB", 100)], "chrom string, size long")
+    parsed = A.parse_axt(A.read_axt(spark, str(tmp_path)))
+    assert sorted(map(tuple, A.axt_tbl(parsed, sizes).collect())) == [("chr1", 11, 18, "chrA", 5, 11), ("chr2", 1, 4, "chrB", 97, 94)]
+    assert sorted(map(tuple, A.axt_blocks(parsed, sizes).collect())) == [("chr1", 10, "chrA", 4, 2, False), ("chr1", 13, "chrA", 6, 1, False), ("chr1", 14, "chrA", 9, 1, False), ("chr1", 17, "chrA", 10, 1, False), ("chr2", 0, "chrB", 97, 4, True)]
+    with pytest.raises(Exception, match="no size"):
+        A.axt_tbl(parsed, sizes.limit(0)).collect()
+    for bad in ("0 chr1 1 2 chrA 1 2 + 3\nAC\n", "0 chr1 1 2 chrA 1 2 + 3\nAC\nA\n", "0 chr1 1\nAC\nAC\n"):
+        with pytest.raises(Exception, match="axt record"):
+            A.axt_tbl(A.parse_axt(spark.createDataFrame([(bad,)], "axt string")), sizes).collect()
+    long = spark.createDataFrame([("0 c 1 70000 d 1 70000 + 1\n" + "A" * 70_000 + "\n" + "A" * 70_000,)], "axt string")
+    assert sorted(r.length for r in A.axt_blocks(A.parse_axt(long), sizes).collect()) == [70_000 - 2 * A.LONGEST, A.LONGEST, A.LONGEST]
+
+
 def test_regions_targets_sizes_species(spark, tmp_path):
     (tmp_path / "r.bed").write_text("chr1\t10\t21\tx\t0\t.\nchr2\t5\t6\ty\n")
     r = T.read_regions(spark, str(tmp_path / "r.bed")).orderBy("region_idx").collect()
