@@ -11,7 +11,7 @@ from anchorline.api import Engine
 from anchorline.config import Settings
 from anchorline.sources import sinks
 from anchorline.sources.text import read_regions, read_targets
-from anchorline.storage import scratch
+from anchorline.storage import exists, scratch
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -31,12 +31,20 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("-v", "--verbose", action="store_true", help="print each region's route")
     p.add_argument("-c", "--simple_coords", action="store_true", help="with -v: subtract the smallest coordinate of each step")
     p.add_argument("-a", "--include_anchors", action="store_true")
+    p.add_argument("-x", "--index", help="folder of the stored block index: opened if it is there, else made from the collection")
     a = p.parse_args(argv)
     spark = SparkSession.builder.master(f"local[{a.n_cores}]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", str(not a.quiet).lower()).getOrCreate()
     s = Settings(half_life=a.half_life, distance_dc=a.distance_DC, distance_ic=a.distance_IC, score_dc=a.score_DC, score_ic=a.score_IC, distance_fc=a.distance_FC)
     regions, targets = read_regions(spark, a.regions), read_targets(spark, a.target_bedfile) if a.target_bedfile else None
     with scratch(spark):
-        done = Engine.load(spark, a.collection, s).project(regions, a.ref, a.qry, targets)
+        if a.index and exists(spark, f"{a.index}/manifest"):
+            engine = Engine.open(spark, a.index, s, a.collection)
+        else:
+            engine = Engine.load(spark, a.collection, s)
+            if a.index:
+                engine.save(a.index, a.collection)
+                engine = Engine.open(spark, a.index, s, a.collection)
+        done = engine.project(regions, a.ref, a.qry, targets)
         base = os.path.join(a.out_dir, os.path.splitext(os.path.basename(a.regions))[0])
         sinks.write_unmapped(done.unmapped, f"{base}.{a.ref}-{a.qry}.unmapped")
         n = done.table.count()

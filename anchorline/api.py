@@ -14,7 +14,7 @@ from anchorline.operators.blocks import with_ends
 from anchorline.operators.hop import BlockIndex
 from anchorline.operators.route import routes
 from anchorline.sources import collection
-from anchorline.storage import materialize, small
+from anchorline.storage import exists, identity, materialize, small
 
 
 @dataclass
@@ -52,9 +52,27 @@ class Engine:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, settings: Settings | None = None) -> Engine:
-        """From a binary collection."""
+        """From a binary collection, or from a folder with the Parquet tables ``blocks`` and ``genomes``."""
+        if exists(spark, f"{path}/blocks"):
+            return cls(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/genomes"), settings)
         return cls(collection.read_collection(spark, path), collection.read_collection_sizes(spark, path), settings)
 
+    def save(self, path: str, source: str | None = None) -> None:
+        """Stores the block index and the genome sizes; ``source``, the files that they come from, is held in the manifest by names, sizes and times."""
+        self.genomes.write.mode("overwrite").parquet(f"{path}/genomes")
+        files = identity(self.index.ranks.sparkSession, source) if source else None
+        self.index.save(path, {"nearest": self.settings.nearest, "source": files})
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, settings: Settings | None = None, source: str | None = None) -> Engine:
+        """From a stored index, without building anything. An index of other settings, another version or changed source files is an error."""
+        settings = settings or Settings()
+        expected = {"nearest": settings.nearest} | ({"source": identity(spark, source)} if source else {})
+        index, _ = BlockIndex.open(spark, path, **expected)
+        made = cls(index.ranks.drop("rn_start", "rn_end"), spark.read.parquet(f"{path}/genomes"), settings)
+        made.__dict__["index"] = index
+        return made
+
     @cached_property
     def genomes(self) -> DataFrame:
         """species, genome_size: one row a species, broadcast behind a count."""

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from anchorline.config import Settings
 from anchorline.functions import scalar as S
 from anchorline.functions.chain import bind, chain_places, major_chromosome
 from anchorline.operators import nearest as N
-from anchorline.operators.blocks import PAIR, block_ranks
+from anchorline.operators.blocks import CELL, PAIR, block_ranks
 from anchorline.storage import materialize, small
 
 KEYS = [*PAIR, "loc"]
 ORDER = ["ref_start", "ref_end", "qry_start", "qry_chrom", "qry_end", "qry_rev"]
 ENDS = "struct<ref_start:bigint,ref_end:bigint,qry_start:bigint,qry_end:bigint>"
+#: The form in which an index is stored, and the order of its tables within a pair and chromosome.
+STORED_VERSION = 1
+_INNER = {"ranks": "ref_start", "pages": "page", "finder": "_cell", "tails": "page"}
 
 
 @dataclass
@@ -39,6 +45,39 @@ class BlockIndex:
         paged = materialize(paged, "block-pages", [*PAIR, "page"])
         return cls(ranks, paged, materialize(N.finder(paged), "block-finder", [*PAIR, "_cell"]), small(materialize(paged.where("tail").drop("blocks"), "block-tails")))
 
+    def save(self, path: str, manifest: dict) -> None:
+        """Writes the tables, each in folders by pair of species, and last the manifest: without it the index doesn't count as written."""
+        spark = self.ranks.sparkSession
+        rows = {}
+        for name, df in self.tables().items():
+            df.repartitionByRange(*PAIR, _INNER[name]).sortWithinPartitions(*PAIR, _INNER[name]).write.mode("overwrite").partitionBy("ref_sp", "qry_sp").parquet(f"{path}/{name}")
+            rows[name] = spark.read.schema(df.schema).parquet(f"{path}/{name}").count()
+        schemas = {name: json.loads(df.schema.json()) for name, df in self.tables().items()}
+        written = json.dumps(manifest | {"version": STORED_VERSION, "cell": CELL, "rows": rows, "schemas": schemas}, sort_keys=True)
+        spark.createDataFrame([(written,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, **expected) -> tuple[BlockIndex, dict]:
+        """A stored index and its manifest; an error if it is incomplete, or if it was made with something else than expected."""
+        try:
+            manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
+        except (AnalysisException, AttributeError):
+            raise ValueError(f"no complete index in {path}") from None
+        for name, value in ({"version": STORED_VERSION, "cell": CELL} | expected).items():
+            if manifest.get(name) != value:
+                raise ValueError(f"the index in {path} is stale: its {name} is {manifest.get(name)}, not {value}")
+        found = {}
+        for name in _INNER:
+            schema = StructType.fromJson(manifest["schemas"][name])
+            found[name] = spark.read.schema(schema).parquet(f"{path}/{name}").select(*schema.names)
+            if (n := found[name].count()) != manifest["rows"][name]:
+                raise ValueError(f"the index in {path} is damaged: {n} rows in {name}, not {manifest['rows'][name]}")
+        found["tails"] = small(found["tails"], manifest["rows"]["tails"])
+        return cls(**found), manifest
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in _INNER}
+
     def of(self, ref: list[str], qry: list[str] | None = None) -> BlockIndex:
         """The part of some reference (and query) species: the filter reaches the scans."""
         part = lambda df: df.where(F.col("ref_sp").isin(ref) & (F.lit(True) if qry is None else F.col("qry_sp").isin(qry)))

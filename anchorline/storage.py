@@ -48,6 +48,27 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL_ROWS else df
 
 
+def _status(spark: SparkSession, path: str):
+    """The file system of a path and the path on it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _status(spark, path)
+    return files.exists(where)
+
+
+def identity(spark: SparkSession, path: str) -> list[list]:
+    """Name, size and time of change of each file under a path; nothing is read."""
+    files, where = _status(spark, path)
+    out, found = [], files.listFiles(where, True)
+    while found.hasNext():
+        x = found.next()
+        out.append([x.getPath().getName(), x.getLen(), x.getModificationTime()])
+    return sorted(out)
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:

@@ -10,8 +10,10 @@ import __spark_entry__ as entry
 from anchorline.__main__ import main
 from anchorline.api import Engine
 from anchorline.functions import scalar as SC
+from anchorline.config import Settings
 from anchorline.operators import project as P
 from anchorline.operators.blocks import with_ends
+from anchorline.operators.hop import BlockIndex
 from anchorline.sources import axt as A
 from anchorline.sources import collection as C
 from anchorline.sources import sinks
@@ -156,6 +158,47 @@ def test_command_line_and_files(spark, tmp_path):
         assert set(flag) <= ({"+", "-"} if "-v" in more else {""})
 
 
+def test_stored_index(spark, tmp_path, monkeypatch):
+    rows = pd.DataFrame(species_blocks(3), columns=[x.split()[0] for x in SHAPE.split(", ")])
+    (tmp_path / "c.bin").write_bytes(encode_collection(rows, GENOMES))
+    source, at = str(tmp_path / "c.bin"), str(tmp_path / "index")
+    built = Engine.load(spark, source)
+    with pytest.raises(ValueError, match="no complete index"):
+        Engine.open(spark, at)
+    built.save(at, source)
+    regions = spark.createDataFrame([(i, f"p{i}", "1", 700 * i, 700 * i + 9, 700 * i + 4) for i in range(90)], "region_idx long, id string, chrom string, start long, end long, loc long")
+    want = sorted(map(tuple, built.project(regions, "a", "d").proj().collect()))
+
+    def never(*_):
+        raise AssertionError("the index is built again")
+
+    monkeypatch.setattr(BlockIndex, "build", never)
+    opened = Engine.open(spark, at, source=source)
+    assert sorted(map(tuple, opened.project(regions, "a", "d").proj().collect())) == want and want
+    assert opened.genome_size("a") == GENOMES["a"]
+    plan = opened.index.of(["a"], ["d"]).pages._jdf.queryExecution().toString()
+    assert "PartitionFilters: [ref_sp" in plan.replace("isnotnull(ref_sp", "ref_sp")
+    with pytest.raises(ValueError, match="stale: its nearest"):
+        Engine.open(spark, at, Settings(nearest=7))
+    (tmp_path / "c.bin").write_bytes(encode_collection(rows.iloc[1:], GENOMES))
+    with pytest.raises(ValueError, match="stale: its source"):
+        Engine.open(spark, at, source=source)
+    next((tmp_path / "index" / "pages").rglob("part-*")).unlink()
+    with pytest.raises(ValueError, match="damaged"):
+        Engine.open(spark, at)
+
+
+def test_command_line_with_a_stored_index_and_with_parquet(spark, tmp_path):
+    blocks, genomes = spark.createDataFrame(species_blocks(3), SHAPE), spark.createDataFrame(list(GENOMES.items()), "species string, genome_size long")
+    blocks.write.parquet(str(tmp_path / "p" / "blocks"))
+    genomes.write.parquet(str(tmp_path / "p" / "genomes"))
+    (tmp_path / "r.bed").write_text("".join(f"1\t{p}\t{p + 11}\tp{p}\n" for p in range(3000, 60000, 9000)))
+    for name in ("o1", "o2"):
+        main([str(tmp_path / "r.bed"), "a", "d", str(tmp_path / "p"), "-q", "-o", str(tmp_path / name), "--index", str(tmp_path / "index")])
+    tables = [part_text(tmp_path / name / "r.a-d.proj") for name in ("o1", "o2")]
+    assert tables[0] == tables[1] and len(tables[0].splitlines()) > 3
+
+
 def test_functional_overlap_is_half_open(spark):
     p = spark.createDataFrame([(i, "1", i) for i in range(0, 3000, 1)], "region_idx long, chrom string, loc long")
     t = spark.createDataFrame([("1", 1000, 1010), ("2", 0, 9999)], "chrom string, start long, end long")
