@@ -60,7 +60,7 @@ class Engine:
     def save(self, path: str, source: str | None = None) -> None:
         """Stores the block index and the genome sizes; ``source``, the files that they come from, is held in the manifest by names, sizes and times."""
         self.genomes.write.mode("overwrite").parquet(f"{path}/genomes")
-        files = identity(self.index.ranks.sparkSession, source) if source else None
+        files = identity(self.index.blocks.sparkSession, source) if source else None
         self.index.save(path, {"nearest": self.settings.nearest, "source": files})
 
     @classmethod
@@ -69,7 +69,7 @@ class Engine:
         settings = settings or Settings()
         expected = {"nearest": settings.nearest} | ({"source": identity(spark, source)} if source else {})
         index, _ = BlockIndex.open(spark, path, **expected)
-        made = cls(index.ranks.drop("rn_start", "rn_end"), spark.read.parquet(f"{path}/genomes"), settings)
+        made = cls(index.blocks, spark.read.parquet(f"{path}/genomes"), settings)
         made.__dict__["index"] = index
         return made
 

@@ -12,17 +12,17 @@ from pyspark.sql.types import StructType
 
 from anchorline.config import Settings
 from anchorline.functions import scalar as S
-from anchorline.functions.chain import bind, chain_places, major_chromosome
+from anchorline.functions.chain import anchors_resolved
 from anchorline.operators import nearest as N
-from anchorline.operators.blocks import CELL, PAIR, block_ranks
+from anchorline.operators import pages as G
+from anchorline.operators.blocks import CELL, PAIR
 from anchorline.storage import materialize, small
 
 KEYS = [*PAIR, "loc"]
-ORDER = ["ref_start", "ref_end", "qry_start", "qry_chrom", "qry_end", "qry_rev"]
 ENDS = "struct<ref_start:bigint,ref_end:bigint,qry_start:bigint,qry_end:bigint>"
 #: The form in which an index is stored, and the order of its tables within a pair and chromosome.
 STORED_VERSION = 1
-_INNER = {"ranks": "ref_start", "pages": "page", "finder": "_cell", "tails": "page"}
+_INNER = {"blocks": "ref_start", "pages": "page", "finder": "_cell", "tails": "page"}
 
 
 @dataclass
@@ -32,7 +32,7 @@ class BlockIndex:
     ``tails``, two rows for each chromosome of a pair, are broadcast behind a count.
     """
 
-    ranks: DataFrame
+    blocks: DataFrame
     pages: DataFrame
     finder: DataFrame
     tails: DataFrame
@@ -40,14 +40,14 @@ class BlockIndex:
     @classmethod
     def build(cls, blocks: DataFrame, s: Settings) -> BlockIndex:
         """Each table is written in the order of its pair of species, so that a filter on the pair skips the rest of it."""
-        ranks = materialize(block_ranks(materialize(blocks, "blocks")), "block-ranks", [*PAIR, "ref_start"])
-        paged = N.pages(ranks, N.DOWN, s.nearest).unionByName(N.pages(ranks, N.UP, s.nearest))
-        paged = materialize(paged, "block-pages", [*PAIR, "page"])
-        return cls(ranks, paged, materialize(N.finder(paged), "block-finder", [*PAIR, "_cell"]), small(materialize(paged.where("tail").drop("blocks"), "block-tails")))
+        blocks = materialize(blocks, "blocks", [*PAIR, "ref_start"])
+        paged = G.pages(blocks, G.DOWN, s.nearest).unionByName(G.pages(blocks, G.UP, s.nearest))
+        paged = materialize(paged, "block-pages")
+        return cls(blocks, paged, materialize(N.finder(paged), "block-finder", [*PAIR, "_cell"]), small(materialize(paged.where("tail").drop("blocks"), "block-tails")))
 
     def save(self, path: str, manifest: dict) -> None:
         """Writes the tables, each in folders by pair of species, and last the manifest: without it the index doesn't count as written."""
-        spark = self.ranks.sparkSession
+        spark = self.blocks.sparkSession
         rows = {}
         for name, df in self.tables().items():
             df.repartitionByRange(*PAIR, _INNER[name]).sortWithinPartitions(*PAIR, _INNER[name]).write.mode("overwrite").partitionBy("ref_sp", "qry_sp").parquet(f"{path}/{name}")
@@ -81,69 +81,46 @@ class BlockIndex:
     def of(self, ref: list[str], qry: list[str] | None = None) -> BlockIndex:
         """The part of some reference (and query) species: the filter reaches the scans."""
         part = lambda df: df.where(F.col("ref_sp").isin(ref) & (F.lit(True) if qry is None else F.col("qry_sp").isin(qry)))
-        return BlockIndex(part(self.ranks), part(self.pages), part(self.finder), part(self.tails))
+        return BlockIndex(part(self.blocks), part(self.pages), part(self.finder), part(self.tails))
 
     def sides(self, points: DataFrame, s: Settings, complete: bool = True) -> DataFrame:
         return N.sides(points, self.finder, self.tails if complete else None, self.pages, s.nearest)
 
 
-def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
-    """df with new columns that are computed once a row.
+def gathered(points: DataFrame, index: BlockIndex, s: Settings, complete: bool = True) -> DataFrame:
+    """KEYS of each distinct point with ``sides``: its nearest blocks on either side (kind u and d) and those over it (o).
 
-    Merged projections put an expression wherever its column is used, also into
-    functions of array elements, where it would run once an element; the
-    output of a generator stays a column.
-    """
-    packed = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_once")
-    return df.select(*keep, packed).select(*keep, "_once.*")
-
-
-def anchors(points: DataFrame, index: BlockIndex, s: Settings, complete: bool = True) -> DataFrame:
-    """KEYS with all anchors of each distinct point in chain order, as ``anchors`` (side u, o or d).
-
-    Unless ``complete``, points beyond the last block may lack anchors; they have none on one side.
+    Unless ``complete``, points beyond the last block may lack blocks; they have none on one side.
     """
     points = points.select(*KEYS).distinct()
-    keep = lambda b, side: F.struct(*[b[c].alias(c) for c in ORDER], side.alias("side"))
-    near = index.sides(points, s, complete).select(*KEYS, F.transform("found", lambda b: keep(b, F.col("kind"))).alias("a"))
-    on = N.over(points, index.ranks).select(*KEYS, F.array(keep(F.col("block"), F.lit("o"))).alias("a"))
-    met = near.unionByName(on).groupBy(*KEYS).agg(F.flatten(F.collect_list("a")).alias("a"))
-    return once(met.where(F.size("a") > 0), KEYS, anchors=F.array_sort("a"))
+    near = index.sides(points, s, complete).select(*KEYS, F.struct("kind", "found").alias("side"))
+    on = N.over(points, index.blocks).select(*KEYS, F.struct(F.lit("o").alias("kind"), F.array("block").alias("found")).alias("side"))
+    return near.unionByName(on).groupBy(*KEYS).agg(F.collect_list("side").alias("sides"))
 
 
-def majority(found: DataFrame) -> DataFrame:
-    """Anchors on the commonest query chromosome, of points that have some on both sides."""
-    picked = bind(major_chromosome(F.transform("anchors", lambda a: a["qry_chrom"])), lambda m: F.struct(m.alias("major"), F.filter("anchors", lambda a: a["qry_chrom"] == m).alias("anchors")))
-    on = once(found, KEYS, picked=picked).select(*KEYS, "picked.major", "picked.anchors")
-    return on.where(F.exists("anchors", lambda a: a["side"] == "u") & F.exists("anchors", lambda a: a["side"] == "d"))
+def resolved(points: DataFrame, index: BlockIndex, s: Settings, complete: bool = True, chain: bool = False) -> DataFrame:
+    """KEYS of each distinct point that has anchors: major (its commonest query chromosome), two_sided, n_kept (anchors on it), and what
+    follows from the longest collinear chain of these, if it is two-sided and the chain is long enough: on, up, down and, if asked for, chain.
+    """
+    found = gathered(points, index, s, complete)
+    # a generator's output is computed once, whatever uses it
+    each = found.select(*KEYS, F.explode(F.array(anchors_resolved(F.col("sides"), F.col("loc"), s.least_chain, chain))).alias("r"))
+    return each.select(*KEYS, "r.*").where("major is not null")
 
 
 def _ends(a: Column) -> Column:
     return F.struct(*[a[c].alias(c) for c in ("ref_start", "ref_end", "qry_start", "qry_end")])
 
 
-def chained(found: DataFrame, s: Settings) -> DataFrame:
-    """``chain``: the longest collinear chain of each point's majority anchors, where it is long enough."""
-    placed = majority(found).withColumn("places", chain_places(F.col("anchors"))).where(F.size("places") >= s.least_chain)
-    return once(placed, [*KEYS, "major"], chain=F.transform("places", lambda i: F.get(F.col("anchors"), i)))
-
-
 def hops(points: DataFrame, index: BlockIndex, genomes: DataFrame, s: Settings) -> DataFrame:
     """KEYS with each target: place (in the chain), score, chrom, at, up, down.
 
     A point on alignments of its chain has one target per alignment, with score 1; else it has
     one target between the nearest anchors, if there is one on each side.
     """
-    chain = chained(anchors(points, index, s, complete=False), s)
+    found = resolved(points, index, s, complete=False).where("size(on) > 0 or (up is not null and down is not null)")
     loc = F.col("loc")
-    best_up = F.reduce(F.filter("chain", lambda a: a["ref_end"] < loc), F.expr(f"cast(null as {_anchor_type()})"), lambda b, a: F.when(b.isNull() | (b["ref_end"] < a["ref_end"]), a).otherwise(b))
-    cut = once(
-        chain, [*KEYS, "major"],
-        on=F.filter("chain", lambda a: (a["ref_start"] <= loc) & (loc <= a["ref_end"])),
-        up=best_up,
-        down=F.get(F.filter("chain", lambda a: a["ref_start"] > loc), F.lit(0)),
-    )
-    cut = cut.join(genomes.select(F.col("species").alias("ref_sp"), "genome_size"), "ref_sp")
+    cut = found.join(genomes.select(F.col("species").alias("ref_sp"), "genome_size"), "ref_sp")
     up, down = F.col("up"), F.col("down")
     exact = lambda a: F.when(a["qry_rev"], a["qry_start"] - (loc - a["ref_start"])).otherwise(a["qry_start"] + (loc - a["ref_start"]))
     target = lambda score, at, u, d: F.struct(score.alias("score"), at.cast("long").alias("at"), _ends(u).alias("up"), _ends(d).alias("down"))
@@ -152,6 +129,3 @@ def hops(points: DataFrame, index: BlockIndex, genomes: DataFrame, s: Settings)
     each = cut.select(*KEYS, "major", F.posexplode(targets).alias("place", "t"))
     return each.select(*KEYS, "place", F.col("t.score").alias("score"), F.col("major").alias("chrom"), F.col("t.at").alias("at"), F.col("t.up").alias("up"), F.col("t.down").alias("down"))
 
-
-def _anchor_type() -> str:
-    return "struct<ref_start:bigint,ref_end:bigint,qry_start:bigint,qry_chrom:string,qry_end:bigint,qry_rev:boolean,side:string>"

@@ -1,7 +1,6 @@
 """Anchors around a point: the nearest k on each side, and all blocks over it.
 
-Blocks are kept in pages of k consecutive ranks, each with its neighbour page, so
-that the page in which a point's rank falls holds all k anchors of that side.  A
+Blocks are kept in pages (see ``pages``), so that the page in which a point's rank falls holds all k anchors of that side.  A
 finder tells the page: each page covers a range of positions, dealt to cells, so that a
 point meets it by an equi-join on its cell.  Pages and finder never change: a hop
 sorts and shuffles points only, and joins pages that are read by pair of species.
@@ -15,38 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.operators.blocks import CELL, PAIR, cell_of
-
-ANCHOR = ["ref_start", "ref_end", "qry_chrom", "qry_start", "qry_end", "qry_rev"]
-#: Sides of a search: nearest blocks that begin after the point, and that end before it.
-DOWN, UP = "d", "u"
-
-
-def pages(ranks: DataFrame, side: str, k: int) -> DataFrame:
-    """Per PAIR and page: first_at and last_at, the positions that it answers for, and its blocks in rank order.
-
-    DOWN: the page of rank r answers where r of the starts are at the point or before it; it holds
-    the next page too.  UP: the page answers where less than its last rank of the ends are
-    before the point; it holds the page before too.  The last page of a side (``tail``) also answers
-    for all that lies after last_at.
-    """
-    rank, at, step = ("rn_start", "ref_start", -1) if side == DOWN else ("rn_end", "ref_end", 1)
-    own = F.floor((F.col(rank) - 1) / k).cast("long")
-    both = ranks.withColumn("own", own).withColumn("page", F.explode(F.array("own", F.col("own") + step)))
-    mine = F.col("page") == F.col("own")
-    held = both.groupBy(*PAIR, "page").agg(
-        F.min(F.when(mine, F.col(at))).alias("first"), F.max(F.when(mine, F.col(at))).alias("last"), F.count(F.when(mine, 1)).alias("n"),
-        F.count(F.when(~mine, 1)).alias("m"), F.min(F.when(~mine, F.col(at))).alias("other_first"), F.max(F.when(~mine, F.col(at))).alias("other_last"),
-        F.sort_array(F.collect_list(F.struct(F.col(rank).alias("rn"), *ANCHOR))).alias("blocks"),
-    )
-    if side == DOWN:
-        tail = F.col("other_first").isNull()
-        first, last = F.coalesce("first", F.lit(0)), F.coalesce(F.col("other_first") - 1, F.col("last"))
-    else:
-        # a page of its own follows the last one only where that is full
-        held = held.where((F.col("n") > 0) | (F.col("m") == k))
-        tail = F.col("n") < k
-        first, last = F.coalesce(F.col("other_last") + 1, F.lit(0)), F.coalesce("last", "other_last")
-    return held.select(*PAIR, F.lit(side).alias("kind"), "page", first.alias("first_at"), last.alias("last_at"), tail.alias("tail"), "blocks")
+from anchorline.operators.pages import ANCHOR, DOWN
 
 
 def finder(paged: DataFrame) -> DataFrame:
@@ -64,12 +32,12 @@ def sides(points: DataFrame, found: DataFrame, tails: DataFrame | None, paged: D
     met = met.select(*points.columns, "kind", "page")
     if tails is not None:
         met = met.unionByName(points.join(tails.select(*PAIR, "kind", "page", "last_at"), PAIR).where("loc > last_at").select(*points.columns, "kind", "page"))
-    on = met.join(paged.select(*PAIR, "kind", "page", "blocks"), [*PAIR, "kind", "page"])
+    on = met.join(paged.select(*PAIR, "kind", "page", F.col("before").alias("_before"), "blocks"), [*PAIR, "kind", "page"])
     down = F.col("kind") == DOWN
     passed = lambda b: F.when(down, b["ref_start"] <= F.col("loc")).otherwise(b["ref_end"] < F.col("loc"))
     n = F.size(F.filter("blocks", passed))
     picked: Column = F.when(down, F.slice("blocks", n + 1, F.lit(k))).otherwise(F.slice("blocks", F.greatest(n - k + 1, F.lit(1)), F.least(n, F.lit(k))))
-    return on.select(*points.columns, "kind", (F.get("blocks", F.lit(0))["rn"] - 1 + n).alias("before"), picked.alias("found"))
+    return on.select(*points.columns, "kind", (F.col("_before") + n).alias("before"), picked.alias("found"))
 
 
 def over(points: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from anchorline.functions import scalar as S
 from anchorline.operators import blocks as B
 from anchorline.operators import hop as H
 from anchorline.operators import nearest as N
+from anchorline.operators import pages as G
 from anchorline.operators import project as P
 from anchorline.plans import fixture as X
 from anchorline.sources import axt as A
@@ -253,59 +254,58 @@ def _sides(spark, d):
 def asof_rank(spark, d):
     p, both = _sides(spark, d)
     rank = lambda kind, name: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("before"))), F.lit(0)).cast("long").alias(name)
-    return p.select("region_idx").join(both, "region_idx", "left").groupBy("region_idx").agg(rank(N.DOWN, "k_start"), rank(N.UP, "k_end"))
+    return p.select("region_idx").join(both, "region_idx", "left").groupBy("region_idx").agg(rank(G.DOWN, "k_start"), rank(G.UP, "k_end"))
 
 
 def _listed(found: DataFrame, kind: str) -> DataFrame:
-    return found.where(F.col("kind") == kind).select("region_idx", F.explode("found").alias("b")).select("region_idx", "b.rn", "b.ref_start", "b.ref_end", "b.qry_chrom", "b.qry_start")
+    """The blocks found with their ranks: those after the blocks passed (DOWN), or the last ones of these (UP)."""
+    each = found.where(F.col("kind") == kind).select("region_idx", "before", F.size("found").alias("n"), F.posexplode("found").alias("i", "b"))
+    rank = F.col("before") + F.col("i") + 1 - (F.col("n") if kind == G.UP else 0)
+    return each.select("region_idx", rank.cast("long").alias("rn"), "b.ref_start", "b.ref_end", "b.qry_chrom", "b.qry_start")
 
 
 @query
 def nearest_down(spark, d):
-    return _listed(_sides(spark, d)[1], N.DOWN)
+    return _listed(_sides(spark, d)[1], G.DOWN)
 
 
 @query
 def nearest_up(spark, d):
-    return _listed(_sides(spark, d)[1], N.UP)
+    return _listed(_sides(spark, d)[1], G.UP)
 
 
 @query
 def stab_join(spark, d):
     e = engine(spark, d)
     p = X.regions(spark, d).select("region_idx", F.lit(REF).alias("ref_sp"), F.col("chrom").alias("ref_chrom"), "loc").join(F.broadcast(X.genomes(spark, d).select(F.col("species").alias("qry_sp"))), F.col("qry_sp") != REF)
-    return N.over(p, e.index.of([REF]).ranks).select("region_idx", "qry_sp", "block.ref_start", "block.ref_end", "block.qry_chrom", "block.qry_start")
+    return N.over(p, e.index.of([REF]).blocks).select("region_idx", "qry_sp", "block.ref_start", "block.ref_end", "block.qry_chrom", "block.qry_start")
 
 
-def _anchors(spark, d):
+@query
+def anchor_sides(spark, d):
     e, p = engine(spark, d), hop_points(spark, d)
-    return p, H.anchors(p, e.index.of([REF], [QRY]), SET)
+    n = lambda k: F.aggregate("sides", F.lit(0).cast("long"), lambda t, x: t + F.when(x["kind"] == k, F.size(x["found"])).otherwise(0))
+    return p.join(H.gathered(p, e.index.of([REF], [QRY]), SET), H.KEYS).select("region_idx", n("u").alias("n_up"), n("o").alias("n_over"), n("d").alias("n_down"))
 
 
-@query
-def anchor_sides(spark, d):
-    p, a = _anchors(spark, d)
-    n = lambda s: F.size(F.filter("anchors", lambda x: x["side"] == s)).cast("long")
-    return p.join(a, H.KEYS).select("region_idx", n("u").alias("n_up"), n("o").alias("n_over"), n("d").alias("n_down"))
+def _resolved(spark, d, **how):
+    e, p = engine(spark, d), hop_points(spark, d)
+    return p.join(H.resolved(p, e.index.of([REF], [QRY]), SET, **how), H.KEYS)
 
 
 @query
 def major_chrom(spark, d):
-    p, a = _anchors(spark, d)
-    return p.join(a, H.KEYS).select("region_idx", H.major_chromosome(F.transform("anchors", lambda x: x["qry_chrom"])).alias("chrom"))
+    return _resolved(spark, d).select("region_idx", F.col("major").alias("chrom"))
 
 
 @query
 def major_filter(spark, d):
-    e, p = engine(spark, d), hop_points(spark, d)
-    two_sided = H.majority(H.anchors(p, e.index.of([REF], [QRY]), SET, complete=False))
-    return p.join(two_sided, H.KEYS).select("region_idx", F.size("anchors").cast("long").alias("n_kept"))
+    return _resolved(spark, d, complete=False).where("two_sided").select("region_idx", "n_kept")
 
 
 @query
 def collinear_chain(spark, d):
-    p, a = _anchors(spark, d)
-    c = p.join(H.chained(a, SET), H.KEYS).select("region_idx", F.posexplode("chain").alias("place", "a"))
+    c = _resolved(spark, d, complete=False, chain=True).select("region_idx", F.posexplode("chain").alias("place", "a"))
     return c.select("region_idx", "place", "a.ref_start", "a.qry_start", "a.qry_rev")
 
 

@@ -93,7 +93,7 @@ def test_nearest_and_over(world, points):
             want = sorted((e["ref_start"], e["ref_end"]) for e in es if e["ref_start"] > loc)[:20] if side == "d" else sorted(((e["ref_end"], e["ref_start"]) for e in es if e["ref_end"] < loc))[-20:]
             assert sorted(x[side == "u"] for x in got[idx]) == sorted(x[0] for x in want)
             assert before[idx] == sum(e["ref_start"] <= loc if side == "d" else e["ref_end"] < loc for e in es)
-    over = {(r.region_idx, r.block.ref_start) for r in N.over(df, i.ranks).collect()}
+    over = {(r.region_idx, r.block.ref_start) for r in N.over(df, i.blocks).collect()}
     assert over == {(idx, b[0]) for idx, _, chrom, _, _, loc in points[0] for b in by["a", "b", chrom] if b[0] <= loc <= b[0] + b[1] - 1}
 
 
