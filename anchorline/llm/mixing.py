@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from anchorline.llm.common import SPACE_CLASS, materialize, table
+from anchorline.storage import small
 
 FAN_IN = 128
 #: Per-source totals of at most so many sources are broadcast; more are joined by a shuffle.
@@ -122,10 +123,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0,
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("th"))
     units = materialize(rows.groupBy("doc_id", "source", "size", "th").agg(F.count("*").alias("m")), "mix-units")
     totals = materialize(source_targets(units.select("source", (F.col("size") * F.col("m")).alias("size")), weights, cap), "mix-totals")
-    small = totals.count() <= BROADCAST_SOURCES
+    few = totals.count() <= BROADCAST_SOURCES
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     t = totals.withColumnRenamed("source", "source_").withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.col("whole"))
-    if small:
+    if few:
         t = F.broadcast(t)
     mass, certain = F.col("m") * F.col("part"), F.floor(F.col("m") * F.col("part"))
     units = units.join(t, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").withColumn("p", mass - certain).withColumn("k", F.xxhash64(F.lit(seed), "doc_id", "th", "source"))
@@ -141,7 +142,7 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns they had.
 
     Where only some of a unit's m rows have one copy more, its rows are numbered by a hash of the whole row, and those with a number
-    up to ``extra`` have it.  Rows that are equal in all columns are counted, not numbered; others get their number from cells of the hash, so
+    up to ``extra`` have it; such units are broadcast behind a count, so that texts are shuffled once.  Rows that are equal in all columns are counted, not numbered; others get their number from cells of the hash, so
     that no unit is sorted in one task.  Further columns may have any name; columns are packed in a struct meanwhile.
     """
     names = ("doc_id", "source", "th", "copies", "extra", "m")
@@ -155,7 +156,7 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     each = met(plan).select("row", times.alias("n")).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     unit = ["u_doc_id", "u_source", "u_th"]
     written = F.to_json("row")
-    rows = met(plan.where("u_extra > 0 and u_extra < u_m")).select("row", *unit, "u_extra", F.xxhash64(written).alias("h"), F.xxhash64(F.lit(1), written).alias("g"))
+    rows = met(small(materialize(plan.where("u_extra > 0 and u_extra < u_m"), "mix-some"))).select("row", *unit, "u_extra", F.xxhash64(written).alias("h"), F.xxhash64(F.lit(1), written).alias("g"))
     kinds = rows.groupBy(*unit, "h", "g").agg(F.count(F.lit(1)).alias("c"), F.first("row").alias("row"), F.first("u_extra").alias("extra")).withColumn("cell", F.shiftrightunsigned("h", 54))
     kinds = materialize(kinds, "mix-kinds")
     cells = kinds.groupBy(*unit, "cell").agg(F.sum("c").alias("before"))

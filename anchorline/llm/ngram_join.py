@@ -38,11 +38,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from anchorline.llm.common import chunks, fmix, materialize, shingle_set, table, text_bytes, word_hashes
+from anchorline.llm.common import WORD_CLASS, chunks, fmix, materialize, shingle_set, table, text_bytes, word_hashes
 from anchorline.llm.components import connected
 
 #: Shingles of a block; components above a quarter of it have blocks of their own.
@@ -377,7 +376,7 @@ def _rooted(docs: DataFrame, n: int, percent: int) -> DataFrame:
     roots = materialize(sets.groupBy("own", "blocks", "block").applyInArrow(_search(percent, False), "fp long, root long"), "join-roots")
     if split:
         roots = materialize(_across(sets, roots, percent), "join-across")
-    return each.join(roots, "fp", "left").select("doc_id", "n_shingles", "fp", F.coalesce("root", "fp").alias("root"))
+    return each.join(roots, "fp", "left").select("doc_id", "th", "n_shingles", "fp", F.coalesce("root", "fp").alias("root"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -409,55 +408,55 @@ def _shingles_of(n: int) -> Callable:
 
 
 def _across(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """The links between the blocks of split components, joined to those inside them."""
-    split = sets.where("blocks > 1").join(roots, "fp")
+    """The links between the blocks of split components, joined to those inside them.
+
+    Which sets meet in which task is planned on rows without shingles; these are shuffled to the tasks only.
+    """
+    plain = sets.where("blocks > 1").select("fp", "own", "blocks", "block", F.size("shingles").alias("n")).join(roots, "fp")
+    plain = materialize(plain, "join-plain")
     edges = roots.select(F.col("fp").alias("u"), F.col("root").alias("v"))
-    heads = split.where(F.col("fp") == F.col("root"))
-    weight = Window.partitionBy("own")
-    heads = heads.withColumn("block", F.pmod(F.xxhash64("fp"), F.ceil(F.sum(F.size("shingles")).over(weight) / BLOCK)).cast("int"))
-    met = materialize(heads.groupBy("own", "block").applyInArrow(_search(percent, False), "fp long, root long"), "join-heads")
-    edges = edges.unionByName(met.select(F.col("fp").alias("u"), F.col("root").alias("v")))
-    now = materialize(connected(edges, "join-local"), "join-local")
-    split = split.drop("root").join(now.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+    def dealt(rows: DataFrame, name: str, *salt: Column) -> DataFrame:
+        """rows with the part of their component that they are in, parts being of BLOCK shingles."""
+        many = rows.groupBy("own").agg(F.ceil(F.sum("n") / BLOCK).alias("_parts"))
+        return rows.join(many, "own").withColumn(name, F.pmod(F.xxhash64("fp", *salt), F.col("_parts")).cast("int")).drop("_parts")
+
+    def searched(rows: DataFrame, by: list[str], asked: bool) -> DataFrame:
+        met = rows.join(sets.select("fp", "shingles"), "fp")
+        return met.groupBy(*by).applyInArrow(_search(percent, asked), "fp long, root long").select(F.col("fp").alias("u"), F.col("root").alias("v"))
+
+    heads = dealt(plain.where(F.col("fp") == F.col("root")).select("fp", "own", "n"), "block")
+    edges = materialize(edges.unionByName(searched(heads.select("fp", "own", "block"), ["own", "block"], False)), "join-heads")
+    now = connected(edges, "join-local").select(F.col("node").alias("fp"), "root")
+    split = plain.drop("root").join(now, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     main = split.groupBy("own", "root").agg(F.count("*").alias("c")).groupBy("own").agg(F.max_by("root", "c").alias("main"))
     split = materialize(split.join(main, "own").withColumn("ask", F.col("root") != F.col("main")), "join-split")
-    minor = split.where("ask")
-    minor = minor.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.ceil(F.sum(F.size("shingles")).over(weight) / BLOCK)).cast("int"))
+    minor = dealt(split.where("ask"), "part", F.lit(1))
     parts = minor.groupBy("own").agg((F.max("part") + 1).alias("parts"))
-    asks = minor.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("own", "part", "block", "fp", "ask", "shingles")
-    told = split.join(parts, "own").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("not ask").select("own", "part", "block", "fp", "ask", "shingles")
+    columns = ["own", "part", "block", "fp", "ask"]
+    asks = minor.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns)
     # minor sets meet each other too: those of each block are there as told ones
-    also = split.where("ask").join(parts, "own").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("own", "part", "block", "fp", "ask", "shingles")
-    more = asks.unionByName(told).unionByName(also).groupBy("own", "part", "block").applyInArrow(_search(percent, True), "fp long, root long")
-    edges = materialize(edges.unionByName(more.select(F.col("fp").alias("u"), F.col("root").alias("v"))).distinct(), "join-edges")
+    told = split.join(parts, "own").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*columns)
+    more = searched(asks.unionByName(told), ["own", "part", "block"], True)
+    edges = materialize(edges.unionByName(more).distinct(), "join-edges")
     return connected(edges, "join-all").select(F.col("node").alias("fp"), "root")
 
 
-def _with_fingerprint(n: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = [int(fingerprint(s).view(np.int64)) if len(s) else None for _, _, s in _sets(iter([b]), n)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], [*b.schema.names, "__join_fp"])
-
-    return run
-
-
 def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs (with its columns) of each component: that with the least id, then the first by a hash of the row.
+    """One row of docs (with its columns) of each component: that with the least id, of equal texts with it the first by a hash of the row.
 
-    Each row whose text has no shingles stays; a row without id stays only if no row with an id is linked to it.
+    Each row whose text has no shingles stays; a row without id stays only if no row with an id is linked to it.  An empty table stays empty; columns may have any name.
     """
-    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("fp")))
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "th"))
     first = _rooted(docs, n, percent).where("root is not null").groupBy("root").agg(lead.alias("d"))
-    first = first.select(F.coalesce("d.doc_id", F.lit(0)).cast("long").alias("__join_id"), F.col("d.none").alias("__join_none"), F.col("d.fp").alias("__join_fp"), F.lit(True).alias("__join_first"))
-    # an id may be null or stand for several texts, so that rows are known by their fingerprint too; a row without shingles has a key of its own
-    read = docs.mapInArrow(_with_fingerprint(n), StructType([*docs.schema, StructField("__join_fp", LongType())]))
-    known = F.when(F.col("__join_fp").isNull(), F.monotonically_increasing_id()).otherwise(F.coalesce("doc_id", F.lit(0)))
-    read = read.withColumns({"__join_id": known.cast("long"), "__join_none": F.col("doc_id").isNull()})
-    keys = ["__join_id", "__join_none", "__join_fp"]
-    kept = read.join(first, keys, "left").where("__join_fp is null or __join_first")
-    one = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    return kept.withColumn("__join_n", one).where("__join_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = first.select(F.col("d.doc_id").alias("k_id"), F.col("d.th").alias("k_th"))
+    # an id may be null or stand for several texts, so that rows are known by the hash of their text too; a row without words has a key of its own
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64(text).alias("th"), F.when(~text.rlike(WORD_CLASS), F.monotonically_increasing_id()).alias("blank"))
+    # repeated rows are brought down to one before they are shuffled
+    once = rows.groupBy("doc_id", "th", "blank").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    kept = once.join(first.withColumn("first", F.lit(True)), once["doc_id"].eqNullSafe(first["k_id"]) & (once["th"] == first["k_th"]), "left").where("blank is not null or first")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
