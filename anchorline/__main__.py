@@ -11,7 +11,7 @@ from anchorline.api import Engine
 from anchorline.config import Settings
 from anchorline.sources import sinks
 from anchorline.sources.text import read_regions, read_targets
-from anchorline.storage import exists, scratch
+from anchorline.storage import cancelled_by_signals, exists, scratch
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -36,7 +36,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.master(f"local[{a.n_cores}]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", str(not a.quiet).lower()).getOrCreate()
     s = Settings(half_life=a.half_life, distance_dc=a.distance_DC, distance_ic=a.distance_IC, score_dc=a.score_DC, score_ic=a.score_IC, distance_fc=a.distance_FC)
     regions, targets = read_regions(spark, a.regions), read_targets(spark, a.target_bedfile) if a.target_bedfile else None
-    with scratch(spark):
+    with cancelled_by_signals(spark), scratch(spark):
         if a.index and exists(spark, f"{a.index}/manifest"):
             engine = Engine.open(spark, a.index, s, a.collection)
         else:

@@ -14,6 +14,7 @@ from anchorline.operators.blocks import with_ends
 from anchorline.operators.hop import BlockIndex
 from anchorline.operators.route import routes
 from anchorline.sources import collection
+from anchorline.sources.collecting import stored_blocks
 from anchorline.storage import exists, identity, materialize, small
 
 
@@ -54,7 +55,7 @@ class Engine:
     def load(cls, spark: SparkSession, path: str, settings: Settings | None = None) -> Engine:
         """From a binary collection, or from a folder with the Parquet tables ``blocks`` and ``genomes``."""
         if exists(spark, f"{path}/blocks"):
-            return cls(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/genomes"), settings)
+            return cls(stored_blocks(spark, path), spark.read.parquet(f"{path}/genomes"), settings)
         return cls(collection.read_collection(spark, path), collection.read_collection_sizes(spark, path), settings)
 
     def save(self, path: str, source: str | None = None) -> None:

@@ -50,8 +50,21 @@ def chromosome_dictionary(seen: DataFrame) -> DataFrame:
     return first.select((F.row_number().over(Window.orderBy("ord", "chrom")) - 1).cast("long").alias("chrom_id"), "chrom")
 
 
+def chromosome_counts(blocks: DataFrame) -> DataFrame:
+    """Blocks of each chromosome of each pair of species."""
+    return blocks.groupBy(*PAIR).agg(F.count("*").alias("n_blocks"))
+
+
+def longest_block(blocks: DataFrame) -> DataFrame:
+    return blocks.agg(F.max("length").alias("max_length"))
+
+
+def ordered_pairs(species: DataFrame) -> DataFrame:
+    """All ordered pairs of different species (at most 255 of them)."""
+    return species.select(F.col("species").alias("ref_sp")).join(species.select(F.col("species").alias("qry_sp")), F.col("ref_sp") != F.col("qry_sp"))
+
+
 def chromosome_runs(blocks: DataFrame) -> DataFrame:
     """The ordered chromosomes of each pair of species, and where each begins: the groups of a written collection."""
-    sizes = blocks.groupBy(*PAIR).agg(F.count("*").alias("n_blocks"))
     w = Window.partitionBy("ref_sp", "qry_sp").orderBy("ref_chrom")
-    return sizes.withColumn("first_row", F.sum("n_blocks").over(w) - F.col("n_blocks")).withColumn("previous", F.lag("ref_chrom").over(w))
+    return chromosome_counts(blocks).withColumn("first_row", F.sum("n_blocks").over(w) - F.col("n_blocks")).withColumn("previous", F.lag("ref_chrom").over(w))

@@ -83,7 +83,9 @@ def region_points(spark, d):
 
 @query
 def target_regions(spark, d):
-    return X.targets(spark, d).withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
+    t = X.targets(spark, d)
+    lines = t.select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), "name").alias("value"))
+    return T.parse_targets(lines).withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
 
 
 @query
@@ -163,8 +165,9 @@ def decay_score(spark, d):
 
 @query
 def thresholds(spark, d):
-    at = lambda n: F.round(F.pow(F.lit(0.5), F.lit(float(n * SET.genome_basis)) / (F.col("genome_size") * SET.half_life)), 3)
-    return X.genomes(spark, d).select("species", at(SET.distance_dc).alias("dc"), at(SET.distance_ic).alias("ic"))
+    """The limits of each species as reference; one row a species."""
+    limits = [(r.species, *SET.thresholds(r.genome_size)) for r in X.genomes(spark, d).collect()]
+    return spark.createDataFrame(limits, "species string, dc double, ic double")
 
 
 @query
@@ -202,8 +205,7 @@ def name_cleanup(spark, d):
 
 @query
 def species_pairs(spark, d):
-    g = X.genomes(spark, d).select("species")
-    return g.select(F.col("species").alias("ref_sp")).join(g.select(F.col("species").alias("qry_sp")), F.col("ref_sp") != F.col("qry_sp"))
+    return B.ordered_pairs(X.genomes(spark, d))
 
 
 # blocks
@@ -222,12 +224,12 @@ def block_ranks(spark, d):
 
 @query
 def block_counts(spark, d):
-    return X.blocks(spark, d).groupBy(*B.PAIR).agg(F.count("*").alias("n_blocks"))
+    return B.chromosome_counts(X.blocks(spark, d))
 
 
 @query
 def max_anchor(spark, d):
-    return X.blocks(spark, d).agg(F.max("length").alias("max_length"))
+    return B.longest_block(X.blocks(spark, d))
 
 
 @query
@@ -342,6 +344,21 @@ def bridging(spark, d):
     return projection(spark, d).table.select("region_idx", "bridging_species")
 
 
+@query
+def path_table(spark, d):
+    return projection(spark, d).explain_paths().withColumn("score", S.floor3(F.col("score")))
+
+
+@query
+def stored_direct(spark, d):
+    """Direct projections by a block index that was stored and opened again."""
+    path = f"{shared_dir(spark)}/anchorline/index-{uuid.uuid4().hex}"
+    engine(spark, d).save(path)
+    e, points = Engine.open(spark, path, SET), hop_points(spark, d)
+    found = points.join(H.hops(points, e.index.of([REF], [QRY]), e.genomes, SET), H.KEYS)
+    return found.where("place = 0").select("region_idx", S.floor3(F.col("score")).alias("score_direct"), S.coord_text(F.col("chrom"), F.col("at")).alias("coords_direct"))
+
+
 @query
 def proj_table(spark, d):
     return formatted(projection(spark, d).proj())

@@ -130,8 +130,12 @@ OF_DIRECT = {
     "hop_interp": 'select region_idx, chrom, "at", up.ref_end as up_end, down.ref_start as down_start from direct where up <> down',
     "direct_projection": """select region_idx, floor(score * 1000) / 1000 as score_direct, chrom || ':' || "at" as coords_direct from direct where place = 0""",
 }
+OF_DIRECT["stored_direct"] = OF_DIRECT["direct_projection"]
 OF_ROUTES = {
     "route_best": "select region_idx, score_multi, n_inter, coords_multi from result",
+    "path_table": f"""select region_idx, id, cast(i - 1 as int) as step, n.species, n.chrom, n.loc, floor(n.score * 1000) / 1000 as score, case when n.up is null then null when n.up.qry_start < n.up.qry_end then '+' else '-' end as strand,
+      {", ".join(f"n.{s}.{e} as {s}_{e}" for s in ("up", "down") for e in ("ref_start", "ref_end", "qry_start", "qry_end"))}
+      from (select region_idx, id, unnest(path) as n, unnest(generate_series(1, len(path))) as i from result)""",
     "bridging": "select region_idx, bridging_species from result",
     "proj_table": f"select {_PROJ} from result",
     "proj_anchors": f"select {_PROJ}, {_sides('direct', 'ref', 'd_up', 'd_down')}, {_sides('multi', 'ref', 'path[2].up', 'path[2].down')}, {_sides('direct', 'qry', 'd_up', 'd_down')}, {_sides('multi', 'qry', 'path[-1].up', 'path[-1].down')} from result",

@@ -1,4 +1,4 @@
-"""Writers. Results are ordered by region; each is a folder of part files in that order, and takes the place of an earlier one."""
+"""Writers. Result files are single files in the order of the regions, joined from sorted parts; each takes the place of an earlier one."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.operators.project import PROJ, bed9
+from anchorline.sources.ordered import write_lines
 
-PLAIN = {"sep": "\t", "emptyValue": "", "nullValue": "", "quote": "", "escapeQuotes": False}
+#: The anchor columns of a file, in its order; fixed names.
+ANCHOR_HEADER = {f"{kind}_{side}_{near}_{end}": f"{side}_anchor_{kind}_{name}_{end}" for side in ("ref", "qry") for kind in ("direct", "multi") for near, name in (("up", "left"), ("down", "right")) for end in ("start", "end")}
 
 
 def formatted(table: DataFrame) -> DataFrame:
@@ -16,17 +18,17 @@ def formatted(table: DataFrame) -> DataFrame:
 
 
 def write_projections(table: DataFrame, path: str) -> None:
-    """A header in each part; the order is the regions'."""
-    cols = [c for c in table.columns if c != "region_idx"] if "coords_ref" in table.columns else PROJ
-    formatted(table.orderBy("region_idx").select(*cols)).write.mode("overwrite").options(header=True, **PLAIN).csv(path)
+    """One header; the order is the regions'."""
+    cols = [c for c in PROJ if c in table.columns] + [F.col(c).alias(name) for c, name in ANCHOR_HEADER.items() if c in table.columns]
+    write_lines(formatted(table.orderBy("region_idx")).select(*cols), path, header=True)
 
 
 def write_bed9(table: DataFrame, which: str, path: str) -> None:
-    bed9(table, which).orderBy("region_idx").drop("region_idx").write.mode("overwrite").options(**PLAIN).csv(path)
+    write_lines(bed9(table, which).orderBy("region_idx").drop("region_idx"), path)
 
 
 def write_unmapped(names: DataFrame, path: str) -> None:
-    names.orderBy("region_idx").select("id").write.mode("overwrite").text(path)
+    write_lines(names.orderBy("region_idx").select("id"), path)
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
@@ -35,4 +37,4 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
 
 
 def write_tbl(rows: DataFrame, path: str) -> None:
-    rows.orderBy("ref_chrom", "ref_start").write.mode("overwrite").options(**PLAIN).csv(path)
+    write_lines(rows.orderBy("ref_chrom", "ref_start"), path)

@@ -34,12 +34,17 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     return parse_regions(lines.select((F.col("block") * 4 + F.col("n").bitwiseAND((1 << 33) - 1)).alias("region_idx"), "value"))
 
 
-def read_targets(spark: SparkSession, path: str) -> DataFrame:
+def parse_targets(lines: DataFrame) -> DataFrame:
+    """lines: value. Three tab-separated columns are needed, the fourth is the name."""
     f = F.split("value", "\t")
-    rows = spark.read.text(path).where("value <> '' and not startswith(value, '#')")
+    rows = lines.where("value <> '' and not startswith(value, '#')")
     return rows.select(f[0].alias("chrom"), f[1].cast("long").alias("start"), f[2].cast("long").alias("end"), F.get(f, F.lit(3)).alias("name"))
 
 
+def read_targets(spark: SparkSession, path: str) -> DataFrame:
+    return parse_targets(spark.read.text(path))
+
+
 def read_chains(spark: SparkSession, path: str) -> DataFrame:
     """One row a chain: its text without the leading word. A chain is one record, so that files split between chains."""
     rows = spark.read.option("lineSep", "\nchain ").text(path)
@@ -78,14 +83,18 @@ def parse_chains(chains: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return each.select(*keep, "ref_chrom", (F.col("t_start") + F.col("p.r")).alias("ref_start"), "qry_chrom", S.flip(F.col("q_start") + F.col("p.q"), F.col("q_size"), F.col("qry_rev")).alias("qry_start"), F.col("p.n").cast("int").alias("length"), "qry_rev")
 
 
-def collect_blocks(spark: SparkSession, chain_dir: str, species: list[str]) -> DataFrame:
-    """Blocks of all ordered pairs of species, from files {ref}.{qry}.all.pre.chain, without duplicates."""
-    paths = [f"{chain_dir}/{a}.{b}.all.pre.chain" for a in species for b in species if a != b]
+def pair_chains(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The chains of files named {ref}.{qry}.all.pre.chain, with ref_sp and qry_sp."""
     chains = spark.read.option("lineSep", "\nchain ").text(paths)
     clean = F.regexp_replace(F.regexp_replace("value", r"(?m)^#.*$", ""), r"^\s*chain ", "")
     name = F.split(F.col("_metadata.file_name"), r"\.")
-    rows = chains.select(clean.alias("chain"), name[0].alias("ref_sp"), name[1].alias("qry_sp")).where(F.trim("chain") != "")
-    return parse_chains(rows, ("ref_sp", "qry_sp")).dropDuplicates()
+    return chains.select(clean.alias("chain"), name[0].alias("ref_sp"), name[1].alias("qry_sp")).where(F.trim("chain") != "")
+
+
+def collect_blocks(spark: SparkSession, chain_dir: str, species: list[str]) -> DataFrame:
+    """Blocks of all ordered pairs of species, from files {ref}.{qry}.all.pre.chain, without duplicates."""
+    paths = [f"{chain_dir}/{a}.{b}.all.pre.chain" for a in species for b in species if a != b]
+    return parse_chains(pair_chains(spark, paths), ("ref_sp", "qry_sp")).dropDuplicates()
 
 
 def genome_sizes(lines: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import signal
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -33,9 +35,10 @@ def materialize(df: DataFrame, tag: str, order: list[str] | None = None) -> Data
     path = f"{shared_dir(spark)}/anchorline/{tag}-{uuid.uuid4().hex}"
     if order:
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    df.write.parquet(path)
+    # named before it is written, so that what an ended job leaves is deleted too
     if _written:
         _written[-1].append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -84,3 +87,28 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         delete(spark, _written.pop())
+
+
+@contextlib.contextmanager
+def cancelled_by_signals(spark: SparkSession) -> Iterator[None]:
+    """Within, an interrupt or a request to end stops the jobs that were started here, and no others; the caller gets a KeyboardInterrupt."""
+    tag, asked = f"anchorline-{uuid.uuid4().hex}", []
+
+    def stop(number: int, _frame: object) -> None:
+        asked.append(number)
+        spark.interruptTag(tag)
+
+    before = {n: signal.signal(n, stop) for n in (signal.SIGINT, signal.SIGTERM)} if threading.current_thread() is threading.main_thread() else {}
+    spark.addTag(tag)
+    try:
+        yield
+    except Exception as e:
+        if asked:
+            raise KeyboardInterrupt(f"ended by signal {asked[0]}") from e
+        raise
+    finally:
+        spark.removeTag(tag)
+        for n, handler in before.items():
+            signal.signal(n, handler)
+    if asked:
+        raise KeyboardInterrupt(f"ended by signal {asked[0]}")

@@ -1,6 +1,8 @@
 """Readers, writers, codec, command line, stream and registered queries."""
 
-import glob
+import os
+import signal
+import threading
 
 import pandas as pd
 import pytest
@@ -15,9 +17,11 @@ from anchorline.operators import project as P
 from anchorline.operators.blocks import with_ends
 from anchorline.operators.hop import BlockIndex
 from anchorline.sources import axt as A
+from anchorline.sources import collecting
 from anchorline.sources import collection as C
 from anchorline.sources import sinks
 from anchorline.sources import text as T
+from anchorline.sources.ordered import write_lines
 from tests.brute_collection import decode_collection, encode_collection
 from tests.test_projection import GENOMES, SHAPE, species_blocks
 
@@ -35,10 +39,6 @@ chain 90 chr2 2000 + 100 130 chrB 400 - 30 60 3
 BLOCKS = [("chr1", 10, "chrA", 20, 5, False), ("chr1", 17, "chrA", 28, 10, False), ("chr1", 27, "chrA", 42, 7, False), ("chr2", 100, "chrB", 369, 30, True)]
 
 
-def part_text(path):
-    return "".join(open(f).read() for f in sorted(glob.glob(f"{path}/part-*")))
-
-
 def test_chains(spark, tmp_path):
     (tmp_path / "a.b.all.pre.chain").write_text(CHAIN)
     (tmp_path / "b.a.all.pre.chain").write_text(CHAIN)
@@ -48,8 +48,8 @@ def test_chains(spark, tmp_path):
     assert both.groupBy("ref_sp", "qry_sp").count().count() == 2 and both.count() == 2 * len(BLOCKS)
     tbl = T.tbl_rows(with_ends(got))
     sinks.write_tbl(tbl, str(tmp_path / "t"))
-    assert part_text(tmp_path / "t").splitlines()[-1] == "chr2\t100\t129\tchrB\t369\t340"
-    (tmp_path / "a.b.tbl").write_text(part_text(tmp_path / "t"))
+    assert (tmp_path / "t").read_text().splitlines()[-1] == "chr2\t100\t129\tchrB\t369\t340"
+    (tmp_path / "a.b.tbl").write_text((tmp_path / "t").read_text())
     back = T.read_tbl(spark, [str(tmp_path / "a.b.tbl")])
     assert sorted(tuple(r)[2:] for r in back.collect()) == BLOCKS
 
@@ -148,12 +148,15 @@ def test_command_line_and_files(spark, tmp_path):
     (tmp_path / "t.bed").write_text("1\t0\t90000\tt\n")
     for name, more in (("o1", ["-q", "-ddc", "300.5"]), ("o2", ["-q"]), ("o2", ["--include_anchors", "-v", "-c", "--target_bedfile", str(tmp_path / "t.bed")])):
         main([str(tmp_path / "r.bed"), "a", "d", str(tmp_path / "c.bin"), "-o", str(tmp_path / name), "--n_cores", "4", *more])
-        table = part_text(tmp_path / name / "r.a-d.proj").splitlines()
+        table = (tmp_path / name / "r.a-d.proj").read_text().splitlines()
         head = table[0].split("\t")
         assert head[: len(P.PROJ)] == P.PROJ and len(head) == len(P.PROJ) + (16 if "-v" in more else 0)
-        bed = part_text(tmp_path / name / "r.d.bed").splitlines()
+        assert not [x for x in table[1:] if x == table[0]] and sorted(x.name for x in (tmp_path / name).iterdir()) == ["r.a-d.proj", "r.a-d.unmapped", "r.a.bed", "r.d.bed"]
+        if "-v" in more:
+            assert head[len(P.PROJ) :] == [f"{s}_anchor_{k}_{n}_{e}" for s in ("ref", "qry") for k in ("direct", "multi") for n in ("left", "right") for e in ("start", "end")]
+        bed = (tmp_path / name / "r.d.bed").read_text().splitlines()
         assert all(len(x.split("\t")) == 9 for x in bed) and bed
-        assert "lost" in part_text(tmp_path / name / "r.a-d.unmapped")
+        assert "lost" in (tmp_path / name / "r.a-d.unmapped").read_text()
         flag = [dict(zip(head, x.split("\t")))["functional_conservation"] for x in table[1:] if x != table[0]]
         assert set(flag) <= ({"+", "-"} if "-v" in more else {""})
 
@@ -195,7 +198,7 @@ def test_command_line_with_a_stored_index_and_with_parquet(spark, tmp_path):
     (tmp_path / "r.bed").write_text("".join(f"1\t{p}\t{p + 11}\tp{p}\n" for p in range(3000, 60000, 9000)))
     for name in ("o1", "o2"):
         main([str(tmp_path / "r.bed"), "a", "d", str(tmp_path / "p"), "-q", "-o", str(tmp_path / name), "--index", str(tmp_path / "index")])
-    tables = [part_text(tmp_path / name / "r.a-d.proj") for name in ("o1", "o2")]
+    tables = [(tmp_path / name / "r.a-d.proj").read_text() for name in ("o1", "o2")]
     assert tables[0] == tables[1] and len(tables[0].splitlines()) > 3
 
 
@@ -213,15 +216,85 @@ def test_shared_centres_and_unknown_chromosomes(spark):
     assert sorted(x.region_idx for x in engine.unknown(r).collect()) == [4, 5]
 
 
+def test_collecting_writes_changed_pairs_only(spark, tmp_path):
+    chains, out = tmp_path / "chains", str(tmp_path / "table")
+    chains.mkdir()
+    for a in "abc":
+        (chains / f"{a}.sizes").write_text("chr1 1000\n")
+    for a, b in (("a", "b"), ("b", "a")):
+        (chains / f"{a}.{b}.all.pre.chain").write_text(CHAIN)
+    run = lambda species, **how: collecting.collect(spark, str(chains), str(chains), species, out, **how)
+    files = lambda: {str(f.relative_to(out)): f.stat().st_mtime_ns for f in (tmp_path / "table" / "blocks").rglob("part-*")}
+    done = run(["a", "b"])
+    assert sorted(done.written) == [("a", "b"), ("b", "a")] and not done.unchanged and not done.missing
+    first = files()
+    with pytest.raises(FileNotFoundError, match="a.c.all.pre.chain"):
+        run(["a", "b", "c"])
+    for a, b in (("a", "c"), ("c", "b"), ("b", "c")):
+        (chains / f"{a}.{b}.all.pre.chain").write_text(CHAIN)
+    done = run(["a", "b", "c"], allow_missing=True)
+    assert sorted(done.written) == [("a", "c"), ("b", "c"), ("c", "b")] and len(done.unchanged) == 2 and done.missing == ["c.a.all.pre.chain"]
+    assert first.items() <= files().items()
+    (chains / "a.b.all.pre.chain").write_text("# nothing\n")
+    assert run(["a", "b", "c"], allow_missing=True).written == [("a", "b")]
+    blocks = collecting.stored_blocks(spark, out)
+    assert {tuple(r) for r in blocks.select("ref_sp", "qry_sp").distinct().collect()} == {("a", "c"), ("b", "a"), ("b", "c"), ("c", "b")} and blocks.count() == 4 * len(BLOCKS)
+    collecting.main([str(chains), str(chains), "a,b,c", out, "-m", "-b", str(tmp_path / "c.bin")])
+    assert len(decode_collection((tmp_path / "c.bin").read_bytes())[0]) == 4 * len(BLOCKS)
+    assert run(["a", "b", "c"], allow_missing=True).written == []
+
+
+def test_ordered_file(spark, tmp_path):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("n"), F.when(F.col("id") % 3 > 0, F.lit("x")).alias("x")).repartition(6)
+    for _ in range(2):
+        write_lines(df.orderBy("n"), str(tmp_path / "sub" / "f.tsv"), header=True)
+        lines = (tmp_path / "sub" / "f.tsv").read_text().splitlines()
+        assert lines[0] == "n\tx" and [int(x.split("\t")[0]) for x in lines[1:]] == list(range(5000)) and set(x.split("\t")[1] for x in lines[1:]) == {"", "x"}
+    write_lines(df.limit(0), str(tmp_path / "sub" / "g.tsv"))
+    assert (tmp_path / "sub" / "g.tsv").read_text() == "" and sorted(x.name for x in (tmp_path / "sub").iterdir()) == ["f.tsv", "g.tsv"]
+
+
+def test_a_signal_ends_the_command_and_leaves_nothing(spark, tmp_path):
+    rows = pd.DataFrame(species_blocks(3), columns=[x.split()[0] for x in SHAPE.split(", ")])
+    (tmp_path / "c.bin").write_bytes(encode_collection(rows, GENOMES))
+    (tmp_path / "r.bed").write_text("".join(f"1\t{p}\t{p + 11}\tp{p}\n" for p in range(3000, 60000, 40)))
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(f"{shared}/anchorline")) if os.path.isdir(f"{shared}/anchorline") else set()
+    handler = signal.getsignal(signal.SIGTERM)
+    timer = threading.Timer(6, os.kill, (os.getpid(), signal.SIGTERM))
+    timer.start()
+    with pytest.raises(KeyboardInterrupt, match="signal"):
+        main([str(tmp_path / "r.bed"), "a", "d", str(tmp_path / "c.bin"), "-q", "-o", str(tmp_path / "out")])
+    timer.join()
+    assert signal.getsignal(signal.SIGTERM) is handler
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds() and not spark.getTags()
+    assert not (tmp_path / "out").exists() and set(os.listdir(f"{shared}/anchorline")) == before
+    assert spark.range(10).count() == 10
+
+
 def test_stream(spark, tmp_path):
-    from anchorline.streaming.regions import project_stream
+    from anchorline.streaming.regions import BATCH, numbered_lines, project_stream
 
     engine = Engine(spark.createDataFrame(species_blocks(3), SHAPE), spark.createDataFrame(list(GENOMES.items()), "species string, genome_size long"))
     (tmp_path / "in").mkdir()
+    run = lambda: project_stream(spark, engine, str(tmp_path / "in"), "a", "d", str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination(180)
+    rows = lambda: sorted((r.batch, r.region_idx, r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     (tmp_path / "in" / "a.bed").write_text("1\t30000\t30010\tx\n1\t40000\t40010\ty\n")
-    q = project_stream(spark, engine, str(tmp_path / "in"), "a", "d", str(tmp_path / "out"), str(tmp_path / "ckpt"))
-    q.awaitTermination(120)
-    assert q.exception() is None and spark.read.parquet(str(tmp_path / "out")).count() > 0
+    run()
+    (tmp_path / "in" / "b.bed").write_text("1\t30000\t30010\tx2\n1\t40000\t40010\ty2\n")
+    run()
+    found = rows()
+    numbers = [n for _, n, _ in found]
+    assert len(numbers) == len(set(numbers)) and {b for b, _, _ in found} == {0, 1} and all(n // BATCH == b for b, n, _ in found)
+    # the last batch once more, as after a crash before its commit
+    (tmp_path / "ckpt" / "commits" / "1").unlink()
+    for crc in (tmp_path / "ckpt" / "commits").glob(".1*"):
+        crc.unlink()
+    run()
+    assert rows() == found
+    lines = spark.createDataFrame([(f"l{i}", f"f{i // 50}", 0, (3 - i // 50) * 10**9 + i) for i in range(200)], "value string, file string, block long, n long")
+    got = [{r.value: r.region_idx for r in numbered_lines(lines.repartition(k), 5).collect()} for k in (1, 7)]
+    assert got[0] == got[1] == {f"l{i}": 5 * BATCH + i for i in range(200)}
 
 
 def test_queries_are_registered():
