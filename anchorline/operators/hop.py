@@ -83,26 +83,33 @@ class BlockIndex:
         part = lambda df: df.where(F.col("ref_sp").isin(ref) & (F.lit(True) if qry is None else F.col("qry_sp").isin(qry)))
         return BlockIndex(part(self.blocks), part(self.pages), part(self.finder), part(self.tails))
 
-    def sides(self, points: DataFrame, s: Settings, complete: bool = True) -> DataFrame:
-        return N.sides(points, self.finder, self.tails if complete else None, self.pages, s.nearest)
+    def sides(self, points: DataFrame, s: Settings) -> DataFrame:
+        return N.sides(points, self.finder, self.tails, self.pages, s.nearest)
 
 
-def gathered(points: DataFrame, index: BlockIndex, s: Settings, complete: bool = True) -> DataFrame:
-    """KEYS of each distinct point with ``sides``: its nearest blocks on either side (kind u and d) and those over it (o).
-
-    Unless ``complete``, points beyond the last block may lack blocks; they have none on one side.
-    """
+def gathered(points: DataFrame, index: BlockIndex, s: Settings) -> DataFrame:
+    """KEYS of each distinct point with ``sides``: its nearest blocks on either side (kind u and d) and those over it (o)."""
     points = points.select(*KEYS).distinct()
-    near = index.sides(points, s, complete).select(*KEYS, F.struct("kind", "found").alias("side"))
+    near = index.sides(points, s).select(*KEYS, F.struct("kind", "found").alias("side"))
     on = N.over(points, index.blocks).select(*KEYS, F.struct(F.lit("o").alias("kind"), F.array("block").alias("found")).alias("side"))
     return near.unionByName(on).groupBy(*KEYS).agg(F.collect_list("side").alias("sides"))
 
 
+def between(points: DataFrame, index: BlockIndex, s: Settings) -> DataFrame:
+    """The same for points between blocks only: those that can be projected."""
+    points = points.select(*KEYS).distinct()
+    on = N.over(points, index.blocks).groupBy(*KEYS).agg(F.collect_list("block").alias("on"))
+    met = N.both_sides(points.join(on, KEYS, "left"), index.finder, index.pages, s.nearest)
+    none = F.slice("down", 1, 0)
+    side = lambda kind, found: F.struct(F.lit(kind).alias("kind"), found.alias("found"))
+    return met.select(*KEYS, F.array(side("u", F.col("up")), side("d", F.col("down")), side("o", F.coalesce("on", none))).alias("sides"))
+
+
 def resolved(points: DataFrame, index: BlockIndex, s: Settings, complete: bool = True, chain: bool = False) -> DataFrame:
-    """KEYS of each distinct point that has anchors: major (its commonest query chromosome), two_sided, n_kept (anchors on it), and what
+    """KEYS of each distinct point that has anchors (unless ``complete``, on both sides): major (its commonest query chromosome), two_sided, n_kept (anchors on it), and what
     follows from the longest collinear chain of these, if it is two-sided and the chain is long enough: on, up, down and, if asked for, chain.
     """
-    found = gathered(points, index, s, complete)
+    found = gathered(points, index, s) if complete else between(points, index, s)
     # a generator's output is computed once, whatever uses it
     each = found.select(*KEYS, F.explode(F.array(anchors_resolved(F.col("sides"), F.col("loc"), s.least_chain, chain))).alias("r"))
     return each.select(*KEYS, "r.*").where("major is not null")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.operators.blocks import CELL, PAIR, cell_of
-from anchorline.operators.pages import ANCHOR, DOWN
+from anchorline.operators.pages import ANCHOR, DOWN, UP
 
 
 def finder(paged: DataFrame) -> DataFrame:
@@ -23,21 +23,40 @@ def finder(paged: DataFrame) -> DataFrame:
     return paged.where("first_at <= last_at").select(*PAIR, cells.alias("_cell"), "kind", "page", "first_at", "last_at")
 
 
-def sides(points: DataFrame, found: DataFrame, tails: DataFrame | None, paged: DataFrame, k: int) -> DataFrame:
+def sides(points: DataFrame, found: DataFrame, tails: DataFrame, paged: DataFrame, k: int) -> DataFrame:
     """points (PAIR, loc, ...), a row for each side that has blocks: kind, before (blocks passed, in ranks) and found, the k nearest in rank order.
 
-    Without ``tails``, sides of points beyond the last block are left out: these have no blocks on their other side.
+    ``tails`` are the last pages of each side, which answer for points beyond the last block too.
     """
     met = points.withColumn("_cell", cell_of(F.col("loc"))).join(found, [*PAIR, "_cell"]).where("loc between first_at and last_at")
     met = met.select(*points.columns, "kind", "page")
-    if tails is not None:
-        met = met.unionByName(points.join(tails.select(*PAIR, "kind", "page", "last_at"), PAIR).where("loc > last_at").select(*points.columns, "kind", "page"))
+    met = met.unionByName(points.join(tails.select(*PAIR, "kind", "page", "last_at"), PAIR).where("loc > last_at").select(*points.columns, "kind", "page"))
     on = met.join(paged.select(*PAIR, "kind", "page", F.col("before").alias("_before"), "blocks"), [*PAIR, "kind", "page"])
-    down = F.col("kind") == DOWN
+    n, picked = _picked(F.col("kind") == DOWN, k)
+    return on.select(*points.columns, "kind", (F.col("_before") + n).alias("before"), picked.alias("found"))
+
+
+def _picked(down: Column, k: int) -> tuple[Column, Column]:
+    """Of a page's blocks how many the point has passed, and the k nearest on the page's side."""
     passed = lambda b: F.when(down, b["ref_start"] <= F.col("loc")).otherwise(b["ref_end"] < F.col("loc"))
     n = F.size(F.filter("blocks", passed))
-    picked: Column = F.when(down, F.slice("blocks", n + 1, F.lit(k))).otherwise(F.slice("blocks", F.greatest(n - k + 1, F.lit(1)), F.least(n, F.lit(k))))
-    return on.select(*points.columns, "kind", (F.col("_before") + n).alias("before"), picked.alias("found"))
+    return n, F.when(down, F.slice("blocks", n + 1, F.lit(k))).otherwise(F.slice("blocks", F.greatest(n - k + 1, F.lit(1)), F.least(n, F.lit(k))))
+
+
+def both_sides(points: DataFrame, found: DataFrame, paged: DataFrame, k: int) -> DataFrame:
+    """points (PAIR, loc, ...) that lie between blocks, one row each, with the k nearest blocks on either side as ``up`` and ``down``.
+
+    The pages are told for both sides before any blocks come, so that these are never grouped.
+    """
+    met = points.withColumn("_cell", cell_of(F.col("loc")))
+    for kind in (DOWN, UP):
+        told = found.where(F.col("kind") == kind).select(*PAIR, "_cell", F.col("page").alias(f"_{kind}"), "first_at", "last_at")
+        met = met.join(told, [*PAIR, "_cell"]).where("loc between first_at and last_at").drop("first_at", "last_at")
+    met = met.drop("_cell")
+    for kind, name in ((DOWN, "down"), (UP, "up")):
+        pages = paged.where(F.col("kind") == kind).select(*PAIR, F.col("page").alias(f"_{kind}"), "blocks")
+        met = met.join(pages, [*PAIR, f"_{kind}"]).withColumn(name, _picked(F.lit(kind == DOWN), k)[1]).drop("blocks", f"_{kind}")
+    return met
 
 
 def over(points: DataFrame, blocks: DataFrame) -> DataFrame:
