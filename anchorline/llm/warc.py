@@ -20,15 +20,18 @@ empty table gives no records; extra columns aren't carried.
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import hashlib
 import json
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from html.entities import name2codepoint
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +52,9 @@ REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 #: The tags that end a line: fixed values.
 LINE_TAGS = "br|p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|nav|title|body|pre|blockquote"
 CRLF = "\r\n"
+#: How a gzip member begins. Bytes of a file that a task reads records from, of payloads that it holds, and of one read.
+GZIP = b"\x1f\x8b\x08"
+RANGE_BYTES, BATCH_BYTES, _CHUNK = 1 << 26, 1 << 24, 1 << 20
 
 
 def _digest(text: Column) -> Column:
@@ -177,20 +183,89 @@ def write_warc(derived: DataFrame, path: str) -> DataFrame:
     return derived.select(*DERIVED_COLUMNS).mapInPandas(run, "path string, records long")
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and blocks of the records of an uncompressed WARC file."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)
+def parse_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and blocks of WARC records whose bytes come in chunks; one record is held at a time."""
+    source, held, at = iter(chunks), bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        piece = next(source, None)
+        if piece is None:
+            return False
+        del held[:at]
+        at = 0
+        held.extend(piece)
+        return True
+
+    while True:
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                if held[at:].strip(b"\r\n\0"):
+                    raise ValueError("a record is cut off")
+                return
+        lines = held[at:end].decode("utf-8", "replace").split(CRLF)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record begins with {lines[0][:20]!r}")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(head["content-length"])
-        if end + 4 + size > len(data):
+        size, begin = int(head["content-length"]), end + 4 - at
+        while len(held) - at < begin + size + 4:
+            if not more():
+                break
+        if len(held) - at < begin + size:
             raise ValueError("a record is cut off")
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        yield head, bytes(held[at + begin : at + begin + size])
+        at = min(at + begin + size + 4, len(held))
+
+
+def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and blocks of the records of an uncompressed WARC file."""
+    return parse_records([data])
+
+
+def _first_member(file: pa.NativeFile, start: int, stop: int) -> int | None:
+    """The first place from start on, before stop, where a gzip member begins with a WARC record."""
+    at, before = start, b""
+    while at < stop:
+        file.seek(at)
+        piece = file.read(min(_CHUNK, stop - at) + 2)
+        data, base = before + piece, at - len(before)
+        found = data.find(GZIP)
+        while found >= 0:
+            if base + found < stop:
+                file.seek(base + found)
+                with contextlib.suppress(zlib.error):
+                    if zlib.decompressobj(31).decompress(file.read(1 << 12), 5) == b"WARC/":
+                        return base + found
+            found = data.find(GZIP, found + 1)
+        at, before = at + len(piece) - 2 if len(piece) > 2 else stop, b""
+    return None
+
+
+def _inflated(file: pa.NativeFile, begin: int, stop: int) -> Iterator[bytes]:
+    """The bytes of all gzip members that begin from begin to before stop."""
+    file.seek(begin)
+    raw, member = b"", zlib.decompressobj(31)
+    while raw or (raw := file.read(_CHUNK)):
+        if out := member.decompress(raw, _CHUNK):
+            yield out
+        if member.eof:
+            raw, member = member.unused_data or file.read(_CHUNK), zlib.decompressobj(31)
+            if not raw.strip(b"\0") or file.tell() - len(raw) >= stop:
+                return
+        else:
+            raw = member.unconsumed_tail
+
+
+def _range_records(path: str, size: int, start: int, stop: int) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of the gzip members that begin in a range of a file; of a plain file the range at 0 has them all."""
+    where, inner = pafs.FileSystem.from_uri(path)
+    with where.open_input_file(inner) as file:
+        if file.read(2) == GZIP[:2]:
+            if (begin := 0 if start == 0 else _first_member(file, start, stop)) is not None:
+                yield from parse_records(_inflated(file, begin, stop))
+        elif start == 0:
+            file.seek(0)
+            yield from parse_records(iter(lambda: file.read(_CHUNK), b""))
 
 
 def _text(http: str, payload: bytes) -> str | None:
@@ -205,24 +280,37 @@ def _text(http: str, payload: bytes) -> str | None:
         return payload.decode("utf-8", "replace")
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files, plain or gzipped, in RESPONSE_COLUMNS with the payload's bytes, and SOURCE_COLUMNS; a file is one task's unit."""
+def read_responses(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Response records of WARC files, plain or gzipped, in RESPONSE_COLUMNS with the payload's bytes, and SOURCE_COLUMNS.
+
+    Files whose records are gzip members, as crawlers write them, are read in ranges; others, where no place is known to begin a record, in one
+    each.  A task holds BATCH_BYTES of payloads, and one record more.
+    """
+
+    def row(head: dict[str, str], block: bytes) -> tuple:
+        raw, _, payload = block.partition(b"\r\n\r\n")
+        http = raw.decode("utf-8", "replace") + CRLF
+        digests = (head.get(f"warc-{name}-digest") or "sha256:" + hashlib.sha256(x).hexdigest() for name, x in (("block", block), ("payload", payload)))
+        return (head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), head.get("content-type"), http, payload, *digests, _text(http, payload))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*RESPONSE_COLUMNS, *SOURCE_COLUMNS]
         for pdf in batches:
-            for content in pdf["content"]:
-                data = bytes(content)
-                rows = []
-                for head, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            for path, size, start in zip(pdf["path"], pdf["length"], pdf["start"], strict=True):
+                rows, held = [], 0
+                for head, block in _range_records(path, size, start, min(size, start + range_bytes)):
                     if head.get("warc-type") == "response":
-                        raw, _, payload = block.partition(b"\r\n\r\n")
-                        http = raw.decode("utf-8", "replace") + CRLF
-                        digests = (head.get(f"warc-{name}-digest") or "sha256:" + hashlib.sha256(x).hexdigest() for name, x in (("block", block), ("payload", payload)))
-                        rows.append((head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), head.get("content-type"), http, payload, *digests, _text(http, payload)))
-                yield pd.DataFrame(rows, columns=[*RESPONSE_COLUMNS, *SOURCE_COLUMNS])
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, ", ".join(f"{c} {'binary' if c == 'payload' else 'string'}" for c in (*RESPONSE_COLUMNS, *SOURCE_COLUMNS)))
+                        rows.append(row(head, block))
+                        held += len(block)
+                    if held >= BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=names)
+
+    # names and sizes only: no content is read here
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    ranges = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))).repartition("path", "start")
+    return ranges.mapInPandas(run, ", ".join(f"{c} {'binary' if c == 'payload' else 'string'}" for c in (*RESPONSE_COLUMNS, *SOURCE_COLUMNS)))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@ import gzip
 import hashlib
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from anchorline.llm import warc as W
@@ -77,6 +79,30 @@ def test_source_bytes_headers_and_digests_stay(spark, tmp_path):
         assert json.loads(head["warc-source-http-headers"]) == r.source_headers and head["warc-source-payload-digest"] == r.source_digest
 
 
+def test_files_are_read_in_ranges(spark, tmp_path):
+    import random
+
+    rnd = random.Random(6)
+    record = lambda k: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: %d\r\nContent-Length: %d\r\n\r\n" % (k, len(blocks[k])) + blocks[k] + b"\r\n\r\n"
+    # payloads with what looks like borders of records and of members
+    blocks = [b"HTTP/1.1 200 OK\r\n\r\n" + rnd.choice([b"WARC/1.1\r\n\r\n", W.GZIP, b""]) + rnd.randbytes(rnd.choice([0, 10, 3000])) for _ in range(120)]
+    members = [gzip.compress(record(k)) for k in range(len(blocks))]
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.warc.gz").write_bytes(b"".join(members[:70]))
+    (tmp_path / "many" / "b.warc.gz").write_bytes(b"".join(members[70:]) + bytes(300))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(map(record, range(120)))))
+    (tmp_path / "plain.warc").write_bytes(b"".join(map(record, range(120))))
+    want = [(str(k), b.partition(b"\r\n\r\n")[2]) for k, b in enumerate(blocks)]
+    for path, size in (("many", 700), ("many", 5000), ("many", 1 << 26), ("one.warc.gz", 900), ("plain.warc", 900)):
+        got = [(r.record_id, bytes(r.payload)) for r in W.read_responses(spark, str(tmp_path / path), size).collect()]
+        assert sorted(got, key=lambda x: int(x[0])) == want
+    (tmp_path / "cut.warc.gz").write_bytes(members[0] + members[1][:-20])
+    for path in ("cut.warc.gz",):
+        with pytest.raises(Exception, match="cut off"):
+            W.read_responses(spark, str(tmp_path / path)).collect()
+    assert [h["warc-record-id"] for h, _ in W.parse_records(record(3)[i : i + 1] for i in range(len(record(3))))] == ["3"]
+
+
 def test_references(spark):
     """Numeric and named references, each once; what isn't one stays."""
     cases = {"&mdash;&#8217;&eacute;&#x1F600;": "\u2014\u2019\u00e9\U0001f600", "&amp;lt;": "&lt;", "a & b &nosuch; &#0; &#xD800; &#99999999; &": "a & b &nosuch; &#0; &#xD800; &#99999999; &", "&#39;x&#X41;&apos;": "'xA'", "&nbsp;": " ", "": "", "no": "no"}
