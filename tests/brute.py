@@ -98,3 +98,25 @@ def route(blocks, genomes, ref, qry, chrom, loc, s: Settings):
                 for t in hop(blocks.get((a, b, c), []), at, genomes[a], s):
                     heapq.heappush(heap, (score * t[0], n + (b != qry), (*path, b), t[1], t[2]))
     return None
+
+
+def relax(by, genomes, ref, qry, chrom, loc, s):
+    """The best route by rounds of all open labels, a state keeping its best label: (score, intermediates, species, places), or None."""
+    key = lambda x: (-x[0], *x[1:])
+    labels = {(ref, chrom, loc): (1.0, 0, [ref], [])}
+    open_, arrived = dict(labels), []
+    for _ in genomes:
+        fresh = {}
+        for (sp, c, at), (score, n, through, places) in open_.items():
+            for to in genomes:
+                if to in through or (sp, to, c) not in by:
+                    continue
+                for x in hop(by[sp, to, c], at, genomes[sp], s):
+                    label = (score * x[0], n + (to != qry), [*through, to], [*places, (x[1], x[2])])
+                    if to == qry:
+                        arrived.append(label)
+                    elif (state := (to, x[1], x[2])) not in fresh or key(label) < key(fresh[state]):
+                        fresh[state] = label
+        open_ = {k: v for k, v in fresh.items() if k not in labels or key(v) < key(labels[k])}
+        labels |= open_
+    return min(arrived, key=lambda x: (-x[0], x[1], x[2], x[3][-1], x[3]), default=None)

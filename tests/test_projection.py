@@ -141,6 +141,30 @@ def test_routes(world, points):
     assert min(x for s in simple[1:] for x in (s.up_ref_start, s.down_ref_start)) >= 0
 
 
+def test_routes_with_places_and_paths(spark, points):
+    """Each route in whole: score, species, and the place in each, by exhaustive rounds. Chromosomes have other names in c and d, and b has c's blocks too, so that routes tie."""
+    name = lambda sp, chrom: f"{chrom}x" if sp in "cd" else chrom
+    rows = [(r[0], r[1], name(r[0], r[2]), r[3], name(r[1], r[4]), *r[5:]) for r in species_blocks(3) if "b" not in r[:2]]
+    twin = {"c": "b"}
+    rows += [(twin.get(r[0], r[0]), twin.get(r[1], r[1]), r[2].strip("x") if r[0] == "c" else r[2], r[3], r[4].strip("x") if r[1] == "c" else r[4], *r[5:]) for r in rows if "c" in r[:2]]
+    by = defaultdict(list)
+    for a, b, chrom, start, q, qs, n, rev in rows:
+        by[a, b, chrom].append((start, n, q, qs, rev))
+    engine = Engine(spark.createDataFrame(rows, SHAPE), spark.createDataFrame([*{**GENOMES, "b": GENOMES["c"]}.items()], "species string, genome_size long"))
+    got = {r.region_idx: r for r in engine.project(points[1], "a", "d").table.collect()}
+    changed = 0
+    for idx, _, chrom, _, _, loc in points[0]:
+        want = brute.relax(by, {**GENOMES, "b": GENOMES["c"]}, "a", "d", chrom, loc, S)
+        assert (want is None) == (idx not in got)
+        if want:
+            path = got[idx].path
+            assert got[idx].multi_score == pytest.approx(want[0], rel=1e-12) and got[idx].n_inter == want[1]
+            assert [n.species for n in path] == want[2] and [(n.chrom, n.loc) for n in path[1:]] == want[3]
+            assert (path[0].chrom, path[0].loc, path[0].up) == (chrom, loc, None) and all(n.up is not None and n.down is not None for n in path[1:])
+            changed += len({n.chrom for n in path}) > 1
+    assert changed > 0 and len(got) > 30 and any(r.bridging_species == "b" for r in got.values())
+
+
 def test_errors(world, points, spark):
     engine, _ = world
     for ref, qry in (("a", "a"), ("zz", "a"), ("a", "zz")):
