@@ -16,10 +16,10 @@ entries visited; the cheapest choice that finds TARGET of the neighbours is take
 cells grow in number with the table wherever the vectors have structure.
 
 Equal vectors are one entry of the index, with their smallest ids (as many as
-a result can show), so that a vector shared by many rows costs once.  The cells hold numbers of entries only; vectors
-are joined to the cells that both sides have.  A cell
-with more than ``CELL_ROWS`` entries, or queries, is dealt to several groups:
-every entry still meets every query of its cell.
+a result can show), so that a vector shared by many rows costs once.  The cells hold numbers of entries only.  A cell
+with more than ``CELL_ROWS`` entries, or queries, is dealt to several parts:
+every entry still meets every query of its cell.  Parts that both sides have are dealt to groups, and a vector
+goes to a group once, however many of its cells are there.
 
 Defined results: vectors that are null or zero or hold a null, NaN or infinite
 component neither ask nor answer, nor do rows without id; a repeated row counts once; an id
@@ -44,7 +44,8 @@ TABLES, SEED = 5, 7
 #: Choices of ``tuned``: numbers of hashes, cell widths and cells visited a table; the share of neighbours to be found in the sample.
 HASHES, WIDTHS, PROBES, TARGET = (2, 4, 6, 8, 12, 16), (0.75, 1.5, 3.0), (1, 2, 4, 8, 16, 32, 64, 96), 0.97
 SAMPLE_QUERIES, SAMPLE_ENTRIES = 32, 3_000
-CELL_ROWS = 20_000
+#: Entries, or queries, of a part of a cell; entries and queries with their cells of a group.
+CELL_ROWS, GROUP_ROWS = 20_000, 50_000
 
 
 def planes(dim: int, tables: int, hashes: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,18 +135,35 @@ def _exact(x: np.ndarray, q: np.ndarray, rep: np.ndarray, k: int) -> Iterator[tu
 
 
 def _best(k: int):
-    """Of a group's entries and queries: each query's k best entries, by exact cosine."""
+    """Of a group's entries and queries: for each cell that both are in, each query's k best entries there, by exact cosine."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         asks, rep, eid = (np.asarray(group.column(c)) for c in ("asks", "rep", "eid"))
         found: list[np.ndarray] = []
         if asks.any() and not asks.all():
+            cells = group.column("cells").chunk(0)
+            owner, cell = np.repeat(np.arange(len(asks)), np.diff(np.asarray(cells.offsets))), np.asarray(cells.flatten())
+            by = np.lexsort((owner, asks[owner], cell))
+            owner, cell = owner[by], cell[by]
+            place, kind = np.empty(len(asks), np.int64), np.empty(len(asks), np.int64)
+            vectors = []
             for rows, x in _matrix(group.column("embedding").chunk(0)).values():
-                q, c = rows[asks[rows]], rows[~asks[rows]]
-                for i, near, score in _exact(x[~asks[rows]], x[asks[rows]], rep[c], k):
-                    found.append(np.stack([np.full(len(near), eid[q[i]]), eid[c[near]], rep[c[near]], score.view(np.int64)]))
+                place[rows], kind[rows] = np.arange(len(rows)), len(vectors)
+                vectors.append(x)
+            cut = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                # a cell's number is made of the vectors' length too
+                mine = owner[lo:hi]
+                middle = int(np.searchsorted(asks[mine], True))
+                c, q = mine[:middle], mine[middle:]
+                if len(c) and len(q):
+                    x = vectors[kind[c[0]]]
+                    for i, near, score in _exact(x[place[c]], x[place[q]], rep[c], k):
+                        found.append(np.stack([np.full(len(near), eid[q[i]]), eid[c[near]], rep[c[near]], score.view(np.int64)]))
         out = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        once = np.unique(out[:2], axis=1, return_index=True)[1]
+        out = out[:, once]
         return pa.table({"q": out[0], "eid": out[1], "rep": out[2], "score": np.ascontiguousarray(out[3]).view(np.float64)})
 
     return run
@@ -193,19 +211,28 @@ def tuned(entries: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABL
             for t in range(tables):
                 v = (q @ a[t].T + shift[t]) / width
                 cell = np.floor(v)
-                costs = [np.array([sum(f[i] ** 2 if d < 0 else (1 - f[i]) ** 2 for i, d in s) for s in perturbations(f, PROBES[-1])]) for f in v - cell]
-
-                def turn(x: np.ndarray, i: int, v=v, cell=cell, costs=costs, t=t, a=a, shift=shift, width=width) -> np.ndarray:
-                    """After how many visited cells query i comes to the cell of each row of x."""
-                    step = np.floor((x @ a[t].T + shift[t]) / width) - cell[i]
-                    f = v[i] - cell[i]
-                    cost = np.where(step < 0, f**2, np.where(step > 0, (1 - f) ** 2, 0)).sum(1)
-                    return np.where(np.abs(step).max(1) > 1, np.inf, np.searchsorted(costs[i], cost - 1e-12) + 1)
-
+                f = v - cell
+                costs = [np.array([sum(g[i] ** 2 if d < 0 else (1 - g[i]) ** 2 for i, d in s) for s in perturbations(g, PROBES[-1])]) for g in f]
+
+                def turns(x: np.ndarray, asks: np.ndarray, f=f, cell=cell, costs=costs, t=t, a=a, shift=shift, width=width) -> np.ndarray:
+                    """After how many visited cells query asks[i] comes to the cell of x[i]; infinite if never."""
+                    step = np.floor((x @ a[t].T + shift[t]) / width) - cell[asks]
+                    cost = np.where(step < 0, f[asks] ** 2, np.where(step > 0, (1 - f[asks]) ** 2, 0)).sum(1)
+                    reached = np.abs(step).max(1) <= 1
+                    out = np.full(len(x), np.inf)
+                    for i in np.unique(asks[reached]):
+                        mine = reached & (asks == i)
+                        out[mine] = np.searchsorted(costs[i], cost[mine] - 1e-12) + 1
+                    return out
+
+                met = np.minimum(met, turns(near, of))
+                # all queries' distances in cells to the sample's cells, a query at a time only where they are near
+                here = np.floor((far @ a[t].T + shift[t]) / width)
                 for i in range(len(q)):
-                    seen[i] = np.minimum(seen[i], turn(far, i))
-                    mine = of == i
-                    met[mine] = np.minimum(met[mine], turn(near[mine], i))
+                    step = here - cell[i]
+                    close = np.flatnonzero(np.abs(step).max(1) <= 1)
+                    cost = np.where(step[close] < 0, f[i] ** 2, np.where(step[close] > 0, (1 - f[i]) ** 2, 0)).sum(1)
+                    seen[i, close] = np.minimum(seen[i, close], np.searchsorted(costs[i], cost - 1e-12) + 1)
             for probes in PROBES:
                 # a visited cell costs a row in the joins, a candidate a comparison
                 cost = (seen <= probes).mean() + 1e-4 * probes
@@ -238,13 +265,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TA
     parts = lambda df, name: df.groupBy("t", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(name))
     cells = parts(index, "pi").join(parts(visits, "pv"), ["t", "cell"])
 
+    groups = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(index.count() + visits.count()) // GROUP_ROWS))
+
     def dealt(df: DataFrame, of: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
         mine, all_of = F.pmod(F.xxhash64("eid"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        placed = df.join(cells, ["t", "cell"]).withColumn(f"g_{own}", mine).withColumn(f"g_{other}", all_of).drop("pi", "pv")
-        return placed.join(of.select("eid", "rep", "embedding"), "eid").select("t", "cell", "g_pi", "g_pv", F.lit(asks).alias("asks"), "eid", "rep", "embedding")
+        placed = df.join(cells, ["t", "cell"]).withColumn(f"g_{own}", mine).withColumn(f"g_{other}", all_of)
+        placed = placed.select("eid", F.xxhash64("t", "cell", "g_pi", "g_pv").alias("cell")).withColumn("g", F.pmod(F.xxhash64("cell", F.lit(5)), F.lit(groups)))
+        # a vector goes to a group once, with all its cells there
+        placed = placed.groupBy("g", "eid").agg(F.collect_list("cell").alias("cells"))
+        return placed.join(of.select("eid", "rep", "embedding"), "eid").select("g", F.lit(asks).alias("asks"), "eid", "cells", "rep", "embedding")
 
     met = dealt(index, entries, "pi", "pv", False).unionByName(dealt(visits, unique, "pv", "pi", True))
-    found = met.groupBy("t", "cell", "g_pi", "g_pv").applyInArrow(_best(most), "q long, eid long, rep long, score double")
+    found = met.groupBy("g").applyInArrow(_best(most), "q long, eid long, rep long, score double")
     merged = found.groupBy("q", "eid").agg(F.max("score").alias("score"), F.first("rep").alias("rep"))
     listed = _top(merged, "q", most, "rep").join(entries.select("eid", "ids"), "eid").select("q", "score", F.explode("ids").alias("vec_id"))
     answers = asked.join(listed, "q").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
