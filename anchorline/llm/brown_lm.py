@@ -25,7 +25,8 @@ size: the FREQUENT words and SUFFIXES endings whose bigrams the exchange itself
 sees, and the number of classes.
 
 Words are compared by 64-bit hash.  Defined results: a null or empty text is its
-end alone; repeated rows count and score as often as they occur; with nothing to
+end alone; repeated rows count and score as often as they occur; a very long text is
+counted and scored whole, in chunks; with nothing to
 learn from, all words are unseen; an empty table gives an empty result.
 """
 

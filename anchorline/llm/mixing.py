@@ -20,7 +20,7 @@ disturb the others; a null source is a source of its own, last in order; m rows
 that agree in doc_id, source and text are one unit, of which the whole part of
 m times the fractional probability is certain too, one copy each for so many of its rows, and
 only what is left of a single copy enters the tree, so that the target is missed by one row
-at most; an empty table gives an empty result; other columns aren't touched.
+at most; a very long text is one row of its size, read in its own task; an empty table gives an empty result; other columns aren't touched.
 """
 
 from __future__ import annotations

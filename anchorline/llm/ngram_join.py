@@ -28,7 +28,8 @@ Links join documents whose shingle sets have a Jaccard similarity of
 
 Defined results: null, empty and blank texts have no shingles, no links, and are
 their own component; a text of fewer words than a shingle is one shingle; ties
-don't matter; a null id can be in a component but never names it.
+don't matter; a null id can be in a component but never names it; a very long text is one set, held by
+one task at a time; an empty table gives an empty result; further columns play no part.
 """
 
 from __future__ import annotations

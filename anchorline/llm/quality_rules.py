@@ -4,7 +4,8 @@
 them; ``compile_rules`` turns both into plain columns, so that the whole verdict
 is one projection without shuffle, join or user function.
 
-Defined results: a null or blank text has no words and fails the base rule;
+Defined results: a null or blank text has no words and fails the base rule; a very long text is judged
+whole, in memory in proportion to itself; an empty table gives an empty result;
 repeated rows are judged alike; extra columns are kept unless they bear the
 name of a result column, which then replaces them.
 """

@@ -13,7 +13,7 @@ source, size and checksum are shuffled, never the texts.
 
 Law: rows.  Defined results: a null text has size 8 and the checksum of no bytes;
 a null source is a source of its own; rows alike in all of this are
-interchangeable; an empty table gives an empty result.
+interchangeable; a very long text is one row, placed like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations

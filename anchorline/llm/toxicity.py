@@ -13,7 +13,9 @@ probability; it is fitted on rows that the dictionaries haven't seen.
 Fitted on at most SAMPLE_ROWS labelled rows; the dictionaries' sizes are bounded;
 scoring is one pass over whole texts, in batches of windows, without a shuffle.
 
-Defined results: null and empty texts get the score of a text without windows;
+Defined results: null and empty texts get the score of a text without windows; equal texts get equal
+scores, however often they occur; a very long text is scored by all of its windows, a batch of them at a time;
+an empty table gives an empty result;
 with no labels, or labels of one kind only, all texts get that kind's smoothed
 share; extra columns aren't touched.
 """

@@ -14,8 +14,8 @@ All of this but the file codec is DataFrame expressions in one projection.
 
 Defined results: a null url gives a null target; null or empty html gives an empty payload, no
 conversion record and still a metadata record; a null page id
-counts as an empty one; repeated pages give repeated records with equal ids; an
-empty table gives no records; extra columns aren't carried.
+counts as an empty one; repeated pages give repeated records with equal ids; a very
+long page is one record, whole; an empty table gives no records; extra columns aren't carried.
 """
 
 from __future__ import annotations

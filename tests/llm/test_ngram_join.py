@@ -149,3 +149,12 @@ def test_connected(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
+
+
+def test_columns_with_clashing_names(spark):
+    """Columns named like those of the search, and a map, keep their values; equal rows are one."""
+    rows = [(i % 40, f"some words of text number {i % 40} and more of them to tell {i % 40}", i % 40, "x", {"k": i % 40}) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __join_id int, first string, row map<string, int>")
+    got = J.without_near_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r["__join_id"], r["first"], r["row"]["k"]) for r in got.collect()) == [(i, i, "x", i) for i in range(40)]

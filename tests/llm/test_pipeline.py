@@ -1,6 +1,7 @@
 """The stages on a small corpus, each against a brute-force version of what it decides."""
 
 import random
+from collections import Counter
 
 import pytest
 import sentencepiece as spm
@@ -50,6 +51,8 @@ def test_stages(spark, folder):
             assert {r.doc_id for r in after} == {r.doc_id for r in before if r.text and "|" not in r.text}
         if name == "quality_classifier":
             assert len(after) >= 0.98 * len(before)
+            good = {r.doc_id for r in C.quality_classifier.quality_scores(spark.createDataFrame(before, docs.schema).select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")).collect() if r.predicted == 1}
+            assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before if r.doc_id in good)
         if name == "ngram_join":
             sets = [(r.doc_id, shingles(r.text, 5)) for r in after]
             assert len({d for d, _ in sets}) == len(sets)
@@ -58,6 +61,26 @@ def test_stages(spark, folder):
             assert {r.doc_id for r in before} - {d for d, _ in sets} <= {*range(300, 308), 400, 5}
         if name == "mixing":
             assert set(map(tuple, after)) <= set(map(tuple, before))
+            # each source's words come within a row of its target, and no row is there more often than its cap allows
+            words = lambda r: len((r.text or "").split())
+            given = Counter()
+            for r in before:
+                given[r.source] += words(r)
+            order = sorted(given, key=lambda s: (s is None, s or ""))
+            want, open_, left = {}, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, float(sum(given.values()))
+            while open_:
+                over = [s for s in open_ if left * open_[s] / sum(open_.values()) > 3 * given[s] + 1e-9]
+                if not over:
+                    want |= {s: left * w / sum(open_.values()) for s, w in open_.items()}
+                    break
+                for s in over:
+                    want[s] = 3.0 * given[s]
+                    del open_[s]
+                left = sum(given.values()) - sum(want.values())
+            for s in order:
+                assert abs(sum(words(r) for r in after if r.source == s) - want[s]) <= max(words(r) for r in before if r.source == s)
+            rows = Counter(map(tuple, before))
+            assert all(n <= 3 * rows[r] for r, n in Counter(map(tuple, after)).items())
         if name == "sentencepiece":
             lib = spm.SentencePieceProcessor(model_file=S.piece_model())
             text = {r.doc_id: r.text for r in before}
