@@ -45,6 +45,8 @@ ORACLE_SQL = {
     "species_list": "select case when s_suppkey % 4 = 1 then cast(s_suppkey as varchar) else 'asm' || s_suppkey end as species from supplier where s_suppkey % 4 <> 0",
     "chain_blocks": f"with {_CHAIN} select * from cb",
     "chain_tbl": f"with {_CHAIN} select ref_chrom, ref_start, ref_start + length - 1 as ref_end, qry_chrom, qry_start, case when qry_rev then qry_start - length + 1 else qry_start + length - 1 end as qry_end from cb",
+    "tbl_blocks": f"with {_CHAIN} select distinct 'sp0' as ref_sp, 'sp1' as qry_sp, ref_chrom, ref_start, qry_chrom, qry_start, length, qry_start > case when qry_rev then qry_start - length + 1 else qry_start + length - 1 end as qry_rev from cb",
+    "collected_blocks": f"""with {_CHAIN.replace("f as (select *,", "f as (select c.*, o_custkey % 2 as odd,").replace("from c window", "from c join orders on o_orderkey = l_orderkey window").replace("cb as (select distinct", "cb as (select distinct 'sp' || odd as ref_sp, 'sp' || (1 - odd) as qry_sp,")} select * from cb""",
     "axt_blocks": f"with {_AXT} select distinct ref_chrom, cast(r0 as bigint) as ref_start, qry_chrom, cast(case when qry_rev then 80000000 - q0 - 1 else q0 end as bigint) as qry_start, cast(w as int) as length, qry_rev from ax",
     "axt_tbl": f"""with {_AXT}, e as (select l_orderkey, ref_chrom, qry_chrom, qry_rev, l_orderkey * 100 + 1 as a, max(r0 + w) as b, l_orderkey * 90 + 1 as s, max(q0 + w) as t from ax group by all)
       select ref_chrom, cast(a as bigint) as ref_start, cast(b as bigint) as ref_end, qry_chrom, cast(case when qry_rev then 80000000 - s else s end as bigint) as qry_start, cast(case when qry_rev then 80000000 - t else t end as bigint) as qry_end from e""",
@@ -82,3 +84,4 @@ ORACLE_SQL = {
 _HOPS = f"with {_RANKS}, {_R}, {_T}, {_G}, {O.LOOKUP}"
 ORACLE_SQL |= {name: f"{_HOPS}, {O.DIRECT} {sql}" for name, sql in O.OF_DIRECT.items()}
 ORACLE_SQL |= {name: f"{_HOPS}, {O.ROUTES} {sql}" for name, sql in O.OF_ROUTES.items()}
+ORACLE_SQL["half_life_direct"] = f"{_HOPS}, {O.DIRECT.replace('/ 10000.0::double', '/ 5000.0::double')} select region_idx, floor(score * 1000) / 1000 as score_direct from direct where place = 0"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,9 @@ from anchorline.plans import fixture as X
 from anchorline.sources import axt as A
 from anchorline.sources import collection as C
 from anchorline.sources import text as T
-from anchorline.sources.sinks import formatted
+from anchorline.sources.collecting import collect, stored_blocks
+from anchorline.sources.ordered import write_lines
+from anchorline.sources.sinks import formatted, write_tbl
 from anchorline.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +124,27 @@ def chain_tbl(spark, d):
     return T.tbl_rows(B.with_ends(T.parse_chains(_chains(spark, d)).dropDuplicates()))
 
 
+@query
+def tbl_blocks(spark, d):
+    """The blocks of the chains, written as one block table and read from it."""
+    path = f"{shared_dir(spark)}/anchorline/tbl-{uuid.uuid4().hex}/sp0.sp1.tbl"
+    write_tbl(chain_tbl(spark, d), path)
+    return T.read_tbl(spark, [path]).drop_duplicates()
+
+
+@query
+def collected_blocks(spark, d):
+    """Chain files of two pairs of species (the orders of even and of odd customers), collected into a block table."""
+    at = f"{shared_dir(spark)}/anchorline/collect-{uuid.uuid4().hex}"
+    chains = _chains(spark, d).join(X.view(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 2).alias("odd")), "l_orderkey")
+    for n, (ref, qry) in enumerate((("sp0", "sp1"), ("sp1", "sp0"))):
+        own = chains.where(F.col("odd") == n).orderBy("l_orderkey").select(F.concat(F.lit("chain "), "chain").alias("line"))
+        write_lines(own, f"{at}/{ref}.{qry}.all.pre.chain")
+        write_lines(spark.range(1).select(F.lit("chr1"), F.lit("1000")), f"{at}/{ref}.sizes")
+    collect(spark, at, at, ["sp0", "sp1"], f"{at}/table")
+    return stored_blocks(spark, f"{at}/table")
+
+
 def _axt(spark, d):
     """Each order as an axt record of its lines, with gaps on both sides between them; even suppliers on the reverse strand."""
     line = F.struct(F.col("l_linenumber").alias("n"), (F.col("l_quantity").cast("int") + 1).alias("w"), (F.col("l_partkey") % 50 + 1).cast("int").alias("dt"), (F.col("l_suppkey") % 30).cast("int").alias("dq"))
@@ -344,6 +368,15 @@ def bridging(spark, d):
     return projection(spark, d).table.select("region_idx", "bridging_species")
 
 
+@query
+def half_life_direct(spark, d):
+    """Direct scores where a score halves in half of the usual distance."""
+    settings, points = replace(SET, half_life=SET.half_life // 2), hop_points(spark, d)
+    e = engine(spark, d)
+    found = points.join(H.hops(points, e.index.of([REF], [QRY]), e.genomes, settings), H.KEYS)
+    return found.where("place = 0").select("region_idx", S.floor3(F.col("score")).alias("score_direct"))
+
+
 @query
 def path_table(spark, d):
     return projection(spark, d).explain_paths().withColumn("score", S.floor3(F.col("score")))
