@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from anchorline.llm import brown_lm as B
-from anchorline.llm.common import crc_mod
+from anchorline.llm.common import crc_mod, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -147,3 +147,40 @@ def test_better_than_unigrams(spark):
 
 def test_empty(nothing):
     assert B.lm_scores(nothing, F.lit(False)).count() == 0
+
+
+def test_scores_against_brute_force(spark, messy_rows):
+    """Transitions counted and smoothed, emissions and sums by plain Python, from the words' classes alone."""
+    rows = [(i, r[1]) for i, r in enumerate(messy_rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    m = B.train(docs)
+    class_of = {r.h: r.g - (B.TYPES - B.FREQUENT) for r in m["counts"].collect()}
+    count = Counter(w for _, t in rows for w in tokens(t))
+    hashed = {}
+    for w in count:
+        data = np.frombuffer(w.encode(), np.uint8)
+        hashed[w] = int(word_hashes(data, np.array([0, len(data)]), lower=True)[0].view(np.int64)[0])
+    assert set(hashed.values()) == set(class_of) and len(set(class_of.values())) > 3
+    end = int(m["of"][B.END])
+    texts = {d: [class_of[hashed[w]] for w in tokens(t)] + [end] for d, t in rows}
+    assert all(end not in c[:-1] for c in texts.values())
+    big = np.zeros((B.CLASSES, B.CLASSES))
+    for c in texts.values():
+        for a, b in zip([end, *c], c):
+            big[a, b] += 1
+    prior = (big.sum(0) + 1) / (big.sum() + B.CLASSES)
+    in_class, distinct = Counter(), Counter()
+    for w, n in count.items():
+        in_class[class_of[hashed[w]]] += n
+        distinct[class_of[hashed[w]]] += 1
+    # classes that have endings have a place for a word that training never saw
+    unseen = {int(c) for c in m["of"][B.FREQUENT : B.END]}
+    for r in B.perplexity(docs, m, ["doc_id"]).collect():
+        want, before = 0.0, end
+        for c in texts[r.doc_id]:
+            want += math.log10((big[before, c] + B.PULL * prior[c]) / (big[before].sum() + B.PULL))
+            before = c
+        for w in tokens(dict(rows)[r.doc_id]):
+            c = class_of[hashed[w]]
+            want += math.log10((count[w] + 0.1) / (in_class[c] + 0.1 * (distinct[c] + (c in unseen))))
+        assert r.score == pytest.approx(want, rel=1e-9, abs=1e-9)
