@@ -6,7 +6,7 @@ import pytest
 from anchorline.llm import labelled as L
 from anchorline.llm import quality_classifier as Q
 from anchorline.llm import toxicity as T
-from anchorline.llm.common import crc_mod
+from anchorline.llm.common import crc_mod, word_hashes
 from tests.llm.conftest import prose
 
 BAD = ["idiotic", "wretched", "moronish", "scumlike"]
@@ -108,3 +108,75 @@ def test_network_learns():
     y = (x[:, 0] * x[:, 1] > 0).astype(float)
     net = L.train_network(x[:500], y[:500], epochs=150)
     assert auc(L.apply_network(net, x[500:]), y[500:]) > 0.9
+
+
+def test_quality_scores_against_brute_force(corpus, messy):
+    """Words, their entries, pooling and the network by plain Python, from the fitted vectors and weights alone."""
+    import math
+    import re
+    from bisect import bisect_right
+
+    from pyspark.sql import functions as F
+
+    docs, labels, _ = corpus
+    m = Q.fit(docs, labels, "quality", F.lit(True))
+    known = {int(h): i for i, h in enumerate(m["known"])}
+    vectors = m["vectors"].astype(float).tolist()
+
+    def entry(word: bytes) -> int:
+        data = np.frombuffer(word, np.uint8)
+        h = int(word_hashes(data, np.array([0, len(data)]), lower=False)[0][0])
+        kind = 0
+        for b in word:
+            kind |= 1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 4 if 48 <= b <= 57 else 16 if b in b"#*$%&|<>" else 32 if b >= 128 else 8
+        return known.get(h, len(known) + kind * 4 + bisect_right([4, 8, 14], len(word)))
+
+    def brute(text: str | None) -> tuple[list[float], float]:
+        es = [entry(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
+        n, d = len(es), Q.DIM
+        x = [sum(vectors[e][k] for e in es) / max(n, 1) for k in range(d)]
+        x += [d * sum(vectors[a][k] * vectors[b][k] for a, b in zip(es, es[1:])) / max(n, 1) for k in range(d)] + [math.log1p(n)]
+        a, b, c, e = m["net"]["layers"]
+        z = [(v - mean) / scale for v, mean, scale in zip(x, m["net"]["mean"], m["net"]["scale"])]
+        hidden = [math.tanh(sum(z[i] * a[i][j] for i in range(len(z))) + b[j]) for j in range(len(b))]
+        t = (sum(h * w for h, w in zip(hidden, c)) + e[0]) / m["net"]["temperature"]
+        return x, 1 / (1 + math.exp(-max(-30.0, min(30.0, t))))
+
+    rows = Q.score(messy, m).collect()
+    assert len(rows) == messy.count()
+    for r in rows:
+        if len(r.text or "") < 5000:
+            pooled, want = brute(r.text)
+            data = np.frombuffer((r.text or "").encode(), np.uint8)
+            assert np.allclose(Q._pool(m["known"], m["vectors"], data, np.array([0, len(data)]))[0], pooled, atol=1e-4)
+            assert r["score"] == pytest.approx(want, abs=2e-4)
+
+
+def test_toxicity_scores_against_brute_force(corpus, messy):
+    """Each window compressed by itself with both dictionaries, features and calibration by plain Python."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    docs, labels, _ = corpus
+    m = T.fit(docs, labels, "toxic", F.lit(True))
+    ordinary, toxic = T.compressor(f" {m['ordinary']} "), T.compressor(f" {m['ordinary']} {m['toxic']} ")
+    assert any(w in m["toxic"].split() for w in BAD)
+
+    def brute(text: str | None) -> float:
+        words = "".join(c if c.isalnum() or c == "_" else " " for c in (text or "").lower()).split()
+        gains = []
+        for k in range(0, len(words), 8):
+            window = f" {' '.join(words[k : k + 8])} ".encode()
+            gains.append(len(ordinary.compress(window)) - len(toxic.compress(window)))
+        gains.sort(reverse=True)
+        many = [sum(g >= s for g in gains) for s in (2, 3, 4, 5, 6, 7, 9)]
+        x = [gains[0] if gains else 0, sum(gains[:3]), math.log1p(len(gains)), *[c / math.sqrt(len(gains) + 1) for c in many], *[math.log1p(c) for c in many]]
+        w, mean, scale = m["calibration"]
+        t = sum((v - a) / b * k for v, a, b, k in zip(x, mean, scale, w)) + w[-1]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, t))))
+
+    rows = T.score(messy, m).collect()
+    assert len(rows) == messy.count()
+    for r in rows:
+        assert r["score"] == pytest.approx(brute(r.text), abs=1e-9)
