@@ -6,6 +6,7 @@ import contextlib
 import signal
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -81,12 +82,24 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written by ``materialize`` within are deleted at the end: for callers that have written their result by then."""
+    """Tables written by ``materialize`` within are deleted at the end: for callers that have written their result by then.
+
+    After an error, tasks that are being stopped may write a little longer: the tables are deleted until they stay away.
+    """
     _written.append([])
     try:
         yield
-    finally:
-        delete(spark, _written.pop())
+    except BaseException:
+        paths, quiet = _written.pop(), 0
+        for _ in range(80):
+            left = [p for p in paths if exists(spark, p)]
+            delete(spark, left)
+            quiet = 0 if left else quiet + 1
+            if quiet > 6:
+                break
+            time.sleep(0.25)
+        raise
+    delete(spark, _written.pop())
 
 
 @contextlib.contextmanager

@@ -3,6 +3,7 @@
 import os
 import signal
 import threading
+import time
 
 import pandas as pd
 import pytest
@@ -261,12 +262,24 @@ def test_a_signal_ends_the_command_and_leaves_nothing(spark, tmp_path):
     shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     before = set(os.listdir(f"{shared}/anchorline")) if os.path.isdir(f"{shared}/anchorline") else set()
     handler = signal.getsignal(signal.SIGTERM)
-    timer = threading.Timer(6, os.kill, (os.getpid(), signal.SIGTERM))
+
+    def when_routes_are_searched():
+        for _ in range(2400):
+            if os.path.isdir(f"{shared}/anchorline") and any(x.startswith("route-moved") for x in set(os.listdir(f"{shared}/anchorline")) - before):
+                break
+            time.sleep(0.05)
+        os.kill(os.getpid(), signal.SIGTERM)
+
+    timer = threading.Thread(target=when_routes_are_searched)
     timer.start()
     with pytest.raises(KeyboardInterrupt, match="signal"):
         main([str(tmp_path / "r.bed"), "a", "d", str(tmp_path / "c.bin"), "-q", "-o", str(tmp_path / "out")])
     timer.join()
     assert signal.getsignal(signal.SIGTERM) is handler
+    for _ in range(100):
+        if not spark.sparkContext.statusTracker().getActiveJobsIds():
+            break
+        time.sleep(0.1)
     assert not spark.sparkContext.statusTracker().getActiveJobsIds() and not spark.getTags()
     assert not (tmp_path / "out").exists() and set(os.listdir(f"{shared}/anchorline")) == before
     assert spark.range(10).count() == 10
