@@ -3,10 +3,10 @@
 Training counts every word of the training texts.  The FREQUENT commonest words are types of
 their own, all other words are first grouped by their ending into SUFFIXES types; exchange clustering moves
 one type at a time to the class that gains most mutual information of
-neighbouring classes, until a sweep moves little.  Then every other word of the
-training texts goes, by the same gain, to the class that its own neighbours' classes
-choose (one shuffle brings a word's neighbours together), and the transitions are
-counted anew with the classes of all words.  Only words that training never saw keep
+neighbouring classes, until a sweep moves little.  Then every other word that the
+training texts have LEAST times goes, by the same gain, to the class that its own neighbours' classes
+choose (one shuffle brings a word's neighbours together), in REST_SWEEPS sweeps between which the class bigrams
+are counted anew, and the transitions are counted with the classes of all words.  Rarer and unseen words keep
 the class of their ending.  A text's probability is the
 product, over its words and its end, of the smoothed transition from the class
 before and the smoothed emission of the word in its class:
@@ -22,7 +22,7 @@ of all tokens, are broadcast (their number is a parameter) and settled where
 the text is; each text's other words, with their places, meet the table in one
 shuffle join, which has no hot key since the hot words aren't in it.  Bounded at every
 size: the FREQUENT words and SUFFIXES endings whose bigrams the exchange itself
-sees, and the number of classes.
+sees, the CONTEXT words with a class of their own in a neighbour's place, and the number of classes.
 
 Words are compared by 64-bit hash.  Defined results: a null or empty text is its
 end alone; repeated rows count and score as often as they occur; a very long text is
@@ -36,6 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,10 @@ from anchorline.llm.common import chunks, crc_mod, fmix, materialize, table, tex
 
 FREQUENT, SUFFIXES, CLASSES, HOT = 2_048, 192, 48, 1 << 17
 DELTA, PULL, SWEEPS = 0.1, 20.0, 6
+#: Sweeps over all words that the exchange didn't have as types, and how often training must have a word for it to move: a single place in the texts
+#: would choose the class by the very transitions that it is then scored by.  From the second sweep on, the CONTEXT commonest words stand in a
+#: neighbour's place with the class of the sweep before, other words with that of their ending.
+REST_SWEEPS, LEAST, CONTEXT = 2, 2, 1 << 17
 END = FREQUENT + SUFFIXES
 TYPES = END + 1
 #: Types from TYPES on: a word in the class of that number.  Codes of a word's neighbours: the class after, the class before, the word itself after.
@@ -131,6 +136,23 @@ def _bigrams(hot: HotWords) -> Callable:
     return run
 
 
+def _class_bigrams(texts: DataFrame, hot: Broadcast, of: np.ndarray) -> np.ndarray:
+    """How often each class follows each, with the classes that ``hot`` has for its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for *_, h, per, g in _each_chunk(batches):
+            c = of[_with_ends(hot.value.find(h, g)[2], per)[0]]
+            total += np.bincount(np.r_[of[END], c[:-1]] * CLASSES + c, minlength=len(total))
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "c"])
+
+    cells = texts.mapInArrow(run, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    big = np.zeros(CLASSES * CLASSES)
+    big[cells["cell"].to_numpy()] = cells["c"].to_numpy()
+    return big.reshape(CLASSES, CLASSES)
+
+
 def _neighbours(hot: HotWords, of: np.ndarray) -> Callable:
     """Of each word that isn't frequent: its class and, packed, how often each code is beside it."""
 
@@ -228,7 +250,8 @@ def _assign(big: np.ndarray) -> Callable:
         n = np.bincount(at, (packed & np.uint32(0xFFFFFF)).astype(float)).astype(np.int64)
         word, code = key // CODES, key % CODES
         count = np.bincount(word, np.where((code < BEFORE) | (code == SELF), n, 0), int(new.sum())).astype(np.int64)
-        of = best_classes(big, word, code, n, a[new].astype(np.int64))
+        now = a[new].astype(np.int64)
+        of = np.where(count >= LEAST, best_classes(big, word, code, n, now), now)
         return pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array((TYPES - FREQUENT + of).astype(np.int32)), pa.array(count)], ["h", "g", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,8 +327,8 @@ def _words(docs: DataFrame) -> dict:
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     n_docs = docs.count()
     seen = materialize(texts.mapInArrow(_count, "h long, g int, c long").groupBy("h").agg(F.first("g").alias("g"), F.sum("c").alias("c")), "lm-counts")
-    common = lambda df: df.orderBy(F.desc("c"), "h").limit(HOT).toArrow()
-    top = common(seen)
+    common = lambda df, n: df.orderBy(F.desc("c"), "h").limit(n).toArrow()
+    top = common(seen, CONTEXT)
     hot = HotWords(top["h"].to_numpy(), top["c"].to_numpy())
     shared = spark.sparkContext.broadcast(hot)
     cells = texts.mapInArrow(lambda batches: _bigrams(shared.value)(batches), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
@@ -317,13 +340,19 @@ def _words(docs: DataFrame) -> dict:
     one[np.arange(TYPES), of] = 1
     big = one.T @ n @ one
 
-    near = texts.mapInArrow(lambda batches: _neighbours(shared.value, of)(batches), "h long, a int, near binary")
-    rare = near.repartition("h").sortWithinPartitions("h").mapInArrow(_assign(big), "h long, g int, c long")
     place = np.flatnonzero(hot.kind >= 0)
     frequent = [(h, TYPES - FREQUENT + int(of[k]), c) for h, k, c in zip(hot.h[place].view(np.int64).tolist(), hot.kind[place].tolist(), hot.c[place].tolist(), strict=True)]
-    counts = materialize(rare.unionByName(spark.createDataFrame(frequent, "h long, g int, c long").coalesce(1)), "lm-words")
-    top = common(counts)
-    of = np.r_[of, np.arange(CLASSES)]
+    settled = spark.createDataFrame(frequent, "h long, g int, c long").coalesce(1)
+    for sweep in range(REST_SWEEPS):
+        if sweep:
+            top = common(counts, CONTEXT)
+            shared = spark.sparkContext.broadcast(HotWords(*(top[x].to_numpy() for x in "hc"), FREQUENT + top["g"].to_numpy().astype(np.int64)))
+            big = _class_bigrams(texts, shared, of)
+        near = texts.mapInArrow(lambda batches, shared=shared, of=of: _neighbours(shared.value, of)(batches), "h long, a int, near binary")
+        rare = near.repartition("h").sortWithinPartitions("h").mapInArrow(_assign(big), "h long, g int, c long")
+        counts = materialize(rare.unionByName(settled), "lm-words")
+        of = np.r_[of[:TYPES], np.arange(CLASSES)]
+    top = common(counts, HOT)
     hot = HotWords(top["h"].to_numpy(), top["c"].to_numpy(), FREQUENT + top["g"].to_numpy().astype(np.int64))
 
     per_g = counts.groupBy("g").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toArrow()

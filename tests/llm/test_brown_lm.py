@@ -112,6 +112,22 @@ def test_rare_words_go_by_their_neighbours(spark):
     assert sum((found["left"] & found["right"]).values()) < 0.05 * 300, found
 
 
+def test_words_seen_once_keep_their_endings_class(spark, monkeypatch):
+    """In every sweep, also where no word but the frequent ones stands in a neighbour's place with a class of its own."""
+    rng = np.random.default_rng(5)
+    rows = [(" ".join([*(f"f{rng.integers(40)}" for _ in range(20)), f"once{k}{'abcde'[k % 5]}", *(f"f{rng.integers(40)}" for _ in range(5)), f"more{k % 50}x"]),) for k in range(2500)]
+    for context in (B.CONTEXT, B.FREQUENT):
+        monkeypatch.setattr(B, "CONTEXT", context)
+        m = B.train(spark.createDataFrame(rows, "text string"))
+        frequent = set(m["hot"].h.view(np.int64)[m["hot"].kind < B.FREQUENT].tolist())
+        once = [r for r in m["counts"].collect() if r.c == 1 and r.h not in frequent]
+        assert len(once) > 500
+        text = np.frombuffer(" ".join(f"once{k}{'abcde'[k % 5]}" for k in range(2500)).encode(), np.uint8)
+        h, _per, start, length = word_hashes(text, np.array([0, len(text)]), lower=True)
+        ending = dict(zip(h.view(np.int64).tolist(), B._suffix(text, start, length).tolist()))
+        assert all(r.g - (B.TYPES - B.FREQUENT) == m["of"][B.FREQUENT + ending[r.h]] for r in once)
+
+
 def test_gain_is_the_exchanges(spark):
     """One word's class by sparse neighbours is the class that raises the information of all class bigrams most."""
     rng = np.random.default_rng(4)
