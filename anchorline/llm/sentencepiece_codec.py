@@ -35,10 +35,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from anchorline.llm.common import table
+from anchorline.llm.common import Places, table
 
 MARK = "▁"
-_NONE = np.int64(1 << 40)
+_NONE = np.int32(1 << 30)
+#: Odd: it spreads the numbers of two pieces over all bits, and no two pairs alike.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Characters of segments that a worker remembers (in either generation), symbols that one run of merge rounds takes, and characters of the texts that learn together.
 REMEMBERED, BATCH_SYMBOLS, BATCH_TEXT = 2_000_000, 400_000, 1_000_000
 #: Segments above CUT characters are cut at borders; those above LONG go to the agenda after LONG_ROUNDS rounds.
@@ -69,7 +71,8 @@ class PieceCodec:
             raise ValueError("pieces with inner space marks, user-defined or unused pieces aren't supported")
         ids = {p: i for i, p, _ in pieces}
         place = {score: r for r, score in enumerate(sorted({score for *_, score in pieces}, reverse=True))}
-        self.rank = np.full(len(model.pieces), _NONE, np.int64)
+        # the last one is that of no piece (-1)
+        self.rank = np.full(len(model.pieces) + 1, _NONE, np.int32)
         for i, p, score in pieces:
             if len(p) > 1:
                 self.rank[i] = place[score]
@@ -78,7 +81,8 @@ class PieceCodec:
         self.text_of = [p.piece.replace(MARK, " ").encode() if p.type == 1 else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" for p in model.pieces]
         self.starts_marked = [p.type == 1 and p.piece.startswith(MARK) for p in model.pieces]
         self.single = {p: i for p, i in ids.items() if len(p) == 1}
-        self.id_of_char = np.full(0x110000, -1, np.int64)
+        self.id_size, self.text_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.id_text, self.text_of))
+        self.id_of_char = np.full(0x110000, -1, np.int32)
         for p, i in self.single.items():
             self.id_of_char[ord(p)] = i
         left, right, into = [], [], []
@@ -87,9 +91,10 @@ class PieceCodec:
                 a, b = ids.get(p[:k]), ids.get(p[k:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), into.append(i)
-        keys = np.array(left, np.int64) << 32 | np.array(right, np.int64)
-        by = np.argsort(keys)
-        self.pair_keys, self.pair_into = keys[by], np.array(into, np.int64)[by]
+        keys = np.array(left, np.uint64) << np.uint64(32) | np.array(right, np.uint64)
+        self.into: dict[int, int] = dict(zip(keys.tolist(), into, strict=True))
+        spread = keys * _SPREAD
+        self.pairs, self.pair_into = Places(spread), np.array(into, np.int32)[np.argsort(spread)]
         points = lambda c: np.frombuffer("".join(c).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sides = {p[k : k + 2] for p in ids for k in range(len(p) - 1)}
         both = points(sorted(sides)).reshape(-1, 2)
@@ -97,7 +102,6 @@ class PieceCodec:
         inside = re.escape("".join(c for c in self.single if c != MARK))
         self.segments = re.compile(f"{MARK}*[{inside}]+|{MARK}+|.", re.S)
         #: Of a segment: its ids as text, and the bytes that they decode to. The old generation is asked before encoding anew.
-        self.into: dict[int, int] = {}
         self.ids_of: dict[str, str] = {}
         self.bytes_of: dict[str, bytes] = {}
         self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
@@ -105,72 +109,61 @@ class PieceCodec:
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each pair of neighbours makes, or -1."""
-        keys = a << 32 | b
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == keys) & (a >= 0) & (b >= 0), self.pair_into[at], -1)
+        hit, at = self.pairs.find((a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) * _SPREAD)
+        return np.where(hit, self.pair_into[np.where(hit, at, 0)], -1)
 
     def rounds(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merges until no segment has a pair left; symbols and owners of all segments, by owner."""
+        """Merges until no segment has a pair left; symbols and owners of all segments, by owner.
+
+        ``piece`` and ``rank`` say what each symbol makes with the next one of its segment; a round looks up only the pairs that its merges made.
+        """
+        symbols, owner = symbols.astype(np.int32), owner.astype(np.int32)
         done_s, done_o = [], []
         number = 0
+        piece = np.full(len(symbols), -1, np.int32)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        piece[inner] = self.merged(symbols[inner], symbols[inner + 1])
+        rank = self.rank[piece]
         while len(symbols):
             number += 1
+            begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            length = np.diff(np.r_[begin, len(owner)])
             if number > LONG_ROUNDS and number % LONG_ROUNDS == 1:
-                begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                length = np.diff(np.r_[begin, len(owner)])
                 long = length > LONG
                 if long.any():
                     for b, e in zip(begin[long].tolist(), (begin + length)[long].tolist(), strict=True):
                         out = self.agenda(symbols[b:e].tolist())
-                        done_s.append(np.array(out, np.int64)), done_o.append(np.full(len(out), owner[b]))
+                        done_s.append(np.array(out, np.int32)), done_o.append(np.full(len(out), owner[b]))
                     stay = np.repeat(~long, length)
-                    symbols, owner = symbols[stay], owner[stay]
+                    symbols, owner, piece, rank = symbols[stay], owner[stay], piece[stay], rank[stay]
                     continue
-            n = len(symbols)
-            piece = np.full(n, -1, np.int64)
-            piece[:-1] = np.where(owner[1:] == owner[:-1], self.merged(symbols[:-1], symbols[1:]), -1)
-            rank = np.where(piece >= 0, self.rank[piece], _NONE)
-            begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            length = np.diff(np.r_[begin, n])
             best = np.minimum.reduceat(rank, begin)
-            live = np.repeat(best < _NONE, length)
-            if not live.all():
+            going = best < _NONE
+            if not going.all():
+                live = np.repeat(going, length)
                 done_s.append(symbols[~live]), done_o.append(owner[~live])
                 symbols, owner, piece, rank = symbols[live], owner[live], piece[live], rank[live]
                 if not len(symbols):
                     break
-                n, best, length = len(symbols), best[best < _NONE], length[best < _NONE]
-                begin = np.cumsum(length) - length
-            which = np.repeat(np.arange(len(begin)), length)
-            hit = rank == best[which]
-            at = np.flatnonzero(hit)
+                best, length = best[going], length[going]
+            every = np.repeat(best, length)
+            at = np.flatnonzero(rank == every)
             # in a run of overlapping occurrences, every second one counts, from the left
             run = np.r_[True, np.diff(at) != 1]
-            place = np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]
-            chosen = at[place % 2 == 0]
-            single = np.r_[True, which[chosen[1:]] != which[chosen[:-1]]]
+            if not run.all():
+                place = np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]
+                at = at[place % 2 == 0]
+            single = np.r_[True, owner[at[1:]] != owner[at[:-1]]]
+            after = self.apply(symbols, owner, piece, rank, at)
             if not single.all():
                 # several merges of a segment go together only if none makes a pair that beats them
-                trial, keep = self.apply(symbols, piece, chosen)
-                t, o = trial[keep], owner[keep]
-                made = np.zeros(n, bool)
-                made[chosen] = True
-                made = made[keep]
-                p = np.where(o[1:] == o[:-1], self.merged(t[:-1], t[1:]), -1)
-                r = np.where(p >= 0, self.rank[p], _NONE)
-                w = which[keep]
-                worse = (made[1:] | made[:-1]) & (r <= best[w[:-1]])
-                if worse.any():
-                    risky = np.zeros(len(begin), bool)
-                    risky[w[:-1][worse]] = True
-                    chosen = chosen[single | ~risky[which[chosen]]]
-                    symbols, keep = self.apply(symbols, piece, chosen)
-                    symbols, owner = symbols[keep], owner[keep]
-                else:
-                    symbols, owner = t, o
-            else:
-                symbols, keep = self.apply(symbols, piece, chosen)
-                symbols, owner = symbols[keep], owner[keep]
+                _, o, _, r, new, keep = after
+                worse = new[r[new] <= every[keep][new]]
+                if len(worse):
+                    alone = ~single & np.isin(owner[at], o[worse])
+                    if alone.any():
+                        after = self.apply(symbols, owner, piece, rank, at[~alone])
+            symbols, owner, piece, rank = after[:4]
         if not done_s:
             return symbols, owner
         s, o = np.concatenate(done_s), np.concatenate(done_o)
@@ -179,8 +172,6 @@ class PieceCodec:
 
     def agenda(self, symbols: list[int]) -> list[int]:
         """The same merges one by one: always the best rank, the leftmost first."""
-        if not self.into:
-            self.into = dict(zip(self.pair_keys.tolist(), self.pair_into.tolist(), strict=True))
         into, rank = self.into, self.rank
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -207,12 +198,24 @@ class PieceCodec:
                 propose(before[i], i)
         return [x for x in symbols if x != -2]
 
-    @staticmethod
-    def apply(symbols: np.ndarray, piece: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out, keep = symbols.copy(), np.ones(len(symbols), bool)
-        out[chosen] = piece[chosen]
+    def apply(self, symbols: np.ndarray, owner: np.ndarray, piece: np.ndarray, rank: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Symbols, owners, pieces and ranks after the chosen merges, the places of the pairs that these made, and which symbols stayed."""
+        symbols, keep = symbols.copy(), np.ones(len(symbols), bool)
+        symbols[chosen] = piece[chosen]
         keep[chosen + 1] = False
-        return out, keep
+        symbols, owner, piece, rank = symbols[keep], owner[keep], piece[keep], rank[keep]
+        made = np.zeros(len(symbols) + 1, bool)
+        at = chosen - np.arange(len(chosen))
+        made[at] = made[at - 1] = True
+        # the place before the first symbol is the last one here
+        new = np.flatnonzero(made[:-1])
+        piece[new], rank[new] = -1, _NONE
+        if len(new) and new[-1] == len(symbols) - 1:
+            new = new[:-1]
+        new = new[owner[new] == owner[new + 1]]
+        piece[new] = into = self.merged(symbols[new], symbols[new + 1])
+        rank[new] = self.rank[into]
+        return symbols, owner, piece, rank, new, keep
 
     def learn(self, segments: list[str]) -> None:
         """Encodes new segments and remembers them."""
@@ -227,15 +230,21 @@ class PieceCodec:
             flat = self.id_of_char[np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)]
             owner = np.repeat(np.arange(len(part)), np.fromiter(map(len, part), np.int64, len(part)))
             s, o = self.rounds(flat, owner)
-            cut = np.searchsorted(o, np.arange(len(part) + 1))
+            unknown = np.flatnonzero(s < 0)
+            if len(unknown):
+                spelt = [[self.byte_id[b] for b in part[k].encode("utf-8", "replace")] for k in o[unknown].tolist()]
+                times = np.ones(len(s), np.int64)
+                times[unknown] = list(map(len, spelt))
+                s, o = np.repeat(s, times), np.repeat(o, times)
+                s[s < 0] = [i for ids in spelt for i in ids]
+            # all ids and all bytes are joined once, and each segment's are cut from these
             values = s.tolist()
-            id_text, text_of = self.id_text, self.text_of
-            for k, word in enumerate(part):
-                ids = values[cut[k] : cut[k + 1]]
-                if -1 in ids:
-                    ids = [self.byte_id[b] for b in word.encode("utf-8", "replace")]
-                self.ids_of[word] = ",".join([id_text[i] for i in ids])
-                self.bytes_of[word] = b"".join([text_of[i] for i in ids])
+            ids = ",".join(map(self.id_text.__getitem__, values))
+            data = b"".join(map(self.text_of.__getitem__, values))
+            cut = np.searchsorted(o, np.arange(len(part) + 1))
+            for known, whole, size, gap in ((self.ids_of, ids, self.id_size, 1), (self.bytes_of, data, self.text_size, 0)):
+                ends = np.r_[0, np.cumsum(size[s] + gap)][cut].tolist()
+                known.update(zip(part, [whole[a : b - gap] for a, b in zip(ends, ends[1:])], strict=True))
             at = end
 
     def know(self, segments: set[str]) -> None:

@@ -4,10 +4,12 @@ import hashlib
 import random
 import time
 
+import numpy as np
 import pytest
 import sentencepiece as spm
 
 from anchorline.llm import sentencepiece_codec as S
+from anchorline.llm.common import Places
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +77,25 @@ def test_query_rows(spark, lib):
         assert r.ids_sha256 == hashlib.sha256(r.ids.encode()).hexdigest()
         assert r.decoded == lib.decode(ids) and r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
     assert S.encode_decode(df.where("doc_id = 99")).count() == 0
+
+
+def test_rounds_look_up_only_new_pairs(lib, monkeypatch):
+    """A merge makes two pairs at most; all others keep what was found for them."""
+    own, rnd = S.PieceCodec(S.piece_model()), random.Random(6)
+    words = ["▁" + "".join(rnd.choice("etaoinshrdlu") for _ in range(12)) for _ in range(500)]
+    looked, merged = [], own.merged
+    monkeypatch.setattr(own, "merged", lambda a, b: looked.append(len(a)) or merged(a, b))
+    own.learn(words)
+    pairs, merges = sum(len(w) - 1 for w in words), sum(len(w) - own.ids_of[w].count(",") - 1 for w in words)
+    assert merges > 1500 and sum(looked) <= pairs + 2 * merges
+    assert all(own.ids_of[w] == ",".join(map(str, lib.encode(w[1:]))) for w in words)
+
+
+def test_places_hold_all_keys():
+    rnd = np.random.default_rng(7)
+    some = rnd.integers(0, 2**64, 5000, np.uint64)
+    for keys in (some, some[:1], some[:0], np.r_[some, np.arange(40, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(40, dtype=np.uint64)]):
+        asked = np.r_[keys, keys + np.uint64(1), rnd.integers(0, 2**64, 500, np.uint64), np.uint64(0), np.uint64(2**64 - 1)]
+        hit, at = Places(keys).find(asked)
+        place = {k: i for i, k in enumerate(np.sort(keys).tolist())}
+        assert [int(a) if h else None for h, a in zip(hit, at)] == [place.get(k) for k in asked.tolist()]
