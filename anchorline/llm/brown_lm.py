@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm.common import chunks, crc_mod, fmix, materialize, table, text_bytes, word_hashes
+from anchorline.llm.common import Places, chunks, crc_mod, fmix, materialize, table, text_bytes, word_hashes
 
 FREQUENT, SUFFIXES, CLASSES, HOT = 2_048, 192, 48, 1 << 17
 DELTA, PULL, SWEEPS = 0.1, 20.0, 6
@@ -48,10 +48,14 @@ DELTA, PULL, SWEEPS = 0.1, 20.0, 6
 #: would choose the class by the very transitions that it is then scored by.  From the second sweep on, the CONTEXT commonest words stand in a
 #: neighbour's place with the class of the sweep before, other words with that of their ending.
 REST_SWEEPS, LEAST, CONTEXT = 2, 2, 1 << 17
+#: Bytes of texts that are tokenised at a time, of one text at least: what a core keeps close.
+READ = 1 << 18
 END = FREQUENT + SUFFIXES
 TYPES = END + 1
 #: Types from TYPES on: a word in the class of that number.  Codes of a word's neighbours: the class after, the class before, the word itself after.
 BEFORE, SELF, CODES = CLASSES, 2 * CLASSES, 2 * CLASSES + 1
+#: The largest count beside a packed code.
+MOST = (1 << 24) - 1
 
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
@@ -67,7 +71,7 @@ def _suffix(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
 def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
         data, offsets = text_bytes(b.column("text"))
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, READ):
             h, per, start, length = word_hashes(data, offsets[i : j + 1], lower=True)
             yield b, i, j, h, per, _suffix(data, start, length) if len(h) else np.zeros(0, np.int64)
 
@@ -101,14 +105,18 @@ class HotWords:
         kind = np.full(len(h), -1, np.int64) if kind is None else kind.copy()
         kind[place[:FREQUENT]] = np.arange(min(FREQUENT, len(h)))
         by = np.argsort(h.view(np.uint64))
-        self.h, self.c, self.kind = h.view(np.uint64)[by], c[by], kind[by]
+        self.places, self.c, self.kind = Places(h.view(np.uint64)), c[by], kind[by]
+
+    @property
+    def h(self) -> np.ndarray:
+        return self.places.keys
 
     def find(self, h: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each word is hot, its place, its type."""
         if not len(self.h) or not len(h):
             return np.zeros(len(h), bool), np.zeros(len(h), np.int64), FREQUENT + suffix
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        hit = self.h[at] == h
+        hit, at = self.places.find(h)
+        at = np.where(hit, at, 0)
         kind = np.where(hit, self.kind[at], -1)
         return hit, at, np.where(kind >= 0, kind, FREQUENT + suffix)
 
@@ -128,8 +136,7 @@ def _bigrams(hot: HotWords) -> Callable:
         total = np.zeros(TYPES * TYPES, np.int64)
         for *_, h, per, g in _each_chunk(batches):
             t, _row = _with_ends(hot.find(h, g)[2], per)
-            cells, c = np.unique(np.r_[END, t[:-1]] * TYPES + t, return_counts=True)
-            total[cells] += c
+            np.add.at(total, np.r_[END, t[:-1]] * TYPES + t, 1)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "c"])
 
@@ -157,29 +164,49 @@ def _neighbours(hot: HotWords, of: np.ndarray) -> Callable:
     """Of each word that isn't frequent: its class and, packed, how often each code is beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        # of hot words place and code in one number, of others hash, class and code
+        met: list[np.ndarray] = []
+        cold: list[tuple[np.ndarray, ...]] = []
         size = tokens = 0
 
-        def flush() -> pa.RecordBatch:
-            h, a, code, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            by = np.lexsort((code, h))
-            h, a, code, c = h[by], a[by], code[by], c[by]
-            new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (code[1:] != code[:-1])])
-            packed = (code[new].astype(np.uint32) << np.uint32(24)) | np.add.reduceat(c, new).astype(np.uint32)
-            h, a = h[new], a[new]
-            word = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            cut = pa.py_buffer(np.r_[word, len(h)].astype(np.int32) * 4)
-            lists = pa.Array.from_buffers(pa.binary(), len(word), [None, cut, pa.py_buffer(packed)])
-            return pa.RecordBatch.from_arrays([pa.array(h[word].view(np.int64)), pa.array(a[word].astype(np.int32)), lists], ["h", "a", "near"])
-
+        def rows(h: np.ndarray, a: np.ndarray, new: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            """A row for each word, where a new one begins, of all its codes."""
+            packed = (code.astype(np.uint32) << np.uint32(24)) | n.astype(np.uint32)
+            cut = pa.py_buffer(np.r_[new, len(code)].astype(np.int32) * 4)
+            lists = pa.Array.from_buffers(pa.binary(), len(new), [None, cut, pa.py_buffer(packed)])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(a.astype(np.int32)), lists], ["h", "a", "near"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if met:
+                key = np.concatenate(met)
+                met.clear()
+                key.sort()
+                new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                if len(key) > MOST:
+                    # a count has 24 bits; more take another entry
+                    new = np.unique(np.r_[new, np.arange(0, len(key), MOST)])
+                place, code = np.divmod(key[new].astype(np.int64), CODES)
+                word = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                yield rows(hot.h[place[word]], of[hot_kind[place[word]]], word, code, np.diff(np.r_[new, len(key)]))
+            if cold:
+                h, a, code = (np.concatenate(x) for x in zip(*cold, strict=True))
+                cold.clear()
+                by = np.argsort(h)
+                h = h[by]
+                word = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                yield rows(h[word], a[by[word]], word, code[by], np.ones(len(h)))
+
+        hot_kind = hot.kind.copy()
         for *_, h, per, g in _each_chunk(batches):
             if not len(h):
                 continue
-            t, _row = _with_ends(hot.find(h, g)[2], per)
+            hit, place, kind = hot.find(h, g)
+            # a hot word without a type of its own has that of its ending
+            hot_kind[place[hit]] = kind[hit]
+            t, _row = _with_ends(kind, per)
             word = t != END
-            every = np.zeros(len(t), np.uint64)
-            every[word] = h
+            every, at = np.zeros(len(t), np.uint64), np.full(len(t), -1, np.int64)
+            every[word], at[word] = h, np.where(hit, place, -1)
             same = np.r_[False, (every[1:] == every[:-1]) & word[1:] & word[:-1], False]
             c = of[t]
             rare = word & (t >= FREQUENT)
@@ -189,18 +216,18 @@ def _neighbours(hot: HotWords, of: np.ndarray) -> Callable:
             code = np.r_[np.where(same[after + 1], SELF, c[np.minimum(after + 1, len(c) - 1)]), BEFORE + np.where(ahead > 0, c[ahead - 1], of[END])]
             if not len(where):
                 continue
-            words, which = np.unique(every[where], return_inverse=True)
-            a = np.zeros(len(words), np.int64)
-            a[which] = c[where]
-            key, n = np.unique(which * CODES + code, return_counts=True)
-            held.append((words[key // CODES], a[key // CODES], key % CODES, n))
-            size += len(key)
+            known = at[where] >= 0
+            other = where[~known]
+            if known.any():
+                met.append((at[where[known]] * CODES + code[known]).astype(np.uint32))
+            if len(other):
+                cold.append((every[other], c[other].astype(np.uint8), code[~known].astype(np.uint8)))
+            size += len(other)
             tokens += len(h)
-            if size > 1_500_000 or tokens > 1 << 23:
-                yield flush()
+            if size > 1_500_000 or tokens > 1 << 22:
+                yield from flush()
                 size = tokens = 0
-        if held:
-            yield flush()
+        yield from flush()
 
     return run
 

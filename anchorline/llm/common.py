@@ -25,6 +25,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
+#: What a byte adds to its word's hash, as it is and lower-cased: nothing, if it is no letter.
+_OWN, _LOWERED = (np.where(_IS_SPACE, 0, x.astype(np.uint64) + 1).astype(np.uint64) for x in (np.arange(256), _LOWER))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -55,6 +57,10 @@ def fmix(h: np.ndarray) -> np.ndarray:
 
 
 _powers = np.ones(1, np.uint64)
+#: Bytes that are weighed by their place among all of a call, not in their word: the powers that this takes are kept.
+RUN = CHUNK_BYTES
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_inverses = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
@@ -68,6 +74,16 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+def inverse_powers() -> np.ndarray:
+    """What undoes the first RUN powers, modulo 2^64: the base is odd."""
+    global _inverses
+    if len(_inverses) < RUN:
+        p = np.full(RUN, _INVERSE, np.uint64)
+        p[0] = 1
+        _inverses = np.multiply.accumulate(p)
+    return _inverses
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column; a null has no bytes."""
     if pa.types.is_large_string(column.type):
@@ -109,12 +125,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     last = first[1:].copy()
     last[:-1] |= ~solid[1:]
     lens = np.flatnonzero(solid & last) + 1 - starts
-    letters = (_LOWER[b] if lower else b)[solid].astype(np.uint64)
-    letters += np.uint64(1)
-    at = np.cumsum(lens) - lens
-    within = np.arange(len(letters), dtype=np.int64) - np.repeat(at, lens)
-    letters *= powers(int(lens.max()))[within]
-    hashes = fmix(np.add.reduceat(letters, at) + lens.astype(np.uint64))
+    worth = _LOWERED if lower else _OWN
+    if len(b) <= RUN:
+        letters = worth[b]
+        letters *= powers(RUN)[: len(b)]
+        # from start to start: the spaces between add nothing
+        sums = np.add.reduceat(letters, starts) * inverse_powers()[starts]
+    else:
+        letters = worth[b[solid]]
+        at = np.cumsum(lens) - lens
+        within = np.arange(len(letters), dtype=np.int64) - np.repeat(at, lens)
+        letters *= powers(int(lens.max()))[within]
+        sums = np.add.reduceat(letters, at)
+    hashes = fmix(sums + lens.astype(np.uint64))
     per_row = np.diff(np.searchsorted(starts, cut))
     return hashes, per_row, starts + base, lens
 
@@ -129,11 +152,13 @@ class Places:
     def __init__(self, keys: np.ndarray):
         bits = max(4, int(len(keys) - 1).bit_length() + 1)
         self.shift = np.uint64(64 - bits)
-        self.keys = np.sort(keys)
-        ends = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
-        self.start = ends.astype(np.int32)
-        # where a search beyond the last key ends
-        self.padded = np.r_[self.keys, np.uint64(2**64 - 1)]
+        # a search beyond the last key ends at one more
+        self.padded = np.r_[np.sort(keys), np.uint64(2**64 - 1)]
+        self.start = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    @property
+    def keys(self) -> np.ndarray:
+        return self.padded[:-1]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is there, and its place if it is."""
@@ -146,7 +171,7 @@ class Places:
             met[todo] = here
             todo = todo[here < keys[todo]]
         hit = met == keys
-        hit &= at < len(self.keys)
+        hit &= at < len(self.padded) - 1
         return hit, at
 
 

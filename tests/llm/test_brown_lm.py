@@ -1,13 +1,16 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from anchorline.llm import brown_lm as B
+from anchorline.llm import common as C
 from anchorline.llm.common import crc_mod, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -200,3 +203,65 @@ def test_scores_against_brute_force(spark, messy_rows):
             c = class_of[hashed[w]]
             want += math.log10((count[w] + 0.1) / (in_class[c] + 0.1 * (distinct[c] + (c in unseen))))
         assert r.score == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_word_hashes_by_plain_python(monkeypatch):
+    """Weighed by the place among all bytes or in the word: the same hashes, starts and lengths, and those of the formula."""
+    base, low, mask = int(C._BASE), lambda b: b + 32 if 65 <= b <= 90 else b, 2**64 - 1
+
+    def plain(word, lower):
+        h = sum(((low(b) if lower else b) + 1) * pow(base, i, 1 << 64) for i, b in enumerate(word)) + len(word) & mask
+        h ^= h >> 33
+        h = h * int(C._MIX1) & mask
+        h ^= h >> 33
+        h = h * int(C._MIX2) & mask
+        return h ^ h >> 33
+
+    texts = ["One  two\tONE", "", " \n", "é漢字 \x00a", "end", "x" * 300, "next begins at once"]
+    data = [t.encode() for t in texts]
+    offsets = np.r_[0, np.cumsum(list(map(len, data)))]
+    want = [[w for w in re.findall(rb"[^\x20\x09-\x0D]+", d)] for d in data]
+    for run in (C.RUN, 16):
+        monkeypatch.setattr(C, "RUN", run)
+        for lower in (True, False):
+            h, per, start, length = C.word_hashes(np.frombuffer(b"".join(data), np.uint8), offsets, lower)
+            assert h.tolist() == [plain(w, lower) for ws in want for w in ws] and per.tolist() == list(map(len, want))
+            assert [b"".join(data)[a : a + n] for a, n in zip(start.tolist(), length.tolist())] == [w for ws in want for w in ws]
+
+
+def test_hot_words_are_found_faster_than_by_halving():
+    """The words of every pass over the texts meet the hot ones; a binary search took a third of such a pass."""
+    rng = np.random.default_rng(8)
+    h = rng.integers(0, 2**64, B.CONTEXT, np.uint64)
+    hot = B.HotWords(h, np.ones(len(h), np.int64))
+    asked = np.r_[rng.choice(h, 150_000), rng.integers(0, 2**64, 50_000, np.uint64)]
+    suffix = np.zeros(len(asked), np.int64)
+    hit, at, _ = hot.find(asked, suffix)
+    assert np.array_equal(hit, np.isin(asked, h)) and np.array_equal(hot.h[at[hit]], asked[hit])
+
+    def least(f):
+        took = []
+        for _ in range(7):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: hot.find(asked, suffix)) < 0.8 * least(lambda: np.searchsorted(hot.h, asked))
+
+
+def test_counts_beyond_24_bits():
+    """A word that stands beside itself more often than a packed count can say."""
+    times = (1 << 24) + 1000
+    text = pa.RecordBatch.from_arrays([pa.array(["a " * times])], ["text"])
+    h = word_hashes(np.frombuffer(b"a", np.uint8), np.array([0, 1]), lower=True)[0]
+    hot = B.HotWords(h, np.array([times]), np.array([B.TYPES + 3]))
+    hot.kind[:] = B.TYPES + 3
+    of = np.r_[np.zeros(B.END, np.int64), B.CLASSES - 1, np.arange(B.CLASSES)]
+    rows = list(B._neighbours(hot, of)([text]))
+    found = Counter()
+    for b in rows:
+        for near in b.column("near").to_pylist():
+            for x in np.frombuffer(near, np.uint32).tolist():
+                found[x >> 24] += x & 0xFFFFFF
+    assert found == {B.SELF: times - 1, B.CLASSES - 1: 1, B.BEFORE + B.CLASSES - 1: 1}
