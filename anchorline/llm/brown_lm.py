@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorline.llm.common import Places, chunks, crc_mod, fmix, materialize, table, text_bytes, word_hashes
+from anchorline.llm.common import RUN, Places, chunks, crc_mod, fmix, materialize, table, text_bytes, word_hashes
 
 FREQUENT, SUFFIXES, CLASSES, HOT = 2_048, 192, 48, 1 << 17
 DELTA, PULL, SWEEPS = 0.1, 20.0, 6
@@ -49,7 +49,7 @@ DELTA, PULL, SWEEPS = 0.1, 20.0, 6
 #: neighbour's place with the class of the sweep before, other words with that of their ending.
 REST_SWEEPS, LEAST, CONTEXT = 2, 2, 1 << 17
 #: Bytes of texts that are tokenised at a time, of one text at least: what a core keeps close.
-READ = 1 << 18
+READ = RUN
 END = FREQUENT + SUFFIXES
 TYPES = END + 1
 #: Types from TYPES on: a word in the class of that number.  Codes of a word's neighbours: the class after, the class before, the word itself after.

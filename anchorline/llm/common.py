@@ -58,7 +58,7 @@ def fmix(h: np.ndarray) -> np.ndarray:
 
 _powers = np.ones(1, np.uint64)
 #: Bytes that are weighed by their place among all of a call, not in their word: the powers that this takes are kept.
-RUN = CHUNK_BYTES
+RUN = 1 << 18
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _inverses = np.ones(1, np.uint64)
 

@@ -14,8 +14,8 @@ What stays longer than LONG symbols (such as a letter repeated) and isn't done a
 LONG_ROUNDS rounds goes on with an agenda: a heap of pairs over linked neighbours, in the
 library's order, so that time grows with the length and its logarithm.
 
-Each segment's ids are kept in a table per Python worker that is bounded in characters, so that a
-frequent word is encoded once.  Rounds, tables and batches are bounded by
+Each segment's ids are kept in a table per task that is bounded in characters, so that a
+frequent word is encoded once in it.  Rounds, tables and batches are bounded by
 parameters; a long text needs memory in proportion to itself only.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from anchorline.llm.common import Places, table
@@ -41,7 +42,7 @@ MARK = "▁"
 _NONE = np.int32(1 << 30)
 #: Odd: it spreads the numbers of two pieces over all bits, and no two pairs alike.
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-#: Characters of segments that a worker remembers (in either generation), symbols that one run of merge rounds takes, and characters of the texts that learn together.
+#: Characters of segments that a task remembers (in either generation), symbols that one run of merge rounds takes, and characters of the texts that learn together.
 REMEMBERED, BATCH_SYMBOLS, BATCH_TEXT = 2_000_000, 400_000, 1_000_000
 #: Segments above CUT characters are cut at borders; those above LONG go to the agenda after LONG_ROUNDS rounds.
 CUT, LONG, LONG_ROUNDS = 24, 256, 64
@@ -102,10 +103,7 @@ class PieceCodec:
         inside = re.escape("".join(c for c in self.single if c != MARK))
         self.segments = re.compile(f"{MARK}*[{inside}]+|{MARK}+|.", re.S)
         #: Of a segment: its ids as text, and the bytes that they decode to. The old generation is asked before encoding anew.
-        self.ids_of: dict[str, str] = {}
-        self.bytes_of: dict[str, bytes] = {}
-        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
-        self.held = 0
+        self.forget()
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each pair of neighbours makes, or -1."""
@@ -247,6 +245,13 @@ class PieceCodec:
                 known.update(zip(part, [whole[a : b - gap] for a, b in zip(ends, ends[1:])], strict=True))
             at = end
 
+    def forget(self) -> None:
+        """Begins with empty tables."""
+        self.ids_of: dict[str, str] = {}
+        self.bytes_of: dict[str, bytes] = {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.held = 0
+
     def know(self, segments: set[str]) -> None:
         """Sees that all of these segments are in the table."""
         new = segments.difference(self.ids_of)
@@ -328,11 +333,16 @@ def encode_decode(docs: DataFrame, model: str | None = None, texts: bool = True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model or piece_model())
-        for pdf in batches:
-            rows = []
-            for n, ids, decoded in own.summaries([t if isinstance(t, str) else None for t in pdf["text"]]):
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest(), *((ids, decoded) if texts else ())))
-            yield pd.concat([pdf[kept].reset_index(drop=True), pd.DataFrame(rows, columns=list(added))], axis=1)
+        try:
+            for pdf in batches:
+                rows = []
+                for n, ids, decoded in own.summaries([t if isinstance(t, str) else None for t in pdf["text"]]):
+                    rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest(), *((ids, decoded) if texts else ())))
+                yield pd.concat([pdf[kept].reset_index(drop=True), pd.DataFrame(rows, columns=list(added))], axis=1)
+        finally:
+            # the worker goes on to other tasks, also of other stages
+            own.forget()
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInPandas(run, schema)
 

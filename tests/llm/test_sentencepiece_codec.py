@@ -99,3 +99,15 @@ def test_places_hold_all_keys():
         hit, at = Places(keys).find(asked)
         place = {k: i for i, k in enumerate(np.sort(keys).tolist())}
         assert [int(a) if h else None for h, a in zip(hit, at)] == [place.get(k) for k in asked.tolist()]
+
+
+def test_tasks_leave_no_table(spark):
+    """A worker that goes on to other stages doesn't hold the last task's segments."""
+    docs = spark.createDataFrame([(i, f"word{i} of many") for i in range(200)], "doc_id long, text string")
+    assert S.encode_decode(docs).where("n_tokens > 0").count() == 200
+
+    def held(_):
+        own = S.codec(S.piece_model())
+        yield len(own.ids_of) + len(own.bytes_of) + len(own.old[0]) + len(own.old[1])
+
+    assert max(spark.sparkContext.parallelize(range(8), 8).mapPartitions(held).collect()) == 0
