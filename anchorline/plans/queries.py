@@ -24,7 +24,7 @@ from anchorline.sources import text as T
 from anchorline.sources.collecting import collect, stored_blocks
 from anchorline.sources.ordered import write_lines
 from anchorline.sources.sinks import formatted, write_tbl
-from anchorline.storage import shared_dir
+from anchorline.storage import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -443,7 +443,9 @@ def func_wide(spark, d):
 def collection_blocks(spark, d):
     """The blocks, written as one binary collection and read from it in ranges."""
     path = f"{shared_dir(spark)}/anchorline/blocks-{uuid.uuid4().hex}.bin"
-    C.write_collection(X.blocks(spark, d), X.genomes(spark, d), path)
+    # read several times: for its coordinates, its chromosomes and its rows
+    b = materialize(X.blocks(spark, d), "collected")
+    C.write_collection(b, X.genomes(spark, d), path, C.coordinate_bits(b))
     return C.read_collection(spark, path)
 
 
@@ -453,7 +455,8 @@ def collection_sizes(spark, d):
     path = f"{shared_dir(spark)}/anchorline/sizes-{uuid.uuid4().hex}.bin"
     b = X.blocks(spark, d)
     largest = b.groupBy(*B.PAIR).agg(F.max(F.struct("length", *[c for c in b.columns if c not in (*B.PAIR, "length")])).alias("b")).select(*B.PAIR, "b.*")
-    C.write_collection(largest, X.genomes(spark, d), path)
+    largest = materialize(largest, "largest")
+    C.write_collection(largest, X.genomes(spark, d), path, C.coordinate_bits(largest))
     return C.read_collection_sizes(spark, path)
 
 

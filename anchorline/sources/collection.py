@@ -1,9 +1,10 @@
-"""Binary collections of alignment blocks, version 4, as a data source: read in ranges, written in parts that a commit joins.
+"""Binary collections of alignment blocks, versions 4 and 5, as a data source: read in ranges, written in parts that a commit joins.
 
 Little-endian: version u8, magic u16 0xAFFE, species count u8; for each species its
 name (NUL-ended), genome size u64 and number of partners u8; for each partner its name and number of
 chromosomes u32; for each chromosome its id u32, number of blocks u32 and the blocks (ref_start
 u32, qry_start u32, qry_chrom u32, length and strand u16); at the end the number of chromosomes u32 and their names.
+Version 5 is the same with ref_start and qry_start i64, for coordinates that 32 bits don't hold (negative ones too).
 
 Reading: the planner seeks from header to header without touching a block, and emits ranges of at most RANGE_ROWS blocks;
 filters on the species reach it.  A task reads its range and the names of the chromosomes.  Genome sizes come from the headers alone.
@@ -36,10 +37,12 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from anchorline.operators.blocks import PAIR, chromosome_dictionary
 from anchorline.storage import shared_dir
 
-VERSION, MAGIC = 4, 0xAFFE
-ROW = np.dtype([("ref_start", "<u4"), ("qry_start", "<u4"), ("qry_chrom", "<u4"), ("word", "<u2")])
+VERSION, WIDE_VERSION, MAGIC = 4, 5, 0xAFFE
+ROW, WIDE_ROW = (np.dtype([("ref_start", at), ("qry_start", at), ("qry_chrom", "<u4"), ("word", "<u2")]) for at in ("<u4", "<i8"))
+#: A block's form by version, and the version by the bits of a coordinate.
+ROWS, VERSIONS = {VERSION: ROW, WIDE_VERSION: WIDE_ROW}, {32: VERSION, 64: WIDE_VERSION}
 SCHEMA = "ref_sp string, qry_sp string, ref_chrom string, ref_start long, qry_chrom string, qry_start long, length int, qry_rev boolean"
-#: Blocks of a range (14 bytes each), and chromosomes whose ids are broadcast to a writer.
+#: Blocks of a range (14 or 22 bytes each), and chromosomes whose ids are broadcast to a writer.
 RANGE_ROWS, BROADCAST_CHROMOSOMES = 1 << 20, 1_000_000
 LENGTH, REVERSE = 0x7FFF, 0x8000
 _COPY = 1 << 23
@@ -65,6 +68,11 @@ class _Headers:
     def __init__(self, file: pa.NativeFile, size: int):
         self.file, self.size, self.at = file, size, 0
         self.held, self.begin = b"", 0
+        self.version = 0
+
+    @property
+    def row(self) -> np.dtype:
+        return ROWS[self.version]
 
     def take(self, n: int) -> bytes:
         if self.at + n > self.size:
@@ -93,8 +101,9 @@ class _Headers:
 
     def walk(self) -> Iterator[tuple[str, int, str | None, int, int, int]]:
         """Reference, its genome size, partner, chromosome id, offset and number of blocks of each group; once with partner None for each reference."""
-        if (version := self.number("B")) != VERSION:
-            raise ValueError(f"version {version} of the collection isn't supported")
+        self.version = self.number("B")
+        if self.version not in ROWS:
+            raise ValueError(f"version {self.version} of the collection isn't supported")
         if self.number("H") != MAGIC:
             raise ValueError("the collection has another byte order")
         for _ in range(self.number("B")):
@@ -105,7 +114,7 @@ class _Headers:
                 for _ in range(self.number("I")):
                     chrom, n = self.number("I"), self.number("I")
                     yield ref, size, qry, chrom, self.at, n
-                    self.skip(n * ROW.itemsize)
+                    self.skip(n * self.row.itemsize)
 
     def names(self) -> list[str]:
         return [self.name() for _ in range(self.number("I"))]
@@ -126,6 +135,7 @@ class _Range(InputPartition):
     path: str
     size: int
     names_at: int
+    version: int
     groups: list[tuple[str, str, int, int, int]]
 
     def __post_init__(self) -> None:
@@ -159,16 +169,16 @@ class _BlockReader(DataSourceReader):
                         continue
                     while n:
                         if have >= self.rows:
-                            mine.append(_Range(path, size, 0, []))
+                            mine.append(_Range(path, size, 0, headers.version, []))
                             have = 0
                         part = min(n, self.rows - have)
                         mine[-1].groups.append((ref, qry, chrom, offset, part))
-                        have, n, offset = have + part, n - part, offset + part * ROW.itemsize
+                        have, n, offset = have + part, n - part, offset + part * headers.row.itemsize
                 end = headers.finish()
             for x in mine:
                 x.names_at = end
             out.extend(mine)
-        return out or [_Range("", 0, 0, [])]
+        return out or [_Range("", 0, 0, VERSION, [])]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if not partition.groups:
@@ -180,7 +190,8 @@ class _BlockReader(DataSourceReader):
             names = pa.array(headers.names(), pa.string())
             for ref, qry, chrom, offset, n in partition.groups:
                 file.seek(offset)
-                b = np.frombuffer(file.read(n * ROW.itemsize), ROW)
+                row = ROWS[partition.version]
+                b = np.frombuffer(file.read(n * row.itemsize), row)
                 same = lambda v, n=n: pa.DictionaryArray.from_arrays(np.zeros(n, np.int32), [v]).cast(pa.string())
                 columns = [same(ref), same(qry), same(names[chrom].as_py()), b["ref_start"].astype(np.int64), names.take(pa.array(b["qry_chrom"])), b["qry_start"].astype(np.int64), (b["word"] & LENGTH).astype(np.int32), (b["word"] & REVERSE) != 0]
                 yield pa.record_batch([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -209,8 +220,9 @@ class _Part(WriterCommitMessage):
 
 
 class _CollectionWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, species: str, chromosomes: str):
+    def __init__(self, path: str, species: str, chromosomes: str, bits: int):
         self.path, self.species, self.chromosomes = path, species, chromosomes
+        self.bits, self.version = bits, VERSIONS[bits]
         self.parts = f"{path}.parts-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -222,10 +234,10 @@ class _CollectionWriter(DataSourceArrowWriter):
         groups: list[tuple[str, str, int, int]] = []
         with where.open_output_stream(path) as out:
             for batch in iterator:
-                rows = np.zeros(batch.num_rows, ROW)
+                rows = np.zeros(batch.num_rows, ROWS[self.version])
                 numbers = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("ref_id", "ref_start", "qry_id", "qry_start", "length", "qry_rev")}
                 for c in ("ref_start", "qry_start"):
-                    if len(rows) and (numbers[c].min() < 0 or numbers[c].max() >= 1 << 32):
+                    if self.bits == 32 and len(rows) and (numbers[c].min() < 0 or numbers[c].max() >= 1 << 32):
                         raise ValueError(f"{c} doesn't fit into 32 bits")
                 if len(rows) and (numbers["length"].min() < 1 or numbers["length"].max() > LENGTH):
                     raise ValueError("the length of a block doesn't fit into 15 bits")
@@ -260,7 +272,7 @@ class _CollectionWriter(DataSourceArrowWriter):
         text = lambda s: s.encode() + b"\0"
         staged = f"{final}.{uuid.uuid4().hex}.tmp"
         with contextlib.ExitStack() as stack, where.open_output_stream(staged) as out:
-            left: list[tuple[str, int]] = [(m.path, sum(n for *_, n in m.groups) * ROW.itemsize) for m in parts]
+            left: list[tuple[str, int]] = [(m.path, sum(n for *_, n in m.groups) * ROWS[self.version].itemsize) for m in parts]
             source: io.IOBase | None = None
 
             def copy(size: int) -> None:
@@ -278,7 +290,7 @@ class _CollectionWriter(DataSourceArrowWriter):
                         source = None
                         left.pop(0)
 
-            out.write(struct.pack("<BHB", VERSION, MAGIC, len(species)))
+            out.write(struct.pack("<BHB", self.version, MAGIC, len(species)))
             for s in species:
                 partners = total.get(s["species"], {})
                 out.write(text(s["species"]) + struct.pack("<QB", s["genome_size"], len(partners)))
@@ -286,7 +298,7 @@ class _CollectionWriter(DataSourceArrowWriter):
                     out.write(text(qry) + struct.pack("<I", len(chroms)))
                     for chrom, n in chroms.items():
                         out.write(struct.pack("<II", chrom, n))
-                        copy(n * ROW.itemsize)
+                        copy(n * ROWS[self.version].itemsize)
             out.write(struct.pack("<I", len(names)) + b"".join(map(text, names)))
         where.move(staged, final)
         self.abort(messages)
@@ -313,7 +325,7 @@ class CollectionSource(DataSource):
         return _BlockReader(self.options["path"], int(self.options.get("range_rows", RANGE_ROWS)))
 
     def writer(self, schema, overwrite: bool) -> _CollectionWriter:
-        return _CollectionWriter(self.options["path"], self.options["species"], self.options["chromosomes"])
+        return _CollectionWriter(self.options["path"], self.options["species"], self.options["chromosomes"], int(self.options.get("bits", 32)))
 
 
 def _registered(spark: SparkSession) -> SparkSession:
@@ -331,8 +343,17 @@ def read_collection_sizes(spark: SparkSession, path: str) -> DataFrame:
     return _registered(spark).read.format("block_collection").option("table", "genomes").load(path)
 
 
-def write_collection(blocks: DataFrame, genomes: DataFrame, path: str) -> None:
-    """One file, which takes the place of an earlier one. Chromosomes are numbered as they appear: each group's own before those that it aligns to."""
+def coordinate_bits(blocks: DataFrame) -> int:
+    """32, or 64 if some coordinate needs them."""
+    seen = blocks.agg(F.min(F.least("ref_start", "qry_start")).alias("low"), F.max(F.greatest("ref_start", "qry_start")).alias("high")).first()
+    return 32 if seen.low is None or (seen.low >= 0 and seen.high < 1 << 32) else 64
+
+
+def write_collection(blocks: DataFrame, genomes: DataFrame, path: str, bits: int = 32) -> None:
+    """One file, which takes the place of an earlier one. Chromosomes are numbered as they appear: each group's own before those that it aligns to.
+
+    ``bits`` of a coordinate: of 32, what doesn't fit is an error; see ``coordinate_bits``.
+    """
     spark = _registered(blocks.sparkSession)
     order = ["ref_sp", "qry_sp", "ref_chrom", "ref_start", "qry_chrom", "qry_start", "length", "qry_rev"]
     place = lambda kind: F.struct(*PAIR, F.lit(kind).alias("kind"), *[F.col(c) if kind else F.lit(None).cast(t).alias(c) for c, t in (("ref_start", "long"), ("qry_chrom", "string"))])
@@ -346,4 +367,4 @@ def write_collection(blocks: DataFrame, genomes: DataFrame, path: str) -> None:
     for c in ("ref", "qry"):
         blocks = blocks.join(ids.select(F.col("chrom").alias(f"{c}_chrom"), F.col("chrom_id").alias(f"{c}_id")), f"{c}_chrom")
     rows = blocks.repartitionByRange(*order).sortWithinPartitions(*order).select("ref_sp", "qry_sp", "ref_id", "ref_start", "qry_id", "qry_start", "length", "qry_rev")
-    rows.write.format("block_collection").mode("append").option("species", f"{side}/species").option("chromosomes", f"{side}/chromosomes").save(path)
+    rows.write.format("block_collection").mode("append").option("species", f"{side}/species").option("chromosomes", f"{side}/chromosomes").option("bits", bits).save(path)

@@ -17,6 +17,8 @@ from anchorline.config import Settings
 from anchorline.operators import project as P
 from anchorline.operators.blocks import with_ends
 from anchorline.operators.hop import BlockIndex
+from anchorline.plans import fixture as X
+from anchorline.plans.queries import QUERIES
 from anchorline.sources import axt as A
 from anchorline.sources import collecting
 from anchorline.sources import collection as C
@@ -136,6 +138,28 @@ def test_blocks_that_do_not_fit_are_not_written(spark, tmp_path):
             (tmp_path / "ok.bin").unlink()
 
 
+def test_coordinates_beyond_32_bits_take_the_wide_form(spark, tmp_path):
+    names = [x.split()[0] for x in SHAPE.split(", ")]
+    rows = [("a", "b", "1", -7 - i, "2", 2**33 + i, 5 + i, i % 2 == 1) for i in range(40)] + [("b", "a", "2", 2**32, "1", 0, 0x7FFF, True)]
+    blocks, genomes = spark.createDataFrame(rows, SHAPE), spark.createDataFrame(list(GENOMES.items()), "species string, genome_size long")
+    assert [C.coordinate_bits(x) for x in (blocks, blocks.where("ref_start >= 0").selectExpr("ref_start - 1 as ref_start", "qry_start"), blocks.limit(0))] == [64, 32, 32]
+    C.write_collection(blocks, genomes, str(tmp_path / "w.bin"), C.coordinate_bits(blocks))
+    for n in (7, 10**6):
+        read = C.read_collection(spark, str(tmp_path / "w.bin"), n).select(*names)
+        assert sorted(map(tuple, read.collect())) == sorted(rows)
+    assert {r.species: r.genome_size for r in C.read_collection_sizes(spark, str(tmp_path / "w.bin")).collect()} == GENOMES
+
+
+def test_collection_queries_with_negative_coordinates(spark, tmp_path):
+    """Orders beyond 200,000 have negative places in the reversed species of the fixture."""
+    line = spark.range(60).selectExpr("190000 + 400 * id as l_orderkey", "id * 7 as l_partkey", "id as l_suppkey", "cast(id % 7 as int) as l_linenumber", "cast(1 + id % 50 as double) as l_quantity")
+    line.write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = sorted(map(tuple, X.blocks(spark, str(tmp_path)).collect()))
+    assert min(r[3] for r in want) < 0
+    assert sorted(map(tuple, QUERIES["collection_blocks"](spark, str(tmp_path)).collect())) == want
+    assert QUERIES["collection_sizes"](spark, str(tmp_path)).count() == 5
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([(10, 20, 110, 150, 11)], "up long, down long, qu long, qd long, loc long")
     r = df.select(SC.interpolate(F.col("loc"), F.col("up"), F.col("down"), F.col("qu"), F.col("qd"), F.lit(False)).alias("f"), SC.interpolate(F.col("loc"), F.col("up"), F.col("down"), F.col("qd"), F.col("qu"), F.lit(True)).alias("r"), SC.unpack_length(SC.pack(F.lit(77), F.lit(True))).alias("n"), SC.unpack_reverse(SC.pack(F.lit(77), F.lit(True))).alias("v")).first()
