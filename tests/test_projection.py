@@ -12,6 +12,7 @@ from anchorline.config import Settings
 from anchorline.functions.chain import collinear_chain, major_chromosome
 from anchorline.operators import hop as H
 from anchorline.operators import nearest as N
+from anchorline.operators import pages as G
 from anchorline.operators.blocks import PAIR, block_ranks, with_ends
 from tests import brute
 
@@ -112,6 +113,49 @@ def test_hops(world, points):
     assert dict(got) == want and len(want) > 100
 
 
+def test_places_below_zero_and_over_many_pages(spark, monkeypatch):
+    """Pages of few blocks: a point's blocks come from several of them, blocks lie over their borders; a chromosome may begin below zero."""
+    monkeypatch.setattr(G, "PAGE_BLOCKS", 7)
+    rnd = random.Random(4)
+    rows = sorted({("a", "b", "1", rnd.randrange(-900_000, 200_000), rnd.choice(["1", "1", "9"]), rnd.randrange(10**6), rnd.randrange(1, 30_000), rnd.random() < 0.3) for _ in range(150)})
+    listed = [(r[3], r[6], r[4], r[5], r[7]) for r in rows]
+    engine = Engine(spark.createDataFrame(rows, SHAPE), spark.createDataFrame([*GENOMES.items()], "species string, genome_size long"))
+    locs = sorted({rnd.randrange(-1_000_000, 300_000) for _ in range(60)} | {r[3] for r in rows[::40]})
+    df = spark.createDataFrame([("a", "b", "1", x) for x in locs], "ref_sp string, qry_sp string, ref_chrom string, loc long")
+    assert engine.index.pages.select("page").distinct().count() > 8
+    sides = {(r.loc, r.kind): r for r in engine.index.sides(df, S).collect()}
+    got = defaultdict(list)
+    for r in H.hops(df, engine.index, engine.genomes, S).orderBy("place").collect():
+        got[r.loc].append((round(r.score, 9), r.chrom, r["at"]))
+    some = 0
+    for x in locs:
+        es = [brute.ends(b) for b in listed]
+        assert sides[x, "d"].before == sum(e["ref_start"] <= x for e in es) and sides[x, "u"].before == sum(e["ref_end"] < x for e in es)
+        assert [b.ref_start for b in sides[x, "d"].found] == sorted(e["ref_start"] for e in es if e["ref_start"] > x)[:20]
+        assert [b.ref_end for b in sides[x, "u"].found] == sorted(e["ref_end"] for e in es if e["ref_end"] < x)[-20:]
+        want = [(round(t[0], 9), t[1], t[2]) for t in brute.hop(listed, x, GENOMES["a"], S)]
+        assert got[x] == want
+        some += bool(want)
+    assert some > 30
+
+
+def test_lists_of_anchors_are_not_shuffled(spark, world, points):
+    """The last exchanges before the anchors are gathered are those of points and pages; none follows."""
+    df = points[1].select("region_idx", F.lit("a").alias("ref_sp"), F.lit("b").alias("qry_sp"), F.col("chrom").alias("ref_chrom"), "loc")
+    for made in (H.gathered(df, world[0].index, S), H.hopped(df, world[0].index, world[0].genomes, S)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("FlatMapCoGroupsInArrow")]
+        assert "Exchange" not in above.replace("BroadcastExchange", "") and "SortMergeJoin" not in above
+
+
+def test_single_hops_index_their_pair_only(spark):
+    from anchorline.plans import queries as Q
+
+    for wanted, n in ((Q.ONE_HOP, 1), (Q.ON_ROUTES, 13)):
+        made = Q.engine(spark, "/root/testdata/sf0.001", wanted)
+        assert made.index.pages.select("ref_sp", "qry_sp").distinct().count() == n
+
+
 def test_routes(world, points):
     engine, by = world
     done = engine.project(points[1], "a", "d")
