@@ -373,7 +373,8 @@ def _rooted(docs: DataFrame, n: int, percent: int) -> DataFrame:
     sets = source.mapInArrow(_shingles_of(n), "fp long, own long, blocks int, block int, shingles array<long>")
     split = bool(placed.where("blocks > 1").limit(1).count())
     if split:
-        sets = materialize(sets.dropDuplicates(["fp"]), "join-shingles")
+        # a text of repeated rows may be there once a task; a search takes it once
+        sets = materialize(sets, "join-shingles")
     roots = materialize(sets.groupBy("own", "blocks", "block").applyInArrow(_search(percent, False), "fp long, root long"), "join-roots")
     if split:
         roots = materialize(_across(sets, roots, percent), "join-across")
@@ -413,7 +414,7 @@ def _across(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
     Which sets meet in which task is planned on rows without shingles; these are shuffled to the tasks only.
     """
-    plain = sets.where("blocks > 1").select("fp", "own", "blocks", "block", F.size("shingles").alias("n")).join(roots, "fp")
+    plain = sets.where("blocks > 1").select("fp", "own", "blocks", "block", F.size("shingles").alias("n")).distinct().join(roots, "fp")
     plain = materialize(plain, "join-plain")
     edges = roots.select(F.col("fp").alias("u"), F.col("root").alias("v"))
 

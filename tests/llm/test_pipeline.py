@@ -1,6 +1,7 @@
 """The stages on a small corpus, each against a brute-force version of what it decides."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from anchorline.llm import sentencepiece_codec as S
+from anchorline.storage import materialize
 from tests.llm.conftest import SCHEMA, prose
 from tests.llm.test_ngram_join import shingles
 from tests.llm.test_quality_rules import brute
@@ -109,3 +111,17 @@ def test_run_and_empty(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 0").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_shuffles_of_a_written_table_leave_the_disk(spark):
+    """They lay beside the next steps' until the driver collected its garbage: the stage of near copies had those of all its steps at once."""
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, set_before = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    made = materialize(spark.range(50_000).repartition(5, "id"), "shuffled")
+    for _ in range(40):
+        if not (left := files() - before):
+            break
+        time.sleep(0.25)
+    assert not left and made.count() == 50_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == set_before
