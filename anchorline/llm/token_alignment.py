@@ -182,8 +182,23 @@ def align_texts(texts: list[str | None], va: Vocabulary, vb: Vocabulary) -> tupl
     return out, groups, rows[doc], a[la] * len(vb.pieces) + b[lb]
 
 
+def packed(**columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, none negative, in the narrowest form that holds them, compressed: a block's rows stay small wherever they are sorted, shuffled and batched."""
+    narrow = {c: x.astype(np.min_scalar_type(int(x.max(initial=0)))) for c, x in columns.items()}
+    batch = pa.record_batch([pa.array(x) for x in narrow.values()], names=list(narrow))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> dict[str, np.ndarray]:
+    batch = pa.ipc.open_stream(data).read_next_batch()
+    return {c: batch.column(c).to_numpy() for c in batch.schema.names}
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per block; ``which`` and ``times`` have for all documents in turn, ``per_doc`` of them each, the places of their pairs in ``pairs`` and how often each stands."""
+    """One row per block; ``links`` has, packed, ``which`` and ``times``: for all documents in turn, ``per_doc`` of them each, the places of their pairs in ``pairs`` and how often each stands."""
     va, vb = byte_vocabulary(), piece_vocabulary()
     number = TaskContext.get().partitionId() << 32
     held: dict[str, list] = {}
@@ -195,8 +210,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, which = np.unique(pair, return_inverse=True)
         one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
         docs = pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), doc)
-        columns = [pa.array([number], pa.int64()), docs, one(pairs, pa.int64()), one(np.bincount(which, minlength=len(pairs)), pa.int64()), one(np.concatenate(held["per_doc"]), pa.int64()), one(which, pa.int32()), one(np.concatenate(held["times"]), pa.int32())]
-        return pa.record_batch(columns, names=["block", "docs", "pairs", "in_docs", "per_doc", "which", "times"])
+        columns = [pa.array([number], pa.int64()), docs, one(pairs, pa.int64()), one(np.bincount(which, minlength=len(pairs)), pa.int64()), one(np.concatenate(held["per_doc"]), pa.int64()), pa.array([packed(which=which, times=np.concatenate(held["times"]))], pa.binary())]
+        return pa.record_batch(columns, names=["block", "docs", "pairs", "in_docs", "per_doc", "links"])
 
     for batch in batches:
         text, ids = batch.column("text"), batch.column("doc_id")
@@ -207,13 +222,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, times = np.unique(doc * (len(va.pieces) * len(vb.pieces)) + pair, return_counts=True)
             own = of // (len(va.pieces) * len(vb.pieces))
             parts = numbers | {"doc_id": ids.slice(i, j - i).to_pylist(), "groups_sha256": [hashlib.sha256(g).hexdigest() if g else "" for g in groups]}
-            parts |= {"pair": of % (len(va.pieces) * len(vb.pieces)), "times": times, "per_doc": np.bincount(own, minlength=j - i)}
+            parts |= {"pair": of % (len(va.pieces) * len(vb.pieces)), "times": times.astype(np.int32), "per_doc": np.bincount(own, minlength=j - i)}
             for c, values in parts.items():
                 held.setdefault(c, []).append(values)
             size += int(offsets[j] - offsets[i])
             if size >= BLOCK_BYTES:
-                yield flush()
+                done = flush()
                 held, size, number = {}, 0, number + 1
+                yield done
+                # what a block took isn't kept for the worker's next tasks
+                del done
+                pa.default_memory_pool().release_unused()
     if held:
         yield flush()
 
@@ -229,7 +248,8 @@ def _with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pair, count, best = [counted.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
             by = np.argsort(pair)
             count, best = count[by].astype(np.int64), best[by].astype(np.int64)
-            per_doc, which, times = flat("per_doc").astype(np.int64), flat("which"), flat("times").astype(np.int64)
+            per_doc, links_ = flat("per_doc").astype(np.int64), unpacked(row.column("links")[0].as_py())
+            which, times = links_["which"], links_["times"].astype(np.int64)
             cut = np.r_[0, np.cumsum(per_doc)]
             sums = [np.diff(np.r_[0, np.cumsum(times * x[which] if len(which) else times)][cut]) for x in (best, count)]
             fields = [docs.field(i) for i in range(len(_DOC))]
@@ -238,7 +258,7 @@ def _with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def aligned_blocks(docs: DataFrame) -> DataFrame:
     """The blocks of doc_id and text, written to the shared folder."""
-    ddl = f"block long, docs array<struct<{', '.join(f'{c}: {t}' for c, t in (x.split() for x in _DOC_DDL.split(', ')))}>>, pairs array<long>, in_docs array<long>, per_doc array<long>, which array<int>, times array<int>"
+    ddl = f"block long, docs array<struct<{', '.join(f'{c}: {t}' for c, t in (x.split() for x in _DOC_DDL.split(', ')))}>>, pairs array<long>, in_docs array<long>, per_doc array<long>, links binary"
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks, ddl), "aligned-blocks")
 
 
@@ -257,7 +277,7 @@ def align(docs: DataFrame) -> DataFrame:
     asked = blocks.select("block", F.explode("pairs").alias("pair"))
     counted = asked.join(pair_counts(blocks, len(piece_vocabulary().pieces)), "pair").repartition(tasks, "block")
     counted = counted.groupBy("block").agg(F.collect_list(F.struct("pair", "documents", "best")).alias("counted"))
-    back = blocks.select("block", "docs", "per_doc", "which", "times").repartition(tasks, "block").join(counted, "block", "left")
+    back = blocks.select("block", "docs", "per_doc", "links").repartition(tasks, "block").join(counted, "block", "left")
     empty = F.array().cast("array<struct<pair: long, documents: long, best: boolean>>")
     return back.withColumn("counted", F.coalesce("counted", empty)).mapInArrow(_with_counts, _RESULT_DDL)
 

@@ -88,3 +88,14 @@ def test_galloping_ranks(n, m, span):
     short, long = np.sort(rng.choice(span, n, replace=False)), np.sort(rng.choice(span, m, replace=False))
     rank, there = ta.gallop(short, long)
     assert np.array_equal(rank, np.searchsorted(long, short)) and np.array_equal(there, np.isin(short, long))
+
+
+def test_links_of_a_block_are_packed_narrowly():
+    """Of a block some 900,000 links stood in 8 bytes each in every row buffer, batch and sort of the second stage."""
+    rnd = np.random.default_rng(1)
+    for n, most in ((0, 1), (1, 1), (200_000, 13_000), (1_000, 70_000)):
+        which, times = rnd.integers(0, most, n), rnd.integers(1, 4, n)
+        data = ta.packed(which=which, times=times)
+        got = ta.unpacked(data)
+        assert got["which"].tolist() == which.tolist() and got["times"].tolist() == times.tolist()
+        assert len(data) < 3 * n + 2_000
